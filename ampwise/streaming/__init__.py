@@ -1,0 +1 @@
+"""Intentionally empty: every source of this workload is a finite file listing, so all jobs are batch."""
