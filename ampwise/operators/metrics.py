@@ -15,6 +15,7 @@ from ampwise.functions.numeric import count_not_above, f_score, ratio, uniform
 from ampwise.functions.signal import count_where
 from ampwise.operators.ordering import MAX_GROUP_ROWS, find_hot, running
 from ampwise.operators.quantiles import MAX_BUFFER_ROWS, named_percentiles, percentiles, threshold_table
+from ampwise.session import small
 
 # Scored health levels, threshold percentiles and population cuts (draw >= cut selects the level).
 HEALTH_LEVELS = [100, 95, 90, 85, 80]
@@ -94,8 +95,10 @@ def confusion(scores: DataFrame, threshold_rows: DataFrame, degraded: Column | N
     running totals over the at most 100 ranks give the counts at every threshold.
     """
     degraded = is_degraded() if degraded is None else degraded
-    listed = threshold_rows.groupBy("model").agg(
-        F.array_sort(F.collect_list(F.struct("threshold", "pct"))).alias("_listed")
+    listed = small(
+        threshold_rows.groupBy("model").agg(
+            F.array_sort(F.collect_list(F.struct("threshold", "pct"))).alias("_listed")
+        )
     )
     ladder = listed.select("model", F.transform("_listed", lambda t: t["threshold"]).alias("_ladder"))
     ranked = scores.join(ladder, "model").select(
@@ -195,7 +198,7 @@ def mixed_population(
 
 def flagged(population: DataFrame, threshold_rows: DataFrame) -> DataFrame:
     """0/1 columns tp, fp, tn, fn per sample at its model's threshold."""
-    joined = population.join(threshold_rows.select("model", "threshold"), "model")
+    joined = population.join(small(threshold_rows.select("model", "threshold")), "model")
     hit, bad = F.col("mae") >= F.col("threshold"), is_degraded()
     return joined.withColumns(
         {
@@ -221,7 +224,7 @@ def precision_at(flags: DataFrame, k: int = INTERVENTIONS) -> DataFrame:
 def running_curve(flags: DataFrame, positive: bool = True, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Precision and recall after each predicted-positive sample by falling error (or predicted-negative by rising)."""
     right, wrong, missed = ("tp", "fp", "fn") if positive else ("tn", "fn", "fp")
-    relevant = flags.groupBy("model").agg((F.sum(right) + F.sum(missed)).alias("relevant"))
+    relevant = small(flags.groupBy("model").agg((F.sum(right) + F.sum(missed)).alias("relevant")))
     chosen = flags.where((F.col(right) == 1) | (F.col(wrong) == 1))
     hot = find_hot(chosen, ["model"], "mae", max_rows)
     sums = {"hits": F.col(right), "misses": F.col(wrong)}

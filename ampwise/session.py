@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "ampwise", memory: str = "8g") -> SparkSession:
@@ -55,3 +56,16 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` computed once and, if it has at most ``max_rows`` rows, marked for broadcast.
+
+    For per-model tables joined to all samples: with a handful of join keys a shuffled join would put most samples
+    into a few tasks. A larger table joins the ordinary way.
+    """
+    done = cut(df)
+    return F.broadcast(done) if done.limit(max_rows + 1).count() <= max_rows else done
