@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampwise.functions.numeric import aged_parameters, uniform
@@ -70,21 +70,23 @@ def voltage_differences(synthetic: DataFrame, levels: Sequence[int] = tuple(rang
 
 
 def trace_overlay(
-    trace: DataFrame, thing: str, levels: Sequence[int] = (100, 95, 85), every: int = 30
+    trace: DataFrame, thing: str | None = None, levels: Sequence[int] = (100, 95, 85), every: int = 30
 ) -> DataFrame:
-    """Voltage traces of every n-th episode of one thing, one column per health level."""
-    chosen = trace.where((F.col("thing") == thing) & F.col("soc").isin(list(levels)))
+    """Voltage traces of every n-th episode of one thing (or of each thing), one column per health level."""
+    chosen = trace.where(F.col("soc").isin(list(levels)))
+    if thing is not None:
+        chosen = chosen.where(F.col("thing") == thing)
     keys = ["thing", "month_no", "ep_no"]
-    # Ranked from the few distinct episodes of one thing; the trace rows themselves are not windowed.
-    listed = chosen.select(*keys).distinct()
-    ranked = listed.selectExpr(*keys, "row_number() over (partition by thing order by month_no, ep_no) as ep_rank")
-    kept = ranked.where(F.col("ep_rank") % every == 0)
+    if every > 1:
+        # Ranked over the distinct episodes; the trace rows themselves are not windowed.
+        along = Window.partitionBy("thing").orderBy("month_no", "ep_no")
+        ranked = chosen.select(*keys).distinct().withColumn("_rank", F.row_number().over(along))
+        chosen = chosen.join(ranked.where(F.col("_rank") % every == 0).drop("_rank"), keys)
     return (
-        chosen.join(kept, keys)
-        .groupBy(*keys, "ep_rank", "pos")
+        chosen.groupBy(*keys, "pos")
         .pivot("soc", list(levels))
         .agg(F.first("voltage"))
-        .select(*keys, "ep_rank", "pos", *[F.col(str(level)).alias(f"voltage_{level}") for level in levels])
+        .select(*keys, "pos", *[F.col(str(level)).alias(f"voltage_{level}") for level in levels])
     )
 
 

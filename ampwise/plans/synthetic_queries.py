@@ -185,23 +185,18 @@ def degraded_substitution(spark, folder):
 @query(
     "trace_comparison",
     o.chain(*SHAPED, o.traces((100, 95, 85)))
-    + """,
-    k AS (SELECT *, row_number() OVER (PARTITION BY thing ORDER BY month_idx, ep_idx) AS ep_rank
-          FROM (SELECT DISTINCT thing, month_idx, ep_idx FROM trace WHERE thing = '17')),
-    c AS (SELECT k.ep_rank, t.* FROM trace t JOIN k USING (thing, month_idx, ep_idx) WHERE ep_rank % 3 = 0)
-    SELECT thing, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, ep_rank, pos,
+    + """
+    SELECT thing, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, pos,
            round(max(CASE WHEN soc = 100 THEN volt END), 6) AS voltage_100,
            round(max(CASE WHEN soc = 95 THEN volt END), 6) AS voltage_95,
            round(max(CASE WHEN soc = 85 THEN volt END), 6) AS voltage_85
-    FROM c GROUP BY ALL""",
+    FROM trace GROUP BY ALL""",
 )
 def trace_comparison(spark, folder):
-    """The overlay of one thing's traces: the report itself is about a single thing and every n-th episode."""
+    """The overlay of every thing's traces; the report shows one thing and every n-th episode of it."""
     _, rows, _ = shaped_episodes(spark, folder)
-    shown = align.trace_overlay(simulated(rows, (100, 95, 85)), "17", every=3)
-    return shown.select(
-        "thing", "month_no", "ep_no", "ep_rank", "pos", *[r6(f"voltage_{s}") for s in (100, 95, 85)]
-    )
+    shown = align.trace_overlay(simulated(rows, (100, 95, 85)), every=1)
+    return shown.select("thing", "month_no", "ep_no", "pos", *[r6(f"voltage_{s}") for s in (100, 95, 85)])
 
 
 BLOW_MAE = """
