@@ -29,7 +29,7 @@ def read_traces(spark: SparkSession, folder: str) -> DataFrame:
 
     Position is the key, so each file is read as one text; a file is one episode.
     """
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     located = texts.select("value", F.split(F.col("_metadata.file_path"), "/").alias("parts"))
     named = located.select(
         F.element_at("parts", -2).alias("folder"), F.element_at("parts", -1).alias("file"), "value"
@@ -48,8 +48,8 @@ def read_traces(spark: SparkSession, folder: str) -> DataFrame:
         "month_no",
         "ep_no",
         "pos",
-        cells[0].cast("float").cast("double").alias("current"),
-        cells[1].cast("float").cast("double").alias("voltage"),
+        F.get(cells, F.lit(0)).cast("float").cast("double").alias("current"),
+        F.get(cells, F.lit(1)).cast("float").cast("double").alias("voltage"),
     )
 
 

@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ampwise.sources.telemetry_csv import is_folder
 
@@ -43,13 +44,14 @@ def stored_things(spark: SparkSession, path: str) -> DataFrame | None:
     table = os.path.join(path, "months")
     if not is_folder(spark, table):
         return None
-    return _partitioned(spark, table).select("thing").distinct()
+    return read_keyed(spark, table).select("thing").distinct()
 
 
-def _partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """Read with the thing key as text, whatever its values look like."""
-    plain = spark.read.option("basePath", path).parquet(path)
-    return plain.withColumn("thing", F.col("thing").cast("string"))
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """Read a store with its ``thing`` partition key as text: a thing named 007 must not become a number."""
+    inferred = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "thing" else f for f in inferred]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> DataFrame | None:
@@ -59,8 +61,8 @@ def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> D
         log.warning("no episodes at %s, build the data set first", path)
         return None
     if thing is None:
-        return spark.read.parquet(table)
-    rows = spark.read.parquet(table).where(F.col("thing") == thing)
+        return read_keyed(spark, table)
+    rows = read_keyed(spark, table).where(F.col("thing") == thing)
     if rows.select(F.lit(1)).limit(1).isEmpty():
         log.warning("no episodes of %s at %s", thing, path)
         return None
@@ -68,7 +70,7 @@ def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> D
 
 
 def load_months(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, "months"))
+    return read_keyed(spark, os.path.join(path, "months"))
 
 
 def save_blows(blows: DataFrame, path: str) -> None:
@@ -81,7 +83,7 @@ def save_blows(blows: DataFrame, path: str) -> None:
 
 
 def load_blows(spark: SparkSession, path: str, soc: int | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    rows = read_keyed(spark, path)
     return rows if soc is None else rows.where(F.col("soc") == soc)
 
 
