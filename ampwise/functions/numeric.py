@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The simulator's full-health battery parameters.
@@ -61,6 +61,20 @@ def f_score(precision: Column, recall: Column) -> Column:
     return F.try_divide(2 * precision * recall, precision + recall)
 
 
-def count_not_above(sorted_values: Column, value: Column) -> Column:
-    """How many entries of an array are <= ``value``."""
-    return F.size(F.filter(sorted_values, lambda bound: bound <= value))
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_rank(df: DataFrame, sorted_values: str, value: Column, name: str, max_length: int) -> DataFrame:
+    """Add how many entries of a sorted array column are <= ``value``; 0 for a null array.
+
+    A binary search unrolled into projections, so it stays in generated code and costs log2(length) comparisons.
+    """
+    out = df.withColumns({"_value": value, name: F.lit(0)})
+    step = 1 << max(max_length.bit_length() - 1, 0)
+    while step:
+        probe = F.get(sorted_values, F.col(name) + (step - 1))
+        out = out.withColumn(name, F.col(name) + F.when(probe <= F.col("_value"), step).otherwise(0))
+        step >>= 1
+    return out.drop("_value")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampwise.functions.numeric import aged_parameters, uniform
+from ampwise.functions.numeric import aged_parameters, bind, uniform
 from ampwise.operators.blows import drop_odd_widths
 from ampwise.operators.scaling import scale
 from ampwise.schema import EPISODE
@@ -92,10 +92,14 @@ def trace_overlay(
 
 def chosen_health(draw: Column, cuts: Sequence[tuple[float, int]], otherwise: int) -> Column:
     """The health level of the first ``(cut, soc)`` whose cut exceeds the draw, else ``otherwise``."""
-    choice = F.lit(otherwise)
-    for bound, soc in reversed(list(cuts)):
-        choice = F.when(draw < bound, F.lit(soc)).otherwise(choice)
-    return choice
+
+    def level(u: Column) -> Column:
+        choice = F.lit(otherwise)
+        for bound, soc in reversed(list(cuts)):
+            choice = F.when(u < bound, F.lit(soc)).otherwise(choice)
+        return choice
+
+    return bind(draw, level)
 
 
 def substitute_degraded(

@@ -11,16 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampwise.functions.numeric import count_not_above, f_score, ratio, uniform
+from ampwise.functions.numeric import bind, f_score, ratio, uniform, with_rank
 from ampwise.functions.signal import count_where
-from ampwise.operators.ordering import MAX_GROUP_ROWS, find_hot, running
-from ampwise.operators.quantiles import MAX_BUFFER_ROWS, named_percentiles, percentiles, threshold_table
-from ampwise.session import small
+from ampwise.operators.ordering import MAX_GROUP_ROWS, MEASURE, find_hot, measured, running
+from ampwise.operators.quantiles import named_percentiles, percentiles, threshold_table
+from ampwise.session import small, stage
 
 # Scored health levels, threshold percentiles and population cuts (draw >= cut selects the level).
 HEALTH_LEVELS = [100, 95, 90, 85, 80]
 HEALTHY = [100, 95]
 PERCENTS = list(range(10, 100))
+MAX_THRESHOLDS = 127
 BOX_PERCENT = 87
 SWEEP_POPULATION = [(0.90, 80), (0.80, 85), (0.70, 90), (0.25, 95)]
 MAP_POPULATION = [(0.95, 80), (0.85, 85), (0.75, 90), (0.35, 95)]
@@ -32,18 +33,18 @@ def is_degraded(soc: str = "soc") -> Column:
     return ~F.col(soc).isin(HEALTHY)
 
 
-def quartiles(scores: DataFrame, max_rows: int | None = MAX_BUFFER_ROWS) -> DataFrame:
-    return named_percentiles(scores, ["soc"], "mae", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, max_rows)
+def quartiles(scores: DataFrame, hot: DataFrame | str | None = MEASURE) -> DataFrame:
+    return named_percentiles(scores, ["soc"], "mae", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, hot)
 
 
 def box_stats(
-    df: DataFrame, keys: Sequence[str], value: str, fences: bool = False, max_rows: int | None = MAX_BUFFER_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, fences: bool = False, hot: DataFrame | str | None = MEASURE
 ) -> DataFrame:
     """Quartiles with whiskers at the 10th and 90th percentile, or at the furthest values within 1.5 IQR."""
     names = {"p10": 0.1, "q1": 0.25, "q2": 0.5, "q3": 0.75, "p90": 0.9}
     if not fences:
-        return named_percentiles(df, keys, value, names, max_rows)
-    boxes = named_percentiles(df, keys, value, {n: names[n] for n in ("q1", "q2", "q3")}, max_rows)
+        return named_percentiles(df, keys, value, names, hot)
+    boxes = named_percentiles(df, keys, value, {n: names[n] for n in ("q1", "q2", "q3")}, hot)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low_side = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q1"))
     high_side = (F.col(value) <= F.col("q3") + reach) & (F.col(value) >= F.col("q3"))
@@ -61,13 +62,13 @@ def box_stats(
     )
 
 
-def model_summary(scores: DataFrame, max_rows: int | None = MAX_BUFFER_ROWS) -> DataFrame:
+def model_summary(scores: DataFrame, hot: DataFrame | str | None = MEASURE) -> DataFrame:
     """Mean, population deviation and tail percentiles per model."""
     names = {"p3": 0.03, "p10": 0.1, "p90": 0.9, "p95": 0.95, "p97": 0.97}
     spread = scores.groupBy("model").agg(
         F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("std_mae"), F.count(F.lit(1)).alias("samples")
     )
-    return spread.join(named_percentiles(scores, ["model"], "mae", names, max_rows), "model")
+    return spread.join(named_percentiles(scores, ["model"], "mae", names, hot), "model")
 
 
 def best_model(scores: DataFrame) -> DataFrame:
@@ -77,14 +78,16 @@ def best_model(scores: DataFrame) -> DataFrame:
     return means.agg(best).select("best.model", "best.mean_mae")
 
 
-def thresholds(scores: DataFrame, percents: Sequence[int] = tuple(PERCENTS), max_rows: int | None = MAX_BUFFER_ROWS):
-    return threshold_table(scores, ["model"], "mae", percents, max_rows)
+def thresholds(
+    scores: DataFrame, percents: Sequence[int] = tuple(PERCENTS), hot: DataFrame | str | None = MEASURE
+) -> DataFrame:
+    return threshold_table(scores, ["model"], "mae", percents, hot)
 
 
-def percentile_threshold(scores: DataFrame, percent: int, max_rows: int | None = MAX_BUFFER_ROWS) -> DataFrame:
+def percentile_threshold(scores: DataFrame, percent: int, hot: DataFrame | str | None = MEASURE) -> DataFrame:
     """One threshold per model from full-health errors."""
     full = scores.where(F.col("soc") == 100)
-    out = percentiles(full, ["model"], "mae", [percent / 100], max_rows)
+    out = percentiles(full, ["model"], "mae", [percent / 100], hot)
     return out.select("model", F.lit(percent).alias("pct"), F.col("values")[0].alias("threshold"))
 
 
@@ -92,18 +95,17 @@ def confusion(scores: DataFrame, threshold_rows: DataFrame, degraded: Column | N
     """tp, fp, tn, fn per (model, pct, threshold).
 
     No sample meets every threshold. Each sample is ranked among its model's thresholds and counted once per rank;
-    running totals over the at most 100 ranks give the counts at every threshold.
+    running totals over the ranks give the counts at every threshold. A model has at most MAX_THRESHOLDS thresholds.
     """
     degraded = is_degraded() if degraded is None else degraded
-    listed = small(
-        threshold_rows.groupBy("model").agg(
-            F.array_sort(F.collect_list(F.struct("threshold", "pct"))).alias("_listed")
-        )
+    collected = F.array_sort(F.collect_list(F.struct("threshold", "pct")))
+    checked = F.when(F.size(collected) <= MAX_THRESHOLDS, collected).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_THRESHOLDS} thresholds for a model"))
     )
+    listed = small(threshold_rows.groupBy("model").agg(checked.alias("_listed")))
     ladder = listed.select("model", F.transform("_listed", lambda t: t["threshold"]).alias("_ladder"))
-    ranked = scores.join(ladder, "model").select(
-        "model", count_not_above(F.col("_ladder"), F.col("mae")).alias("rank"), degraded.alias("degraded")
-    )
+    met = scores.select("model", "mae", degraded.alias("degraded")).join(ladder, "model")
+    ranked = with_rank(met, "_ladder", F.col("mae"), "rank", MAX_THRESHOLDS).select("model", "rank", "degraded")
     counted = ranked.groupBy("model", "rank").agg(
         count_where(F.col("degraded")).alias("pos"), count_where(~F.col("degraded")).alias("neg")
     )
@@ -190,10 +192,14 @@ def mixed_population(
 ) -> DataFrame:
     """One health level per sample, picked by a draw. All levels are rows of one table, so picking is a filter."""
     draw = population_draw() if draw is None else draw
-    choice = F.lit(100)
-    for bound, soc in reversed(list(cuts)):
-        choice = F.when(draw >= bound, F.lit(soc)).otherwise(choice)
-    return scores.where(F.col("soc") == choice)
+
+    def level(u: Column) -> Column:
+        choice = F.lit(100)
+        for bound, soc in reversed(list(cuts)):
+            choice = F.when(u >= bound, F.lit(soc)).otherwise(choice)
+        return choice
+
+    return scores.where(F.col("soc") == bind(draw, level))
 
 
 def flagged(population: DataFrame, threshold_rows: DataFrame) -> DataFrame:
@@ -221,12 +227,17 @@ def precision_at(flags: DataFrame, k: int = INTERVENTIONS) -> DataFrame:
     return top.groupBy("model").agg((F.sum("tp") / k).alias("precision_at_k"))
 
 
-def running_curve(flags: DataFrame, positive: bool = True, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def running_curve(
+    flags: DataFrame,
+    positive: bool = True,
+    hot: DataFrame | str | None = MEASURE,
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
     """Precision and recall after each predicted-positive sample by falling error (or predicted-negative by rising)."""
     right, wrong, missed = ("tp", "fp", "fn") if positive else ("tn", "fn", "fp")
     relevant = small(flags.groupBy("model").agg((F.sum(right) + F.sum(missed)).alias("relevant")))
     chosen = flags.where((F.col(right) == 1) | (F.col(wrong) == 1))
-    hot = find_hot(chosen, ["model"], "mae", max_rows)
+    hot = measured(chosen, ["model"], "mae", hot, max_rows)
     sums = {"hits": F.col(right), "misses": F.col(wrong)}
     curve = running(chosen, ["model"], "mae", ["sample_id"], sums, hot, descending=positive)
     return curve.join(relevant, "model").select(
@@ -265,16 +276,17 @@ def area_under(points: DataFrame) -> DataFrame:
 
 
 def map_report(
-    scores: DataFrame,
-    percent: int,
-    draw: Column | None = None,
-    max_rows: int | None = None,
+    scores: DataFrame, percent: int, draw: Column | None = None, max_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Flags, both curves and the one-row-per-model report of a mixed population at one threshold."""
-    bounds = {} if max_rows is None else {"max_rows": max_rows}
-    limit = percentile_threshold(scores, percent, **bounds)
-    flags = flagged(mixed_population(scores, MAP_POPULATION, draw), limit)
-    positive, negative = running_curve(flags, True, **bounds), running_curve(flags, False, **bounds)
+    """Flags, both curves and the one-row-per-model report of a mixed population at one threshold.
+
+    The scores are measured once; the bounds serve the threshold and both curves. Flags are staged, as five branches
+    read them.
+    """
+    hot = find_hot(scores, ["model"], "mae", max_rows)
+    limit = percentile_threshold(scores, percent, hot)
+    flags = stage(flagged(mixed_population(scores, MAP_POPULATION, draw), limit))
+    positive, negative = running_curve(flags, True, hot), running_curve(flags, False, hot)
     totals = negative_rates(rates(flag_totals(flags)))
     report = totals.join(mean_precision(positive, negative), "model").join(precision_at(flags), "model")
     return flags, positive, negative, report

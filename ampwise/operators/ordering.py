@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampwise.functions.numeric import count_not_above
+from ampwise.functions.numeric import with_rank
 
-MAX_GROUP_ROWS = 4_000_000
+MAX_GROUP_ROWS = 2_000_000
 HOT_GROUPS = 128
 PIECES = 256
+MEASURE = "measure"
 
 
 def find_hot(
@@ -52,6 +53,8 @@ def find_hot(
         return None
     spark = df.sparkSession
     key_fields = [counted.schema[key] for key in keys]
+    if pieces > PIECES:
+        raise ValueError(f"at most {PIECES} pieces")
     wanted = spark.createDataFrame([tuple(row[key] for key in keys) for row in largest], T.StructType(key_fields))
     steps = [i / pieces for i in range(1, pieces)]
     bounds = (
@@ -65,16 +68,20 @@ def find_hot(
     return spark.createDataFrame([tuple(row) for row in bounds], schema)
 
 
+def measured(df: DataFrame, keys: Sequence[str], position: str, hot, max_rows: int) -> DataFrame | None:
+    """``hot`` as given, or measured on ``df`` when it is MEASURE.
+
+    Bounds found on a table also split any subset of its rows, so callers measure once and pass the result on.
+    """
+    return find_hot(df, keys, position, max_rows) if isinstance(hot, str) and hot == MEASURE else hot
+
+
 def with_piece(df: DataFrame, keys: Sequence[str], position: str | Column, hot: DataFrame) -> DataFrame:
     """Add ``_hot`` and ``_piece``: 0 for ordinary groups, the rank along ``position`` for hot ones."""
     position = F.col(position) if isinstance(position, str) else position
-    is_hot = F.col("_bounds").isNotNull()
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_piece", F.when(is_hot, count_not_above(F.col("_bounds"), position)).otherwise(0))
-        .withColumn("_hot", is_hot)
-        .drop("_bounds")
-    )
+    bounded = df.join(F.broadcast(hot), list(keys), "left")
+    placed = with_rank(bounded, "_bounds", position, "_piece", PIECES)
+    return placed.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
 
 
 def earlier_pieces(

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampwise.operators.ordering import find_hot, ordinal
-
-MAX_BUFFER_ROWS = 1_000_000
+from ampwise.operators.ordering import MAX_GROUP_ROWS, MEASURE, measured, ordinal
 
 
 def percentiles(
@@ -17,13 +15,14 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     fractions: Sequence[float],
-    max_rows: int | None = MAX_BUFFER_ROWS,
+    hot: DataFrame | str | None = MEASURE,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Per group, an array ``values`` of the percentiles at ``fractions``, interpolated linearly.
 
     The built-in exact percentile keeps a group's distinct values in one buffer. Where the largest group is too large
-    for that, rows are numbered along ``value`` and only the few needed ranks are kept. ``max_rows=None`` skips the
-    measurement for groups known to be small.
+    for that, rows are numbered along ``value`` and only the few needed ranks are kept. ``hot=None`` states that every
+    group is known to be small.
     """
     keys = list(keys)
     fractions = [float(f) for f in fractions]
@@ -31,7 +30,7 @@ def percentiles(
     if not keys:
         keys = ["_all"]
         present = present.withColumn("_all", F.lit(0))
-    hot = None if max_rows is None else find_hot(present, keys, "_value", max_rows)
+    hot = measured(present, keys, "_value", hot, max_rows)
     if hot is None:
         out = present.groupBy(*keys).agg(F.percentile("_value", fractions).alias("values"))
     else:
@@ -61,18 +60,18 @@ def _by_rank(present: DataFrame, keys: list[str], fractions: list[float], hot: D
 
 
 def named_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], max_rows: int | None = MAX_BUFFER_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], hot: DataFrame | str | None = MEASURE
 ) -> DataFrame:
     """Percentiles as columns."""
-    out = percentiles(df, keys, value, list(names.values()), max_rows)
+    out = percentiles(df, keys, value, list(names.values()), hot)
     return out.select(*keys, *[F.col("values")[i].alias(name) for i, name in enumerate(names)])
 
 
 def threshold_table(
-    df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], max_rows: int | None = MAX_BUFFER_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], hot: DataFrame | str | None = MEASURE
 ) -> DataFrame:
     """Percentiles as rows ``(keys, pct, threshold)``."""
-    out = percentiles(df, keys, value, [p / 100 for p in percents], max_rows)
+    out = percentiles(df, keys, value, [p / 100 for p in percents], hot)
     labels = F.array(*[F.lit(int(p)) for p in percents])
     zipped = F.arrays_zip(labels.alias("pct"), F.col("values").alias("threshold"))
     return out.select(*keys, F.inline(zipped))

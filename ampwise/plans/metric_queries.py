@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ampwise.functions.numeric import array_huber, array_mae, huber, sparse_loss, uniform
 from ampwise.operators import metrics
+from ampwise.operators.ordering import find_hot
 from ampwise.plans import oracle_parts as o
 from ampwise.plans.registry import query, r6
+from ampwise.session import stage
 from ampwise.sources import stores, views
 from ampwise.sources.views import order_scores
 
@@ -239,9 +241,11 @@ MAP_CHAIN = (o.SCORES, MAP_POPULATION, FLAGS, CURVES)
 
 
 def _flags(spark, folder):
+    """Flags of the mixed population, and the measured bounds of its models."""
     scores = order_scores(spark, folder)
-    limit = metrics.percentile_threshold(scores, MAP_PERCENT).withColumn("threshold", F.round("threshold", 9))
-    return metrics.flagged(metrics.mixed_population(scores, metrics.MAP_POPULATION), limit)
+    hot = find_hot(scores, ["model"], "mae")
+    limit = metrics.percentile_threshold(scores, MAP_PERCENT, hot).withColumn("threshold", F.round("threshold", 9))
+    return metrics.flagged(metrics.mixed_population(scores, metrics.MAP_POPULATION), limit), hot
 
 
 @query(
@@ -249,7 +253,8 @@ def _flags(spark, folder):
     o.chain(*MAP_CHAIN) + " SELECT model, sample_id, soc, round(mae, 6) AS mae, tp, fp, tn, fn FROM fl",
 )
 def map_flags(spark, folder):
-    return _flags(spark, folder).select("model", "sample_id", "soc", r6("mae"), "tp", "fp", "tn", "fn")
+    flags, _ = _flags(spark, folder)
+    return flags.select("model", "sample_id", "soc", r6("mae"), "tp", "fp", "tn", "fn")
 
 
 CURVE_COLUMNS = "model, sample_id, round(mae, 6) AS mae, round(rcl, 6) AS rcl, round(prc, 6) AS prc"
@@ -261,12 +266,14 @@ def _rounded_curve(curve):
 
 @query("positive_curve", o.chain(*MAP_CHAIN) + f" SELECT {CURVE_COLUMNS} FROM pc")
 def positive_curve(spark, folder):
-    return _rounded_curve(metrics.running_curve(_flags(spark, folder), True))
+    flags, hot = _flags(spark, folder)
+    return _rounded_curve(metrics.running_curve(stage(flags), True, hot))
 
 
 @query("negative_curve", o.chain(*MAP_CHAIN) + f" SELECT {CURVE_COLUMNS} FROM nc")
 def negative_curve(spark, folder):
-    return _rounded_curve(metrics.running_curve(_flags(spark, folder), False))
+    flags, hot = _flags(spark, folder)
+    return _rounded_curve(metrics.running_curve(stage(flags), False, hot))
 
 
 @query(
@@ -277,7 +284,8 @@ def negative_curve(spark, folder):
     GROUP BY model""",
 )
 def precision_at_150(spark, folder):
-    return metrics.precision_at(_flags(spark, folder)).select("model", r6("precision_at_k"))
+    flags, _ = _flags(spark, folder)
+    return metrics.precision_at(flags).select("model", r6("precision_at_k"))
 
 
 @query(
@@ -287,7 +295,7 @@ def precision_at_150(spark, folder):
            count(*) FILTER (WHERE tn = 1 OR fn = 1) AS predicted_healthy FROM fl GROUP BY model""",
 )
 def flagged_subsets(spark, folder):
-    flags = _flags(spark, folder)
+    flags, _ = _flags(spark, folder)
     hit, miss = (F.col("tp") == 1) | (F.col("fp") == 1), (F.col("tn") == 1) | (F.col("fn") == 1)
     return flags.groupBy("model").agg(
         F.count(F.when(hit, 1)).alias("predicted_degraded"), F.count(F.when(miss, 1)).alias("predicted_healthy")

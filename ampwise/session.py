@@ -58,14 +58,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 10_000
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` computed once and, if it has at most ``max_rows`` rows, marked for broadcast.
+    """``df`` computed once and marked for broadcast if it has at most ``max_rows`` rows; else ``df`` as it is.
 
     For per-model tables joined to all samples: with a handful of join keys a shuffled join would put most samples
-    into a few tasks. A larger table joins the ordinary way.
+    into a few tasks. At most ``max_rows`` + 1 rows are fetched; a larger table joins the ordinary way.
     """
-    done = cut(df)
-    return F.broadcast(done) if done.limit(max_rows + 1).count() <= max_rows else done
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

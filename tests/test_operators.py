@@ -48,12 +48,12 @@ def test_percentiles_match_numpy_on_both_paths(spark):
     values = {}
     for r in df.collect():
         values.setdefault(r.k, []).append(r.v)
-    for max_rows in (None, 100):
-        got = {r.k: list(r["values"]) for r in percentiles(df, ["k"], "v", fractions, max_rows).collect()}
+    for max_rows in (10_000, 100):
+        got = {r.k: list(r["values"]) for r in percentiles(df, ["k"], "v", fractions, max_rows=max_rows).collect()}
         assert set(got) == set(values)
         for k, v in values.items():
             assert np.allclose(got[k], np.percentile(v, range(10, 100)))
-    whole = percentiles(df, [], "v", [0.5], 100).first()["values"][0]
+    whole = percentiles(df, [], "v", [0.5], max_rows=100).first()["values"][0]
     assert whole == pytest.approx(np.percentile([r.v for r in df.collect()], 50))
 
 
