@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ampwise.operators.align import substitute_degraded
 from ampwise.operators.ordering import MAX_GROUP_ROWS, find_hot, running
 from ampwise.schema import EPISODE
-from ampwise.session import cut
+from ampwise.session import small, stage
 
 FOLD_SEED = 20091017
 DEGRADED_FOLD_SEED = 4988
@@ -39,11 +39,11 @@ def fold_map(
     opening whose total, less what lay before that opening, exceeds the cap. Each is one minimum over the table.
     """
     order = seeded_order(seed) if order is None else order
-    things = cut(sizes.select("thing", "n", order.alias("order"), F.lit(0).alias("_all")))
+    things = stage(sizes.select("thing", "n", order.alias("order"), F.lit(0).alias("_all")))
     hot = find_hot(things, ["_all"], "order", max_rows)
     filled = running(things, ["_all"], "order", ["thing"], {"upto": F.col("n")}, hot).drop("_all")
     if hot is not None:
-        filled = cut(filled)
+        filled = stage(filled)
     place = F.struct("order", "thing")
     cap = F.floor(F.sum("n") / k)
     openings = things.agg(cap.alias("cap"), F.array().cast(_opening_type(things)).alias("openings"))
@@ -73,8 +73,8 @@ def _opening_type(things: DataFrame) -> str:
 
 
 def assign_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every row inherits the fold of its thing; Spark broadcasts the map when it is small."""
-    return rows.join(folds.select("thing", "fold"), "thing")
+    """Every row inherits the fold of its thing; the map is broadcast when it is small enough."""
+    return rows.join(small(folds.select("thing", "fold")), "thing")
 
 
 def degraded_folds(

@@ -44,7 +44,7 @@ def box_stats(
     names = {"p10": 0.1, "q1": 0.25, "q2": 0.5, "q3": 0.75, "p90": 0.9}
     if not fences:
         return named_percentiles(df, keys, value, names, hot)
-    boxes = named_percentiles(df, keys, value, {n: names[n] for n in ("q1", "q2", "q3")}, hot)
+    boxes = small(named_percentiles(df, keys, value, {n: names[n] for n in ("q1", "q2", "q3")}, hot))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low_side = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q1"))
     high_side = (F.col(value) <= F.col("q3") + reach) & (F.col(value) >= F.col("q3"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampwise.operators.ordering import MAX_GROUP_ROWS, MEASURE, measured, ordinal
+from ampwise.session import small
 
 
 def percentiles(
@@ -47,7 +48,7 @@ def _by_rank(present: DataFrame, keys: list[str], fractions: list[float], hot: D
         F.flatten(F.transform(place, lambda h: F.array(F.floor(h), F.ceil(h))))
     )
     wanted = sizes.select(*keys, "_n", F.explode(needed).alias("_rank"))
-    kept = ranked.join(wanted, [*keys, "_rank"])
+    kept = ranked.join(small(wanted), [*keys, "_rank"])
     found = kept.groupBy(*keys, "_n").agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
     )

@@ -22,7 +22,7 @@ from ampwise.functions.signal import (
 )
 from ampwise.operators.ordering import MAX_GROUP_ROWS, earlier_pieces, find_hot, with_piece
 from ampwise.schema import MONTH, Params
-from ampwise.session import cut
+from ampwise.session import stage
 
 log = logging.getLogger(__name__)
 
@@ -86,15 +86,13 @@ def _frames(rows: DataFrame, p: Params, mode: str, keys: list[str]) -> DataFrame
         count_where(dis).over(span(0, p.alpha1 - 1)).alias("dis_ahead"),
         F.lag("us", p.eps1).over(order).alias("from_us"),
         F.lag("seq", p.eps1).over(order).alias("from_seq"),
-        F.count(F.lit(1)).over(span(-1, -1)).alias("has_prev"),
     ]
     if mode == SWAB_TO_SWAB:
         own = [
             count_where(chg).over(before).alias("chg_before"),
             count_where(chg).over(span(0, p.alpha1 - 1)).alias("chg_skip"),
             count_where(rest).over(span(0, p.eps2 - 1)).alias("rest_ahead"),
-            count_where(rest).over(span(-1, p.eps2 - 2)).alias("rest_ahead_prev"),
-            F.lag(chg, 1).over(order).alias("prev_chg"),
+            F.lag(rest & ~chg, 1).over(order).alias("prev_only_rest"),
             F.lag(dis, p.alpha1 + 1).over(order).alias("dis_at_seek"),
             F.lead("us", p.eps2).over(order).alias("to_us"),
             F.lead("seq", p.eps2).over(order).alias("to_seq"),
@@ -111,18 +109,14 @@ def _frames(rows: DataFrame, p: Params, mode: str, keys: list[str]) -> DataFrame
 def _flags(framed: DataFrame, p: Params, mode: str) -> DataFrame:
     """Reduce rows to marks: starts, possible ends, and the first row of a month.
 
-    In the default mode the earliest row satisfying an end condition always follows a row that does not, so only
-    rest stretches' first rows, rows after a charge row and the first row past the seek offset can be it.
+    In the default mode the earliest row satisfying an end condition always follows a row that does not. Given enough
+    rest from here on, that leaves rows whose predecessor is not rest or is a charge row, and the first row past the
+    seek offset.
     """
     gap = whole_seconds(F.col("us"), F.col("prev_dis"))
     is_start = is_discharge(p) & F.col("prev_dis").isNotNull() & (gap > p.gap_s)
     if mode == SWAB_TO_SWAB:
-        first = (
-            (F.col("rest_ahead_prev") != p.eps2)
-            | (F.col("has_prev") == 0)
-            | F.coalesce(F.col("prev_chg"), F.lit(False))
-            | F.coalesce(F.col("dis_at_seek"), F.lit(False))
-        )
+        first = ~F.coalesce(F.col("prev_only_rest"), F.lit(False)) | F.coalesce(F.col("dis_at_seek"), F.lit(False))
         is_end = (F.col("rest_ahead") == p.eps2) & first
         charged = F.col("chg_before")
         charged_at_seek = F.col("chg_before") + F.col("chg_skip")
@@ -202,7 +196,7 @@ def _marks_in_pieces(rows: DataFrame, p: Params, mode: str, hot: DataFrame) -> D
     framed = framed.withColumn("prev_dis", F.greatest("prev_dis", "_dis"))
     if mode == SWAB_TO_SWAB:
         framed = framed.withColumn("chg_before", F.col("chg_before") + F.coalesce("_chg", F.lit(0)))
-    return cut(_flags(framed.drop("_rows", "_chg", "_dis", "_own"), p, mode))
+    return stage(_flags(framed.drop("_rows", "_chg", "_dis", "_own"), p, mode))
 
 
 def _owners(marks: DataFrame, in_pieces: bool) -> DataFrame:

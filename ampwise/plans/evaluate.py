@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ampwise.operators import folds, metrics, reconstruct, scaling
 from ampwise.schema import EPISODE
-from ampwise.session import cut, stage
+from ampwise.session import small, stage
 
 FOLDS = 6
 BATCH = 64
@@ -58,14 +58,13 @@ def run(
     models = reconstruct.fit_splits(healthy, learn, size)
     held = _truncated(healthy.where(F.col("fold") < k - 1), ["fold"], batch)
     validation = stage(reconstruct.validation_scores(held, models))
-    best = cut(metrics.best_model(validation))
-    # One row, so both joins broadcast safely.
-    chosen = validation.join(F.broadcast(best.select("model")), "model")
+    best = small(metrics.best_model(validation))
+    chosen = validation.join(best.select("model"), "model")
     thresholds = metrics.thresholds(chosen)
     test = _truncated(
         samples.where((F.col("fold") == k - 1) & F.col("soc").isin(metrics.HEALTH_LEVELS)), ["soc"], batch
     )
-    named = test.join(F.broadcast(best.select("model")))
+    named = test.join(best.select("model"))
     scored = reconstruct.score(named, models.values())
     scores = scored.select("model", "soc", reconstruct.sample_key(*EPISODE).alias("sample_id"), "mae")
     return Evaluation(list(models.values()), validation, best, thresholds, stage(scores))

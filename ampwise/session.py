@@ -1,4 +1,4 @@
-"""Session defaults and the reliable lineage cut."""
+"""Session defaults, staging in the shared folder, and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -40,17 +40,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably: lost executors never lose the rows, and the lineage ends here."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     For inputs that several branches read with different columns: the expensive part runs once, and each branch
-    scans only what it needs.
+    scans only what it needs. It also cuts the lineage: lost executors never lose staged rows.
     """
     folder = _shared_folder(df.sparkSession)
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
