@@ -71,10 +71,10 @@ def with_rank(df: DataFrame, sorted_values: str, value: Column, name: str, max_l
 
     A binary search unrolled into projections, so it stays in generated code and costs log2(length) comparisons.
     """
-    out = df.withColumns({"_value": value, name: F.lit(0)})
+    out = df.withColumns({"_sought": value, name: F.lit(0)})
     step = 1 << max(max_length.bit_length() - 1, 0)
     while step:
         probe = F.get(sorted_values, F.col(name) + (step - 1))
-        out = out.withColumn(name, F.col(name) + F.when(probe <= F.col("_value"), step).otherwise(0))
+        out = out.withColumn(name, F.col(name) + F.when(probe <= F.col("_sought"), step).otherwise(0))
         step >>= 1
-    return out.drop("_value")
+    return out.drop("_sought")

@@ -80,7 +80,7 @@ def with_piece(df: DataFrame, keys: Sequence[str], position: str | Column, hot:
     """Add ``_hot`` and ``_piece``: 0 for ordinary groups, the rank along ``position`` for hot ones."""
     position = F.col(position) if isinstance(position, str) else position
     bounded = df.join(F.broadcast(hot), list(keys), "left")
-    placed = with_rank(bounded, "_bounds", position, "_piece", PIECES)
+    placed = with_rank(bounded, "_bounds", position, "_piece", PIECES - 1)
     return placed.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
 
 
