@@ -40,14 +40,18 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     For inputs that several branches read with different columns: the expensive part runs once, and each branch
     scans only what it needs. It also cuts the lineage: lost executors never lose staged rows.
     """
-    folder = _shared_folder(df.sparkSession)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

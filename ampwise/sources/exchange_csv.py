@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampwise.functions.labels import folder_soc, folder_thing
@@ -24,6 +24,18 @@ def export_episodes(rows: DataFrame, folder: str) -> None:
     ordered.write.mode("overwrite").option("header", True).partitionBy(*keys).csv(folder)
 
 
+def _lines(texts: DataFrame, *keys: Column) -> DataFrame:
+    """Split whole-file texts into current and voltage with their line position."""
+    lines = F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), r"\r?\n")
+    numbered = texts.select(*keys, F.posexplode(lines).alias("pos", "line"))
+    cells = F.split("line", ",")
+
+    def number(i: int) -> Column:
+        return F.get(cells, F.lit(i)).cast("float").cast("double")
+
+    return numbered.withColumns({"current": number(0), "voltage": number(1)}).drop("line")
+
+
 def read_traces(spark: SparkSession, folder: str) -> DataFrame:
     """Simulator traces ``<x><thing>_<soc>/<month>_<episode>.csv`` with their line positions.
 
@@ -31,28 +43,22 @@ def read_traces(spark: SparkSession, folder: str) -> DataFrame:
     """
     texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     located = texts.select("value", F.split(F.col("_metadata.file_path"), "/").alias("parts"))
-    named = located.select(
-        F.element_at("parts", -2).alias("folder"), F.element_at("parts", -1).alias("file"), "value"
-    )
-    numbered = named.select(
-        folder_thing(F.col("folder")).alias("thing"),
-        folder_soc(F.col("folder")).alias("soc"),
-        F.regexp_extract("file", r"^(\d+)_(\d+)", 1).cast("int").alias("month_no"),
-        F.regexp_extract("file", r"^(\d+)_(\d+)", 2).cast("int").alias("ep_no"),
-        F.posexplode(F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), r"\r?\n")).alias("pos", "line"),
-    )
-    cells = F.split("line", ",")
-    return numbered.select(
-        "thing",
-        "soc",
-        "month_no",
-        "ep_no",
-        "pos",
-        F.get(cells, F.lit(0)).cast("float").cast("double").alias("current"),
-        F.get(cells, F.lit(1)).cast("float").cast("double").alias("voltage"),
+    folder_name, file = F.element_at("parts", -2), F.element_at("parts", -1)
+    return _lines(
+        located,
+        folder_thing(folder_name).alias("thing"),
+        folder_soc(folder_name).alias("soc"),
+        F.regexp_extract(file, r"^(\d+)_(\d+)", 1).cast("int").alias("month_no"),
+        F.regexp_extract(file, r"^(\d+)_(\d+)", 2).cast("int").alias("ep_no"),
     )
 
 
+def read_keyed_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces of one health level laid out as the export is: ``thing=/month_no=/ep_no=``."""
+    texts = spark.read.schema("value string, thing string, month_no int, ep_no int").text(folder, wholetext=True)
+    return _lines(texts, F.col("thing"), F.col("month_no"), F.col("ep_no"))
+
+
 def voltages(trace: DataFrame) -> DataFrame:
     """The single-column reading of a trace: the second column, under its position."""
     return trace.select("thing", "soc", "month_no", "ep_no", "pos", "voltage")
