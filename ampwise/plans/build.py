@@ -42,7 +42,7 @@ def build_episodes(
     found = stage(segment.candidates(telemetry, p, mode, hot))
     months = segment.months(telemetry)
     heads = segment.headers(found, months, in_pieces=hot is not None)
-    stores.save_episodes(episodes.episode_rows(telemetry, heads, p, hot), months, path)
+    stores.save_episodes(episodes.episode_rows(telemetry, heads, p, hot), months, path, with_episodes=heads)
     return segment.status_totals(found)
 
 

@@ -25,18 +25,23 @@ def _overwrite_partitions(df: DataFrame, path: str, *keys: str) -> None:
     writer.partitionBy(*keys).parquet(path)
 
 
-def save_episodes(rows: DataFrame, months: DataFrame, path: str) -> None:
+def save_episodes(rows: DataFrame, months: DataFrame, path: str, with_episodes: DataFrame | None = None) -> None:
     """Store episode rows by thing. The month table also records things without any episode.
 
     A thing's rows are spread by month and episode range, so a large thing becomes several files, not one task. The
-    month table is written last and marks the things as done.
+    month table is written last and marks the things as done. ``with_episodes`` names the things that have rows, where
+    that is cheaper to know than from the rows.
     """
+    filled = (rows if with_episodes is None else with_episodes).select("thing").distinct()
+    marked = months.join(filled.withColumn("has_episodes", F.lit(True)), "thing", "left").fillna(
+        False, ["has_episodes"]
+    )
     spread = F.floor(F.col("ep_idx") / EPISODES_PER_FILE)
     sorted_rows = rows.repartition("thing", "month_idx", spread).sortWithinPartitions(
         "thing", "month_idx", "ep_idx", "pos"
     )
     _overwrite_partitions(sorted_rows, os.path.join(path, "rows"), "thing")
-    _overwrite_partitions(months.repartition("thing"), os.path.join(path, "months"), "thing")
+    _overwrite_partitions(marked.repartition("thing"), os.path.join(path, "months"), "thing")
 
 
 def stored_things(spark: SparkSession, path: str) -> DataFrame | None:
@@ -60,9 +65,12 @@ def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> D
     if not is_folder(spark, table):
         log.warning("no episodes at %s, build the data set first", path)
         return None
+    # Rows left over from an earlier build of a thing that has no episodes any more do not count.
+    current = load_months(spark, path).where("has_episodes").select("thing").distinct()
+    rows = read_keyed(spark, table)
     if thing is None:
-        return read_keyed(spark, table)
-    rows = read_keyed(spark, table).where(F.col("thing") == thing)
+        return rows.join(current, "thing", "left_semi")
+    rows = rows.where(F.col("thing") == thing).join(current.where(F.col("thing") == thing), "thing", "left_semi")
     if rows.select(F.lit(1)).limit(1).isEmpty():
         log.warning("no episodes of %s at %s", thing, path)
         return None

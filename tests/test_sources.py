@@ -69,8 +69,11 @@ def test_incremental_build_opens_only_new_files(spark, folder, tmp_path):
     write(folder, "200.gz", [line("E200", i, LEVELS[c]) for i, c in enumerate(SIGNAL)])
     assert {r.thing for r in build.build_episodes(spark, folder, root, TWOS).collect()} == {"200"}
     assert stores.load_episodes(spark, path).count() == before * 3 // 2
+    write(folder, "101.gz", [line("E101", i, 0.0) for i in range(9)])
     build.build_episodes(spark, folder, root, TWOS, force=True)
-    assert stores.load_episodes(spark, path).count() == before * 3 // 2
+    loaded = stores.load_episodes(spark, path)
+    assert loaded.count() == before and {r.thing for r in loaded.select("thing").distinct().collect()} == {"007", "200"}
+    assert stores.load_episodes(spark, path, "101") is None
 
 
 def test_loads_warn_instead_of_failing(spark, folder, tmp_path, caplog):
