@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Capacity at full health, and the formats of stored names.
 NOMINAL_CAPACITY = 340
+MODEL_FORMAT = "Enc_%d_Synthetic_%d_%s_K_%d"
+MAP_FORMAT = "map_model_%s_th_%d"
+EPISODE_FILE_FORMAT = "%d_%d.csv"
+HEALTH_FORMAT = "SOH %d"
 
 
 def model_name(code_size: Column, kind: Column, k: Column, soc: int = 100) -> Column:
-    return F.format_string("Enc_%d_Synthetic_%d_%s_K_%d", code_size, F.lit(soc), kind, k)
+    return F.format_string(MODEL_FORMAT, code_size, F.lit(soc), kind, k)
 
 
 def map_name(model: Column, percentile: int) -> Column:
-    return F.format_string("map_model_%s_th_%d", model, F.lit(percentile))
+    return F.format_string(MAP_FORMAT, model, F.lit(percentile))
 
 
 def episode_file(month_no: Column, ep_no: Column) -> Column:
-    return F.format_string("%d_%d.csv", month_no, ep_no)
+    return F.format_string(EPISODE_FILE_FORMAT, month_no, ep_no)
 
 
 def health_label(soc: Column) -> Column:
-    return F.format_string("SOH %d", soc)
+    return F.format_string(HEALTH_FORMAT, soc)
 
 
 def capacity_label(position: Column) -> Column:
