@@ -72,10 +72,10 @@ def model_summary(scores: DataFrame, hot: DataFrame | str | None = MEASURE) -> D
 
 
 def best_model(scores: DataFrame) -> DataFrame:
-    """The model of lowest mean error; the first name wins a tie."""
+    """The model of lowest mean error; the first name wins a tie. No row without scores."""
     means = scores.groupBy("model").agg(F.avg("mae").alias("mean_mae"))
     best = F.min(F.struct("mean_mae", "model")).alias("best")
-    return means.agg(best).select("best.model", "best.mean_mae")
+    return means.agg(best).where(F.col("best").isNotNull()).select("best.model", "best.mean_mae")
 
 
 def thresholds(
