@@ -58,4 +58,4 @@ def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_exact_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return sharding.shard(docs).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.shard(docs, carried=[]).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -62,20 +62,23 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame
     return buckets.drop("n").join(quotas, "group").mapInPandas(_bucket_draws(seed), "bucket long, until array<long>")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 11, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = SHARDS, seed: int = 11, bucket_rows: int = BUCKET_ROWS, carried: list[str] | None = None
+) -> DataFrame:
     """(row, size, text_crc32, law, shard, slot, grown_shard): every row, as a struct, with its place.
 
     The law is ``rows``: shard sizes differ by one row at most; slots run from 0 without gaps. Size is the UTF-8 bytes
     of the text plus 1; a null text counts as empty. Null ids are rows like any other. Rows that are equal in doc_id and
     text are dealt out too; which of them gets which place is left open. ``grown_shard`` is null: this law promises
-    nothing for another number of shards. Columns of ``docs`` stay inside ``row``, so no name can clash.
+    nothing for another number of shards. Columns of ``docs`` stay inside ``row``, so no name can clash; ``carried``
+    names those to carry besides doc_id, all by default.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     buckets = max(1, -(-docs.count() // bucket_rows))
     mark = lambda k: F.xxhash64(F.lit(seed + k), F.col("doc_id"), F.col("text"))
     keyed = stage(
         docs.select(
-            F.struct("*").alias("row"),
+            (F.struct("*") if carried is None else F.struct("doc_id", *carried)).alias("row"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.pmod(mark(0), F.lit(buckets)).alias("bucket"),
