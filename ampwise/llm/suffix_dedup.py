@@ -1,8 +1,9 @@
 """Exact removal of repeated byte strings by prefix-free parsing.
 
 A rolling hash over 16 bytes sets triggers; the bytes between triggers are phrases. Each window of ``width`` bytes
-has an *anchor*: the least-hashed pair of adjacent phrases inside it. Equal windows have equal anchors at the same
-place, so neighbouring windows of one anchor travel together as a *fragment* and meet their equals in one group. An
+has an *anchor*: the least-hashed run of three phrases inside it, or else the least-hashed phrase. Equal windows have equal anchors at the same
+place, so neighbouring windows of one anchor travel together as a *fragment* and meet their equals in one group; a
+window without whole phrases, as in periodic text, is a fragment of its own with all its places in the document. An
 anchor seen once holds nothing repeated, and equal fragments settle each other without their bytes. For the other
 groups, the phrases of the fragments make a dictionary and a parse; their suffix arrays combine into corpus order, in
 which windows are repeated that share ``width`` bytes with a neighbour.
@@ -25,11 +26,12 @@ from ampwise.session import stage
 
 WIDTH = 400
 TRIGGER_BYTES = 16
-TRIGGER_SHIFT = 59  # one trigger in 32 bytes
+TRIGGER_SHIFT = 60  # one trigger in 16 bytes
+PHRASES = (3, 1)  # adjacent phrases of an anchor; the later number where a window has no such run
 GROUP_ROWS = 128
 BATCH_BYTES = 1 << 20
 
-FRAGMENTS = "doc_id long, text_key long, anchor long, f1 long, f2 long, first int, n int"
+FRAGMENTS = "doc_id long, text_key long, anchor long, f1 long, f2 long, first int, n int, places array<int>"
 FOUND = "anchor long, f1 long, f2 long, starts array<int>"
 WINDOWS = "h1 long, h2 long, anchor long, f1 long, f2 long, start int, copies long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -55,26 +57,32 @@ def _cuts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fragments(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Row, anchor hash, first and last window start of each fragment; windows without a whole pair stand alone."""
+    """Row, anchor hash, first and last window start of each fragment, the hashes, and offsets and values of ``places``.
+
+    Windows without whole phrases stand alone, equal ones of a row together; ``places`` are their starts from the first.
+    """
     cuts, row = _cuts(data, starts)
     hashes = SpanHashes(data)
-    pair = np.flatnonzero(row[:-2] == row[2:]) if len(cuts) > 2 else np.zeros(0, np.int64)
-    opens, closes = cuts[pair] - TRIGGER_BYTES, cuts[pair + 2] if len(pair) else cuts[:0]
-    value = hashes.of(opens, closes)
+    runs = [np.flatnonzero(row[:-n] == row[n:]) for n in PHRASES]
+    opens = [cuts[own] - TRIGGER_BYTES for own in runs]
+    closes = [cuts[own + n] if len(own) else cuts[:0] for own, n in zip(runs, PHRASES)]
+    value = np.concatenate([hashes.of(a, b) for a, b in zip(opens, closes)])
     rows = np.flatnonzero(np.diff(starts) >= width)
-    events = np.unique(np.concatenate([closes - width, opens + 1, starts[rows], starts[rows + 1] - width + 1]))
-    at = np.searchsorted(starts, events, "right") - 1
-    at = np.clip(at, 0, len(starts) - 2)
+    events = [starts[rows], starts[rows + 1] - width + 1]
+    events = np.unique(np.concatenate([*events, *(a + 1 for a in opens), *(b - width for b in closes)]))
+    at = np.clip(np.searchsorted(starts, events, "right") - 1, 0, len(starts) - 2)
     valid = (events >= starts[at]) & (events + width <= starts[at + 1])
     after = np.append(events[1:], 0)[valid]
     events, at = events[valid], at[valid]
-    low = np.searchsorted(opens, events, "left")
-    high = np.searchsorted(closes, events + width, "right") - 1
-    anchor = np.full(len(events), -1)
-    some = np.flatnonzero(low <= high)
-    if len(some):
-        longest = int((high[some] - low[some]).max()) + 1
-        anchor[some] = RangeLeast(value, longest).at(low[some], high[some])
+    anchor, offset = np.full(len(events), -1), 0
+    for a, b in zip(opens, closes):
+        low = np.searchsorted(a, events, "left")
+        high = np.searchsorted(b, events + width, "right") - 1
+        some = np.flatnonzero((low <= high) & (anchor < 0))
+        if len(some):
+            longest = int((high[some] - low[some]).max()) + 1
+            anchor[some] = offset + RangeLeast(value[offset : offset + len(a)], longest).at(low[some], high[some])
+        offset += len(a)
     fresh = np.ones(len(events), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1])
     head = np.flatnonzero(fresh)
@@ -83,13 +91,22 @@ def fragments(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndar
     alone = head_anchor < 0
     lengths = np.where(alone, last - head_first + 1, 0)
     spread = np.repeat(head_first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    spread_row, spread_value = np.repeat(head_row, lengths), hashes.of(spread, spread + width)
+    order = np.lexsort((spread, spread_value, spread_row))
+    spread, spread_row, spread_value = spread[order], spread_row[order], spread_value[order]
+    lead = np.ones(len(spread), bool)
+    lead[1:] = (spread_row[1:] != spread_row[:-1]) | (spread_value[1:] != spread_value[:-1])
+    lead = np.flatnonzero(lead)
+    places = spread - np.repeat(spread[lead], np.diff(np.append(lead, len(spread))))
     named = ~alone
     return (
-        np.concatenate([head_row[named], np.repeat(head_row, lengths)]),
-        np.concatenate([value[head_anchor[named]], hashes.of(spread, spread + width)]),
-        np.concatenate([head_first[named], spread]),
-        np.concatenate([last[named], spread]),
+        np.concatenate([head_row[named], spread_row[lead]]),
+        np.concatenate([value[head_anchor[named]], spread_value[lead]]),
+        np.concatenate([head_first[named], spread[lead]]),
+        np.concatenate([last[named], spread[lead]]),
         hashes,
+        np.concatenate([np.zeros(int(named.sum()), np.int64), lead, [len(spread)]]),
+        places,
     )
 
 
@@ -98,7 +115,8 @@ def _fragment_batches(width: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, starts = text_bytes(part.column("text"))
-                row, anchor, first, last, one = fragments(data, starts, width)
+                row, anchor, first, last, one, offsets, places = fragments(data, starts, width)
+                bare = np.append(np.diff(offsets) == 0, False)
                 two = SpanHashes(data, 1)
                 after = last + width
                 yield pa.RecordBatch.from_arrays(
@@ -110,8 +128,9 @@ def _fragment_batches(width: int):
                         pa.array(two.of(first, after).view(np.int64)),
                         pa.array((first - starts[row]).astype(np.int32)),
                         pa.array((after - first).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=bare), pa.array(places.astype(np.int32))),
                     ],
-                    ["doc_id", "text_key", "anchor", "f1", "f2", "first", "n"],
+                    ["doc_id", "text_key", "anchor", "f1", "f2", "first", "n", "places"],
                 )
 
     return run
@@ -269,40 +288,49 @@ def _window_batches(width: int):
     return run
 
 
-def removed_bytes(n: int, spans: list, width: int) -> np.ndarray:
-    """Which of ``n`` bytes the spans cover: (first, n, starts); no starts means all windows from first on."""
-    marks = np.zeros(n + 1, np.int64)
-    for span in spans:
-        first, size, starts = span["first"], span["n"], span["starts"]
-        if starts is None:
-            marks[first] += 1
-            marks[first + size] -= 1
-        else:
-            at = first + np.asarray(starts, np.int64)
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + width, -1)
+def removed_bytes(size: int, starts: np.ndarray, spans: pa.ListArray, width: int) -> np.ndarray:
+    """Which of ``size`` bytes the rows' spans cover; a span (first, n, starts) without starts covers all of its bytes."""
+    marks = np.zeros(size + 1, np.int64)
+    rows = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy())
+    own = spans.flatten()
+    base = starts[rows] + own.field("first").to_numpy()
+    windows = own.field("starts")
+    whole = windows.is_null().to_numpy(zero_copy_only=False)
+    np.add.at(marks, base[whole], 1)
+    np.add.at(marks, (base + own.field("n").to_numpy())[whole], -1)
+    at = np.repeat(base, windows.value_lengths().fill_null(0).to_numpy()) + windows.flatten().to_numpy()
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + width, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
 def _cut_batches(width: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                raw = (text or "").encode()
-                gone, kept, runs = 0, raw, 0
-                if spans:
-                    mask = removed_bytes(len(raw), spans, width)
-                    gone = int(mask.sum())
-                    runs = int((np.diff(np.append(False, mask).astype(np.int8)) > 0).sum())
-                    kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                row = (doc_id, len(raw), gone, runs, hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept) if keep_text else row)
-            schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
-            schema += [("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(schema)], [n for n, _ in schema]
-            )
+            for part in slices(batch, "text"):
+                data, starts = text_bytes(part.column("text"))
+                gone = removed_bytes(len(data), starts, part.column("spans"), width)
+                fresh = gone.copy()
+                fresh[1:] &= ~gone[:-1]
+                edges = starts[:-1][np.diff(starts) > 0]
+                fresh[edges] = gone[edges]
+                removed, runs = (np.append(0, np.cumsum(x)) for x in (gone, fresh))
+                removed, runs = np.diff(removed[starts]), np.diff(runs[starts])
+                kept = [
+                    data[a:b][~gone[a:b]].tobytes() if n else data[a:b].tobytes()
+                    for a, b, n in zip(starts[:-1].tolist(), starts[1:].tolist(), removed.tolist())
+                ]
+                columns = [
+                    part.column("doc_id"),
+                    pa.array(np.diff(starts)),
+                    pa.array(removed),
+                    pa.array(runs),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                ]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if keep_text:
+                    columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "kept"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -314,11 +342,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, group_rows: int = GROUP_ROWS) -
     Rows are keyed by doc_id and a hash of the text, so null and repeated ids are safe; texts without spans have no row.
     """
     source = _keyed(docs)
+    times = F.coalesce(F.when(F.col("places").isNotNull(), F.size("places")), F.lit(1))
     every = stage(source.mapInArrow(_fragment_batches(width), FRAGMENTS))
-    seen = (
+    seen = stage(
         every.groupBy("anchor")
         .agg(
-            F.count("*").alias("total"),
+            F.sum(times).alias("total"),
             ((F.min("f1") != F.max("f1")) | (F.min("f2") != F.max("f2"))).alias("differ"),
         )
         .where("total > 1")
@@ -328,7 +357,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, group_rows: int = GROUP_ROWS) -
     unequal = stage(
         hits.where("differ")
         .groupBy(key)
-        .agg(F.count("*").alias("copies"), F.max("total").alias("total"), F.min(F.struct("doc_id", "text_key", "first", "n")).alias("at"))
+        .agg(F.sum(times).alias("copies"), F.max("total").alias("total"), F.min(F.struct("doc_id", "text_key", "first", "n")).alias("at"))
     )
     wanted = unequal.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(
         F.collect_list(F.struct(*key, "copies", "total", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("wanted")
@@ -361,7 +390,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, group_rows: int = GROUP_ROWS) -
     found = whole.unionByName(small.where(F.size("starts") > 0)).unionByName(large)
     # a fragment that occurs twice is repeated as a whole; what was found in it besides adds nothing
     settled = hits.where(~F.col("differ")).withColumn("starts", F.lit(None).cast("array<int>"))
-    span = ["doc_id", "text_key", "first", "n", "starts"]
+    span = ["doc_id", "text_key", "first", "n", F.coalesce("places", "starts").alias("starts")]
     spans = settled.select(span).unionByName(hits.where("differ").join(found, key).select(span))
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n", "starts")).alias("spans"))
 
