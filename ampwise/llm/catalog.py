@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampwise.llm import decontam, mixing, sharding, suffix_dedup, url_rules
+from ampwise.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix_dedup, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,17 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("row.doc_id", "size", "source_size", "target", "taken", shards)
 
 
+@query
+def op3_license_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("sentences", ",").alias("sentences"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -50,6 +61,29 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select(
+        "metadata.page_id",
+        "capture.payload_bytes",
+        "capture.payload_digest",
+        "capture.record_type",
+        F.col("original.page_id").alias("refers_to"),
+        F.coalesce("capture.digest_ok", F.lit(True)).alias("digest_ok"),
+    )
+
+
+@query
+def op6_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=4).drop("text_key")
+
+
 @query
 def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"), url_rules.rule_table(spark))
