@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampwise.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix_dedup, url_rules, warc
+from ampwise.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix_dedup, url_rules, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,11 @@ def op6_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+@query
+def op7_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 @query
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=4).drop("text_key")
