@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+BATCH_ROWS = 1000
 SLICE_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers of the two span hashes
 
 
+def map_texts(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` for rows with texts: at most ``BATCH_ROWS`` rows travel at once, as whole documents are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``limit`` bytes of ``column`` each; a longer text is a run of its own."""
     values = batch.column(column).cast(pa.large_string())

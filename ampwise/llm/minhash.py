@@ -5,9 +5,10 @@ every element falls into a random bin, in the later ones all elements go to one
 a coordinate keeps the least (round, hash). Texts with equal sets are one node. Runs of ``ROWS`` coordinates are bands;
 nodes that share a band meet in its bucket.
 
-A bucket's members are linked to its centre, a member chosen by hash, never to each other; links hold after the full sets
-are compared. What is still apart in a shared bucket after that is compared with every member of other components there.
-So no pair within a component is needed, and no link that joins two components is lost.
+A bucket's members are compared with its centre, a member chosen by hash, not with each other; links hold after the full
+sets are compared. Where a bucket still holds several components, the member with most links is a second centre. What is still apart in a shared bucket after that is compared with the members of other components there,
+unless elements that hardly anybody else has rule the link out. So no pair within a component is needed, and no link that joins
+two components is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampwise.llm.common import SPACES, SpanHashes, lower_ascii, mixed, slices, spans_of_words, text_bytes
+from ampwise.llm.common import SPACES, SpanHashes, lower_ascii, map_texts, mixed, slices, spans_of_words, text_bytes
 from ampwise.session import stage
 
 WORDS = 5
 SIMILARITY = 80  # percent
 BANDS, ROWS = 30, 5  # a pair at 0.8 shares no band with probability 7e-6
 SKETCH = BANDS * ROWS
+RARE = 8
 FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -177,6 +179,47 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components still changed after {most_rounds} rounds")
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(l_node, label) with the labels that links join made one."""
+    one = labels.select(F.col("l_node").alias("a"), F.col("label").alias("label_a"))
+    two = labels.select(F.col("l_node").alias("b"), F.col("label").alias("label_b"))
+    joined = links.join(one, "a").join(two, "b").where("label_a != label_b")
+    found = components(joined.select(*_pair(F.col("label_a"), F.col("label_b"))).distinct())
+    found = found.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    return stage(labels.join(found, F.col("label") == F.col("old"), "left").select("l_node", F.coalesce("new", "label").alias("label")))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, label, most): members of the buckets that hold several labels, with the label that most of them have.
+
+    Buckets of two are left out: their only pair has been compared.
+    """
+    held = stage(members.join(labels, F.col("node") == F.col("l_node")).select("band", "node", "label"))
+    counts = held.groupBy("band", "label").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    counts = stage(counts.where("labels > 1 and n > 2").select("band", F.col("most.label").alias("most")))
+    return stage(held.join(counts, "band"))
+
+
+def _rare_elements(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u_node, n, common) and (a, b), for nodes (node, label).
+
+    An element is rare if at most ``RARE`` of the nodes have it. The pairs are all those of different labels that share a
+    rare element. Other pairs share no more than the smaller of their numbers of ``common`` elements, so many of them
+    need no comparison.
+    """
+    held = sets.join(nodes, "node").select("node", "label", F.explode("elements").alias("element"))
+    rare = stage(held.groupBy("element").agg(F.count("*").alias("times")).where(f"times <= {RARE}").select("element"))
+    rare = stage(held.join(rare, "element"))
+    other = rare.select("element", F.col("node").alias("o_node"), F.col("label").alias("o_label"))
+    alike = rare.join(other, "element").where("node < o_node and label != o_label")
+    alike = alike.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    alone = rare.groupBy(F.col("node").alias("r_node")).agg(F.count("*").alias("alone"))
+    sizes = sets.join(nodes, "node", "left_semi").select(F.col("node").alias("u_node"), F.size("elements").alias("n")).distinct()
+    common = F.col("n") - F.coalesce("alone", F.lit(0))
+    return sizes.join(alone, F.col("u_node") == F.col("r_node"), "left").select("u_node", "n", common.alias("common")), alike
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) per row of ``docs``.
 
@@ -188,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     schema = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"
-    rows = stage(source.mapInArrow(_sketch_batches(words), schema))
+    rows = stage(map_texts(source, _sketch_batches(words), schema))
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_key")).alias("at"))
     nodes = stage(nodes)
     banded = nodes.select("node", F.explode("bands").alias("band"))
@@ -202,29 +245,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     wanted = members.select("node").distinct().join(nodes.select("node", "at"), "node")
     wanted = wanted.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.text_key").alias("at_key"))
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key"))
-    sets = stage(source.join(wanted, same).select("node", "text").mapInArrow(_set_batches(words), "node binary, elements array<long>"))
+    texts = source.join(wanted, same).select("node", "text")
+    sets = stage(map_texts(texts, _set_batches(words), "node binary, elements array<long>"))
 
     links = stage(verified(pairs, sets, percent))
-    labels = components(links)
-    label = F.coalesce("label", "m_node")
-    held = members.select("band", F.col("node").alias("m_node"))
-    held = stage(held.join(labels, F.col("m_node") == F.col("node"), "left").select("band", "m_node", label.alias("label")))
-    apart = held.groupBy("band", "label").agg(F.count("*").alias("n"))
-    apart = apart.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    apart = stage(apart.select("band", F.col("most.label").alias("most")))
-    mixed_rows = stage(held.join(apart, "band"))
-    asking = mixed_rows.where("label != most").select("band", F.col("m_node").alias("asking"), F.col("label").alias("own"))
+    start = members.select(F.col("node").alias("l_node"), F.col("node").alias("label")).distinct()
+    labels = _relabelled(start, links)
+
+    # second centre: the member with most links, against what is still apart from it
+    apart = _apart(members, labels)
+    linked = links.select(F.col("a").alias("d_node")).unionByName(links.select(F.col("b").alias("d_node")))
+    linked = linked.groupBy("d_node").agg(F.count("*").alias("degree"))
+    ranked = apart.join(linked, F.col("node") == F.col("d_node"), "left")
+    second = ranked.groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "node", "label")).alias("c"))
+    second = stage(second.select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("c_label")))
+    tried = apart.join(second, "band").where("label != c_label").select(*_pair(F.col("node"), F.col("centre"))).distinct()
+    tried = stage(tried.join(pairs, ["a", "b"], "left_anti"))
+    labels = _relabelled(labels, stage(verified(tried, sets, percent)))
+
+    # the rest: members of other components, unless their common elements are too few
+    apart = _apart(members, labels)
+    sizes, alike = _rare_elements(sets, apart.select("node", "label").distinct())
+    apart = apart.join(sizes, F.col("node") == F.col("u_node")).drop("u_node").join(nodes.select("node", "bands"), "node")
+    apart = stage(apart)
+    asking = apart.where("label != most").select("band", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", "common", "bands")))
+    most_shared = F.least("common", "a_common")
+    possible = 100 * most_shared >= percent * (F.col("n") + F.col("a_n") - most_shared)
+    first_band = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("band")  # a pair comes up in one bucket only
     late = (
-        asking.join(mixed_rows.select("band", "m_node", "label"), "band")
-        .where((F.col("own") != F.col("label")))
-        .select(*_pair(F.col("asking"), F.col("m_node")))
+        asking.join(apart, "band")
+        .where((F.col("a_label") != F.col("label")) & possible & first_band)
+        .select(*_pair(F.col("a_node"), F.col("node")))
+        .unionByName(alike)
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
-    more = stage(verified(stage(late), sets, percent))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    labels = labels.select(F.col("node").alias("l_node"), "label")
+    labels = _relabelled(labels, stage(verified(stage(late), sets, percent)))
     named = nodes.select("node").join(labels, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("label", "node").alias("label"))
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = stage(named.join(ids, "node"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from ampwise.llm.common import SPACES, SpanHashes, byte_table, mixed, slices, spans_of_words, text_bytes
+from ampwise.llm.common import SPACES, SpanHashes, byte_table, map_texts, mixed, slices, spans_of_words, text_bytes
 
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -125,7 +125,7 @@ def judge(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and fails. Words are runs of bytes other than space and 9 to 13; characters are
     code points. Repeated rows are judged alike; only doc_id and text are read; an empty table gives no rows.
     """
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_batches, SCHEMA)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), _batches, SCHEMA)
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,4 +139,4 @@ def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all columns."""
-    return docs.mapInArrow(_kept_batches, docs.schema)
+    return map_texts(docs, _kept_batches, docs.schema)

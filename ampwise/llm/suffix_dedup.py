@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampwise.llm.common import RangeLeast, SpanHashes, slices, text_bytes
+from ampwise.llm.common import RangeLeast, SpanHashes, map_texts, slices, text_bytes
 from ampwise.session import stage
 
 WIDTH = 400
@@ -343,7 +343,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, group_rows: int = GROUP_ROWS) -
     """
     source = _keyed(docs)
     times = F.coalesce(F.when(F.col("places").isNotNull(), F.size("places")), F.lit(1))
-    every = stage(source.mapInArrow(_fragment_batches(width), FRAGMENTS))
+    every = stage(map_texts(source, _fragment_batches(width), FRAGMENTS))
     seen = stage(
         every.groupBy("anchor")
         .agg(
@@ -415,4 +415,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = False,
     """
     spans = repeats(docs, width, group_rows)
     schema = RESULT + (", kept binary" if keep_text else "")
-    return _joined(_keyed(docs), spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut_batches(width, keep_text), schema)
+    joined = _joined(_keyed(docs), spans, "left").select("doc_id", "text", "spans")
+    return map_texts(joined, _cut_batches(width, keep_text), schema)
