@@ -74,7 +74,7 @@ def sketches(row: np.ndarray, value: np.ndarray, n: int, size: int = SKETCH) ->
     for turn in range(2 * size):
         if not len(row):
             break
-        hashed = mixed(value + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15))
+        hashed = mixed(value + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         bins = (hashed >> np.uint64(32)) % np.uint64(size) if turn < size else np.uint64(turn - size)
         np.minimum.at(table, row * size + bins.astype(np.int64), np.uint64(turn) << np.uint64(32) | hashed & low)
         open_rows = (table.reshape(n, size) == NOTHING).any(axis=1)

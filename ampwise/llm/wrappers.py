@@ -140,10 +140,13 @@ def parse(page: str) -> Node:
 
 
 def number(root: Node) -> list[Node]:
-    """The elements in page order, each with its place, its own text and a hash of its shape."""
+    """The elements in page order, each with its place and a hash of its shape; blocks also with their text.
+
+    A block's text includes that of its inline elements but not that of blocks inside it.
+    """
     nodes = []
 
-    def visit(node: Node) -> None:
+    def visit(node: Node) -> str:
         node.place = len(nodes)
         nodes.append(node)
         own, shape = [], [node.tag]
@@ -151,10 +154,14 @@ def number(root: Node) -> list[Node]:
             if isinstance(kid, str):
                 own.append(kid)
             else:
-                visit(kid)
+                own.append(visit(kid))
                 shape.append(kid.shape)
-        node.text = BLANK.sub(" ", "".join(own)).strip()
         node.shape = hash(tuple(shape))
+        text = "" if node.noise else "".join(own)
+        if node.tag not in BLOCKS:
+            return text
+        node.text = BLANK.sub(" ", text).strip()
+        return " "
 
     visit(root)
     return nodes
@@ -230,23 +237,23 @@ def main_text(root: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    def visit(node: Node, inside: bool) -> None:
+    def visit(node: Node, inside: bool, dropped: bool) -> None:
         if node.noise:
             return
         inside = inside or node.main
-        dropped = node.place in template and node.tag != "h1" and not (inside and len(node.text) > LONGEST_CONSTANT)
         block = node.tag in BLOCKS
         if block:
+            dropped = node.place in template and node.tag != "h1" and not (inside and len(node.text) > LONGEST_CONSTANT)
             flush()
         for kid in node.kids:
             if not isinstance(kid, str):
-                visit(kid, inside)
+                visit(kid, inside, dropped)
             elif inside and not dropped:
                 current.append(kid)
         if block:
             flush()
 
-    visit(root, whole)
+    visit(root, whole, False)
     flush()
     return " ".join(blocks)
 

@@ -1,0 +1,315 @@
+"""The operators against plain versions: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import random
+from collections import Counter, defaultdict
+
+import brute_llm as brute
+import numpy as np
+import pytest
+
+from ampwise.llm import decontam, draws, licenses, minhash, mixing, quality, sharding, suffix_dedup, url_rules, warc, wrappers
+
+CLASH = ", bands string, node string, anchor string, size string, words string, row string, spans string, host string"
+DOCS = "doc_id long, text string, source string, n_chars long" + CLASH
+WORDS = [f"w{k}x" for k in range(90)] + ["É", "ß9", "Über", "the", "THE"]
+
+
+def prose(r, n):
+    return " ".join(r.choices(WORDS, k=n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """(doc_id, text, source): near and exact copies, repeated lines, nulls, empties, repeated rows, a long text."""
+    r = random.Random(3)
+    out = [(k, prose(r, r.randint(1, 400)), f"s{k % 4}") for k in range(40)]
+    for k in range(40, 60):
+        words = out[k - 40][1].split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = "changed"
+        out.append((k, " ".join(words), "s1"))
+    shared = prose(r, 120)
+    out += [(60 + k, prose(r, 30) + " " + shared + "\n" + prose(r, 20), "s0") for k in range(3)]
+    out += [(63, out[5][1], "s2"), (64, None, None), (65, "", "s0"), (66, " \n\t ", None), (67, "one two", "s3"), (68, "One  two", "s3")]
+    out += [(69, "a" * 1500, "s0"), (70, "ab " * 700, "s0"), (71, "line one here\n" * 40, "s1"), (72, prose(r, 9000), "s2")]
+    out += [(72, out[-1][1], "s2"), (None, out[6][1], "s9"), (None, None, None)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    clash = ("x",) * CLASH.count(" string")
+    return spark.createDataFrame([(d, t, s, len(t or ""), *clash) for d, t, s in rows], DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def as_bag(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("group_rows", [0, 2, 128])
+def test_suffix_dedup(docs, rows, none, group_rows):
+    for width in (60, 400):
+        want = brute.repeats([t for _, t, _ in rows], width)
+        found = suffix_dedup.remove_repeats(docs, width, group_rows=group_rows).collect()
+        assert as_bag(found) == as_bag((d, *w) for (d, _, _), w in zip(rows, want))
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_arrays_and_fragments():
+    r = random.Random(8)
+    for trial in range(20):
+        vocabulary = [bytes(r.choices(b"abcde ", k=r.randint(1, 9))) for _ in range(25)]
+        base = b" ".join(r.choices(vocabulary, k=300))
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            a = r.randrange(len(base))
+            parts.append(b" ".join(r.choices(vocabulary, k=20)) + base[a : r.randrange(a, len(base) + 1)])
+        parts += [b"a" * 700, b"ab" * 400] * (trial % 2)
+        seen = Counter(p[i : i + 100] for p in parts for i in range(len(p) - 99))
+        want = [[i for i in range(len(p) - 99) if seen[p[i : i + 100]] > 1] for p in parts]
+        assert [x.tolist() for x in suffix_dedup.repeated_windows(parts, 100)] == want
+        data, starts = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+        _, _, first, last, _, offsets, places = suffix_dedup.fragments(data, starts, 100)
+        held = []
+        for a, b, low, high in zip(first, last, offsets, offsets[1:]):
+            held += list(range(a, b + 1)) if low == high else (a + places[low:high]).tolist()
+        assert sorted(held) == [s + i for p, s in zip(parts, starts) for i in range(len(p) - 99)]
+
+
+def test_source_targets_and_mix(docs, rows, none):
+    def run(seed):
+        drawn = mixing.draw_mix(docs, mixing.word_count(docs["text"]), shards=4, seed=seed, block_words=50, bucket_rows=4)
+        return drawn.select("row.doc_id", "row.source", "size", "source_size", "target", "taken", "copies").collect()
+
+    found = run(7)
+    assert as_bag((r.doc_id, r.size) for r in found) == as_bag((d, len(brute.SPACED.findall(t or ""))) for d, t, _ in rows)
+    sizes, taken = Counter(), Counter()
+    for r in found:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r["size"] and r.taken == sum(c.words for c in r.copies)
+    want = brute.targets(sizes)
+    for r in found:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 0.5
+    assert as_bag((r.doc_id, r["size"], r.taken) for r in run(7)) == as_bag((r.doc_id, r["size"], r.taken) for r in found)
+    words = Counter()
+    for row in mixing.mix(docs, shards=4).select("row.source", "row.text", "shard").collect():
+        words[row.source] += len(brute.SPACED.findall(row.text))
+    assert words == +taken
+    assert mixing.draw_mix(none, mixing.word_count(none["text"])).count() == 0
+
+
+def test_draws_are_exact():
+    for seed in range(30):
+        r = random.Random(seed)
+        colours, parts = [r.randint(0, 50) for _ in range(5)], r.randint(1, 9)
+        matrix = draws.split_tree(colours, draws.even(sum(colours), parts), seed)
+        assert [sum(c) for c in zip(*matrix)] == colours and [sum(m) for m in matrix] == draws.even(sum(colours), parts)
+    rng = np.random.default_rng(1)
+    assert 0 <= draws.hypergeometric(rng, 3 * 10**9, 10**9, 10**9) <= 10**9
+    assert sum(draws.draw(rng, [10**9, 10**10, 5], 10**9)) == 10**9
+
+
+def test_license_table_is_reachable(spark):
+    frame = spark.createDataFrame([(s,) for s in licenses.SENTENCES], "s string")
+    changed = frame.select("s", licenses.normalised(frame["s"]).alias("n"), frame["s"].rlike(licenses.CUE).alias("cue"))
+    assert changed.where("s != n or not cue").count() == 0
+    known = set(licenses.SENTENCES.values())
+    assert all(i in known for _, sequence in licenses.RULES for i in sequence)
+
+
+def test_license_scan(spark, docs, rows, none):
+    mit = (
+        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and\n"
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, including without\n"
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the\n"
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
+    )
+    texts = [
+        ("Some prose.\nReleased under the MIT License.\nMore prose.", ["MIT"]),
+        ("no full stop here\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0.", ["GPL-3.0-only", "CC-BY-NC-4.0"]),
+        (mit, ["MIT"]),
+        ("The word license alone. Permission is needed.", []),
+    ]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan(frame).collect()} == {k: w for k, (_, w) in enumerate(texts)}
+    assert as_bag((r.doc_id,) for r in licenses.scan(docs).collect()) == as_bag((d,) for d, _, _ in rows)
+    assert licenses.scan(none).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_decontamination(spark, docs, rows, none, limit, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+    items = [("a", rows[60][1][150:500]), ("b", "one two"), ("c", rows[60][1][150:500]), ("d", None), ("e", "... !"), (None, "ß9")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute.contamination([t for _, t, _ in rows], [("" if i is None else i, t) for i, t in items])
+    found = decontam.scan(docs, bench)
+    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), sum(s.n for s in r.spans)) for r in found.collect()]
+    assert as_bag(got) == as_bag((d, n, hit, k, hit) for (d, _, _), (n, hit, k, _) in zip(rows, want))
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert as_bag((r.doc_id,) for r in kept.collect()) == as_bag((d,) for (d, _, _), w in zip(rows, want) if not w[1])
+    assert decontam.scan(none, bench).count() == 0
+    assert decontam.scan(docs, bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>one</p>", "<p>two</p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "<p>one</p>", "", None, "<p>é</p>", "<p>one</p>"]
+    pages = [(k, f"http://h{k % 2}.org/a?b=1#c", h) for k, h in enumerate(html)]
+    pages += [(2, None, "<p>one</p>"), (None, "http://x\r\ny/", "<p>one</p>"), (None, None, None)]
+    frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
+    for least in (0, 5, 100):
+        found = [r.asDict(True) for r in warc.round_trip(frame, least).collect()]
+        want, groups = [], defaultdict(list)
+        for page, _, text in pages:
+            groups[text or ""].append(-1 if page is None else page)
+        got = Counter()
+        for r in found:
+            c = r["capture"]
+            assert c["digest_ok"] is (True if c["record_type"] == "response" else None)
+            assert r["request"]["concurrent_to"] == c["record_id"] == r["metadata"]["concurrent_to"]
+            got[r["metadata"]["page_id"], c["payload_bytes"], c["payload_digest"], c["record_type"], (r["original"] or {}).get("page_id")] += 1
+        for text, ids in groups.items():
+            size, most = len(text.encode()), max(ids)
+            ids = sorted(ids)
+            for k, page in enumerate(ids):
+                first = size < least or k == len(ids) - 1
+                name = None if page < 0 else page
+                kind = ("response", None) if first else ("revisit", None if most < 0 else most)
+                want.append((name, size, brute.payload_digest(text), *kind))
+        assert got == Counter(want)
+    assert warc.round_trip(frame.where("false")).count() == 0
+
+
+def test_warc_payloads_come_back(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "http://a/", "x\r\n\r\ny"), (2, "http://b/", "é" * 5000)], "page_id long, url string, html string")
+    warc.write_archives(frame, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"))
+    assert {bytes(r.payload).decode() for r in records.where("record_type = 'response'").collect()} == {"x\r\n\r\ny", "é" * 5000}
+
+
+def test_quality(docs, rows, none):
+    found = quality.judge(docs).collect()
+    got = as_bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found)
+    assert got == as_bag((d, *brute.counts(t)) for d, t, _ in rows)
+    assert all(not (r.kept and r.base_failed) for r in found)
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns
+    assert as_bag((r.doc_id,) for r in kept.collect()) == as_bag((r.doc_id,) for r in found if r.kept)
+    assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
+
+
+def test_compression_bands_on_labelled_text(spark, small_folder):
+    docs = spark.read.parquet(f"{small_folder}/documents.parquet")
+    good = spark.read.parquet(f"{small_folder}/labels.parquet").where("quality = 1")
+    judged = quality.judge(docs).join(good, "doc_id").where("not base_failed")
+    assert judged.where("not kept").count() == 0 and judged.count() > 30
+
+
+PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav>
+<div class="cookie-notice">Accept &amp; go</div><article><h1>Title {k}</h1><p>First <b>bold</b>{k} &lt;x&gt;<br>next<p>Second {k}
+<div class="ad">Buy</div><p>Share this story</p><section class="comments"><p>me too</p></section></article><aside>More</aside>
+<form><input>Go</form><script>var t="</p>";</script><!-- <p>no</p> --><footer>&copy; Site</footer></body></html>"""
+
+
+def test_wrapper_induction(spark):
+    pages = [(k, f"http://one.org/{k}", PAGE.format(k=k)) for k in range(12)]
+    pages += [(20, "http://two.org/", "<div><div class=menu>x</div><p>Only  text\n here</p></div>"), (21, "http://two.org/", None)]
+    pages += [(22, None, ""), (23, "nonsense", "plain &amp; simple <"), (24, "http://two.org/", "<p>a<b>b</b></p><p>" + "long " * 9000)]
+    frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, host string")
+    got = {r.page_id: r for r in wrappers.extract(frame).collect()}
+    assert got[3].text == "Title 3 First bold3 <x> next Second 3"  # the shared line is template
+    assert got[20].text == "Only text here" and got[21].text == got[22].text == "" and got[23].text == "plain & simple <"
+    assert got[24].text == "ab " + ("long " * 9000).strip()
+    assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(pages)
+    assert wrappers.extract(frame.where("false")).count() == 0
+
+
+def test_tree_matching():
+    one = wrappers.number(wrappers.parse("<div><p>a</p><ul><li>x</li><li>y</li></ul><p>b</p></div>"))
+    two = wrappers.number(wrappers.parse("<div><h2>t</h2><p>a</p><ul><li>x</li></ul><span>s</span><p>b</p></div>"))
+    pairs = []
+    assert wrappers.matched(one[0], two[0], pairs) == len(pairs) == 6
+    assert {one[a].text for a, _ in wrappers.equal_places(one, two)} == {"a", "x", "b"}
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_duplicates(docs, rows, none, words):
+    distinct = {d: t for d, t, _ in rows if d is not None}
+    want = {d: (n, c) for d, n, c in brute.components(distinct.items(), words)}
+    found = minhash.near_duplicates(docs, words).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
+    nulls = {(r.component_id, r.kept) for r in found if r.doc_id is None}
+    assert nulls == {(want[6][1], False), (None, True)}
+    assert minhash.deduplicated(docs, words).columns == docs.columns
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_graded_copies_are_linked_through_others(spark):
+    """Many copies at all distances, so that buckets hold several components and no centre reaches all of them."""
+    r = random.Random(5)
+    base, out = prose(r, 160).split(), []
+    for k in range(150):
+        words = list(base)
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(len(words))] = r.choice(["the", "new", f"u{k}"])
+        out.append((k, " ".join(words)))
+    frame = spark.createDataFrame(out, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, 4).collect()}
+    assert got == {d: c for d, _, c in brute.components(out, 4)}
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 470)]
+    frame = spark.createDataFrame([(f"{a:04}".encode(), f"{b:04}".encode()) for a, b in links if a != b], "a binary, b binary")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {int(r.node): int(r.label) for r in minhash.components(frame).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
+def test_url_rules(spark):
+    urls = ["http://a.b.NET/x", "https://example.net/en/1?q#f", "http://example.net/en", "ftp://x.example.com/de/a", "http://org/fr/", None, ""]
+    urls += ["no scheme", "http://net", "http://net/?a", "http://xnet/", "http://..net/", "a://b://c.net/", "http://example.org#/fr/", "http://net/", "http://net/"]
+    rules = [*url_rules.RULES, ("b.net", "", "allow"), ("net", "/x", "allow"), ("b.net", "/xyz", "block"), ("c.net", "/", "allow"), ("c.net", "/", "block")]
+    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)] + [(None, urls[0], "x")], "page_id long, url string, host string")
+    for own in (url_rules.RULES, rules):
+        found = url_rules.judge(pages, url_rules.rule_table(spark, own))
+        assert as_bag(found.collect()) == as_bag((k, *brute.verdict(u, own)[:3], brute.verdict(u, own)[3]) for k, u in [*enumerate(urls), (None, urls[0])])
+        assert url_rules.judge(pages.where("false"), url_rules.rule_table(spark, own)).count() == 0
+    empty = url_rules.judge(pages, url_rules.rule_table(spark).where("false"))
+    assert {(r.rule, r.verdict) for r in empty.collect()} == {(None, "allow")}
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 2048])
+def test_sharding(docs, rows, none, bucket_rows):
+    found = sharding.shard(docs, shards=5, bucket_rows=bucket_rows).collect()
+    assert as_bag((r.row.doc_id, r.row.text) for r in found) == as_bag((d, t) for d, t, _ in rows)
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+        assert r["size"] == len((r.row.text or "").encode()) + 1 and r.row["size"] == "x"
+    assert sorted(slots) == list(range(5)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sharding.shard(none).count() == 0
