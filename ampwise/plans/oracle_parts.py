@@ -140,7 +140,8 @@ head AS (
 EPISODE_ROWS = """
 ep AS (
   SELECT h.thing, h.month_idx, h.ep_idx, CAST(s.rn - h.lo AS INTEGER) AS pos, s.us, s.seq, s.cur, s.volt
-  FROM head h JOIN s ON h.thing = s.thing AND h.yr = s.yr AND h.mo = s.mo AND s.rn >= h.lo AND s.rn < h.end_rn
+  FROM (SELECT thing, yr, mo, month_idx, ep_idx, lo, unnest(range(lo, end_rn)) AS spot FROM head) h
+  JOIN s ON h.thing = s.thing AND h.yr = s.yr AND h.mo = s.mo AND s.rn = h.spot
 )"""
 
 
