@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampwise.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix_dedup, url_rules, warc, wrappers
+from ampwise.llm.checks import CHECKS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+__all__ = ["CHECKS", "QUERIES"]
+
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {}
 
 
 def query(run: Query) -> Query:

@@ -1,11 +1,13 @@
 """The pipeline's stages against plain versions, and the registered queries on the given tables."""
 
 import brute_llm as brute
+import compare
+import pytest
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from ampwise.llm import quality
-from ampwise.llm.catalog import QUERIES
+from ampwise.llm.catalog import CHECKS, QUERIES
 from ampwise.session import stage
 
 
@@ -38,3 +40,8 @@ def test_registered():
     names = set(entry_module.queries())
     assert set(QUERIES) | {"pipeline"} <= names
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_query_matches_sql(spark, small_folder, name):
+    assert compare.difference(QUERIES[name](spark, small_folder), compare.connect(small_folder), CHECKS[name]) is None
