@@ -41,9 +41,7 @@ def fold_map(
     order = seeded_order(seed) if order is None else order
     things = stage(sizes.select("thing", "n", order.alias("order"), F.lit(0).alias("_all")))
     hot = find_hot(things, ["_all"], "order", max_rows)
-    filled = running(things, ["_all"], "order", ["thing"], {"upto": F.col("n")}, hot).drop("_all")
-    if hot is not None:
-        filled = stage(filled)
+    filled = stage(running(things, ["_all"], "order", ["thing"], {"upto": F.col("n")}, hot).drop("_all"))
     place = F.struct("order", "thing")
     cap = F.floor(F.sum("n") / k)
     openings = things.agg(cap.alias("cap"), F.array().cast(_opening_type(things)).alias("openings"))

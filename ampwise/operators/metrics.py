@@ -21,7 +21,6 @@ from ampwise.session import small, stage
 HEALTH_LEVELS = [100, 95, 90, 85, 80]
 HEALTHY = [100, 95]
 PERCENTS = list(range(10, 100))
-MAX_THRESHOLDS = 127
 BOX_PERCENT = 87
 SWEEP_POPULATION = [(0.90, 80), (0.80, 85), (0.70, 90), (0.25, 95)]
 MAP_POPULATION = [(0.95, 80), (0.85, 85), (0.75, 90), (0.35, 95)]
@@ -95,17 +94,15 @@ def confusion(scores: DataFrame, threshold_rows: DataFrame, degraded: Column | N
     """tp, fp, tn, fn per (model, pct, threshold).
 
     No sample meets every threshold. Each sample is ranked among its model's thresholds and counted once per rank;
-    running totals over the ranks give the counts at every threshold. A model has at most MAX_THRESHOLDS thresholds.
+    running totals over the ranks give the counts at every threshold. The search is as deep as the longest ladder needs.
     """
     degraded = is_degraded() if degraded is None else degraded
     collected = F.array_sort(F.collect_list(F.struct("threshold", "pct")))
-    checked = F.when(F.size(collected) <= MAX_THRESHOLDS, collected).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_THRESHOLDS} thresholds for a model"))
-    )
-    listed = small(threshold_rows.groupBy("model").agg(checked.alias("_listed")))
+    listed = small(threshold_rows.groupBy("model").agg(collected.alias("_listed")))
+    longest = listed.agg(F.max(F.size("_listed"))).first()[0] or 1
     ladder = listed.select("model", F.transform("_listed", lambda t: t["threshold"]).alias("_ladder"))
     met = scores.select("model", "mae", degraded.alias("degraded")).join(ladder, "model")
-    ranked = with_rank(met, "_ladder", F.col("mae"), "rank", MAX_THRESHOLDS).select("model", "rank", "degraded")
+    ranked = with_rank(met, "_ladder", F.col("mae"), "rank", longest).select("model", "rank", "degraded")
     counted = ranked.groupBy("model", "rank").agg(
         count_where(F.col("degraded")).alias("pos"), count_where(~F.col("degraded")).alias("neg")
     )

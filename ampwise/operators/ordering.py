@@ -5,9 +5,8 @@ groups are measured first. Groups beyond ``max_rows`` are *hot*: they are cut in
 column at approximate percentiles, each piece is windowed on its own, and totals of the earlier pieces (one row
 per piece) are added back. Results are the same either way.
 
-At most ``HOT_GROUPS`` groups are treated as hot, the largest ones, so any other group holds less than
-1/HOT_GROUPS of the rows; with ``PIECES`` bounds each, the tables that are broadcast here never exceed
-HOT_GROUPS * (PIECES + 1) rows.
+Every group beyond the limit is hot, and a hot group is cut into ceil(rows / max_rows) pieces, so the tables that are
+broadcast here hold at most 2 * (all rows) / max_rows bounds.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from pyspark.sql import types as T
 from ampwise.functions.numeric import with_rank
 
 MAX_GROUP_ROWS = 2_000_000
-HOT_GROUPS = 128
-PIECES = 256
 MEASURE = "measure"
 
 
@@ -31,36 +28,33 @@ def find_hot(
     keys: Sequence[str],
     position: str | Column,
     max_rows: int = MAX_GROUP_ROWS,
-    pieces: int = PIECES,
+    pieces: int | None = None,
 ) -> DataFrame | None:
     """The hot groups of ``df`` with their piece bounds, or None when no group exceeds ``max_rows``.
 
-    One map-side combined count decides; only hot groups pay for percentiles. What reaches the driver is at most
-    HOT_GROUPS keys and their bounds.
+    One map-side combined count decides; only hot groups pay for percentiles. A group gets as many pieces as its rows
+    need, or ``pieces`` if given. The bounds are few: they are computed once and handed on as a small table.
     """
     keys = list(keys)
     position = F.col(position) if isinstance(position, str) else position
     counted = df.select(*keys, position.alias("_position"))
-    largest = (
-        counted.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_GROUPS)
-        .collect()
-    )
-    if not largest:
+    wanted = F.ceil(F.col("_rows") / max_rows).cast("int") if pieces is None else F.lit(pieces)
+    largest = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows)
+    rows = largest.select(*keys, wanted.alias("_pieces")).collect()
+    if not rows:
         return None
     spark = df.sparkSession
     key_fields = [counted.schema[key] for key in keys]
-    if pieces > PIECES:
-        raise ValueError(f"at most {PIECES} pieces")
-    wanted = spark.createDataFrame([tuple(row[key] for key in keys) for row in largest], T.StructType(key_fields))
-    steps = [i / pieces for i in range(1, pieces)]
+    hot = spark.createDataFrame(rows, T.StructType([*key_fields, T.StructField("_pieces", T.IntegerType())]))
+    finest = max(row["_pieces"] for row in rows)
+    steps = [i / finest for i in range(1, finest)]
+    places = F.sequence(F.lit(1), F.col("_pieces") - 1)
+    chosen = F.transform(places, lambda i: F.get("_finest", F.floor(i * finest / F.col("_pieces")).cast("int") - 1))
     bounds = (
-        counted.join(F.broadcast(wanted), keys)
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx("_position", steps, 10_000)).alias("_bounds"))
+        counted.join(F.broadcast(hot), keys)
+        .groupBy(*keys, "_pieces")
+        .agg(F.percentile_approx("_position", steps, max(10_000, 20 * finest)).alias("_finest"))
+        .select(*keys, F.array_distinct(chosen).alias("_bounds"))
         .collect()
     )
     position_type = counted.schema["_position"].dataType
@@ -80,7 +74,8 @@ def with_piece(df: DataFrame, keys: Sequence[str], position: str | Column, hot:
     """Add ``_hot`` and ``_piece``: 0 for ordinary groups, the rank along ``position`` for hot ones."""
     position = F.col(position) if isinstance(position, str) else position
     bounded = df.join(F.broadcast(hot), list(keys), "left")
-    placed = with_rank(bounded, "_bounds", position, "_piece", PIECES - 1)
+    longest = hot.agg(F.max(F.size("_bounds"))).first()[0]
+    placed = with_rank(bounded, "_bounds", position, "_piece", longest)
     return placed.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
 
 

@@ -114,13 +114,17 @@ def _rows(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(float)
 
 
-def _by_model(models: dict[str, LinearModel], names: pd.Series, x: np.ndarray, apply) -> list:
-    out: list = [None] * len(x)
+def _by_model(models: dict[str, LinearModel], names: pd.Series, x: np.ndarray, apply, width: int = 0) -> np.ndarray:
+    """``apply`` of each row's model: numbers, or rows of at most ``width`` numbers padded with NaN."""
+    out = np.full((len(x), width) if width else len(x), np.nan)
     labels = names.to_numpy()
     for name in pd.unique(names):
         at = np.flatnonzero(labels == name)
-        for i, row in zip(at, apply(models[name], x[at])):
-            out[i] = row
+        found = apply(models[name], x[at])
+        if width:
+            out[at, : found.shape[1]] = found
+        else:
+            out[at] = found
     return out
 
 
@@ -135,9 +139,14 @@ def reconstruct(samples: DataFrame, models: Iterable[LinearModel], model: str =
     @F.pandas_udf("struct<x_hat:array<double>,code:array<double>>")
     def both(names: pd.Series, x: pd.Series) -> pd.DataFrame:
         values = _rows(x)
-        codes = _by_model(named, names, values, lambda m, v: m.encode(v))
-        hats = _by_model(named, names, values, lambda m, v: m.reconstruct(v))
-        return pd.DataFrame({"x_hat": hats, "code": codes})
+        longest = max(m.components.shape[1] for m in named.values())
+        codes = _by_model(named, names, values, lambda m, v: m.encode(v), longest)
+        hats = np.empty_like(values)
+        used = names.map(lambda n: named[n].components.shape[1]).to_numpy()
+        for name in pd.unique(names):
+            at = np.flatnonzero(names.to_numpy() == name)
+            hats[at] = named[name].decode(codes[at, : named[name].components.shape[1]])
+        return pd.DataFrame({"x_hat": list(hats), "code": [c[:n] for c, n in zip(codes, used)]})
 
     return samples.withColumn("_r", both(model, "x")).select("*", "_r.*").drop("_r")
 
@@ -173,9 +182,11 @@ def project(samples: DataFrame, model: LinearModel, axes: int = 2) -> DataFrame:
 def size_errors(samples: DataFrame, model: LinearModel, sizes: Sequence[int]) -> DataFrame:
     """Errors of the nested models of several code sizes: ``(keys, size, mae, huber)`` in one scan.
 
-    ``model`` must hold at least ``max(sizes)`` components.
+    ``model`` must hold at least ``max(sizes)`` components; a greater size is an error.
     """
-    sizes = [s for s in sizes if s <= model.components.shape[1]]
+    sizes = list(sizes)
+    if max(sizes, default=0) > model.components.shape[1]:
+        raise ValueError(f"code size {max(sizes)} is above the {model.components.shape[1]} components of the model")
 
     @F.pandas_udf("array<struct<size:int,mae:double,huber:double>>")
     def errors(x: pd.Series) -> pd.Series:

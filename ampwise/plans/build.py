@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ampwise.operators import align, blows, episodes, segment
 from ampwise.operators.ordering import MAX_GROUP_ROWS
 from ampwise.schema import EPISODE, FIVES, Params
-from ampwise.session import stage
+from ampwise.session import small, stage
 from ampwise.sources import exchange_csv, stores, telemetry_csv
 
 log = logging.getLogger(__name__)
@@ -54,7 +54,7 @@ def export_for_simulator(
     rows = stores.load_episodes(spark, telemetry_csv.episode_store_path(root, p.suffix))
     if rows is None:
         return None
-    named = rows.drop("name").join(episodes.thing_names(rows, "name"), "thing")
+    named = rows.drop("name").join(small(episodes.thing_names(rows, "name")), "thing")
     exchange_csv.export_episodes(named.withColumn("thing", F.col("name")), target)
     return named
 
@@ -62,17 +62,19 @@ def export_for_simulator(
 def import_synthetic(spark: SparkSession, traces_folder: str, root: str, p: Params = FIVES) -> None:
     """Turn simulator traces into stored synthetic blows, one partition per health level and thing.
 
-    A trace that is missing or of another length than its episode stops the import.
+    A trace that is missing, of another length than its episode, or of a thing or episode that is not stored stops the
+    import.
     """
     rows = stores.load_episodes(spark, telemetry_csv.episode_store_path(root, p.suffix))
     if rows is None:
         return
     traces = stage(exchange_csv.read_traces(spark, traces_folder))
-    simulated = traces.select("thing").distinct()
+    simulated = small(traces.select("thing").distinct())
+    unknown = simulated.join(rows.select("thing").distinct(), "thing", "left_anti").limit(5).collect()
+    if unknown:
+        raise ValueError(f"traces of things that are not stored, for example {[r.thing for r in unknown]}")
     real = stage(rows.select(*EPISODE, "pos", "ts", "current", "voltage").join(simulated, "thing", "left_semi"))
-    # Traces of things or episodes that are not stored are never read.
-    faulty = align.length_errors(real, traces).where(F.col("real_rows").isNotNull())
-    examples = faulty.limit(5).collect()
+    examples = align.length_errors(real, traces).limit(5).collect()
     if examples:
         raise ValueError(f"traces do not fit their episodes, for example {examples}")
     overlaid = align.overlay(real, traces)

@@ -12,8 +12,6 @@ from ampwise.schema import EPISODE
 from ampwise.session import small, stage
 
 FOLDS = 6
-BATCH = 64
-SEARCH_BATCH = 128
 SAMPLE_KEYS = ["soc", *EPISODE]
 
 
@@ -44,12 +42,13 @@ def run(
     blows: DataFrame,
     fold_map: DataFrame,
     size: int = reconstruct.CODE_SIZE,
-    batch: int | None = BATCH,
+    batch: int | None = None,
     k: int = FOLDS,
 ) -> Evaluation:
     """Train k-1 models on the learning folds, keep the one of lowest validation error, score the test fold.
 
-    Folds are computed once, at full health, and reused for every level. Scored sets are cut to whole batches.
+    Folds are computed once, at full health, and reused for every level. All samples are scored; with ``batch``, sets
+    are first cut to whole batches, as a model of fixed batch size needs. No sample to validate or to test is an error.
     """
     prepared, _ = prepare(blows)
     samples = stage(folds.assign_folds(prepared, fold_map))
@@ -58,6 +57,8 @@ def run(
     models = reconstruct.fit_splits(healthy, learn, size)
     held = _truncated(healthy.where(F.col("fold") < k - 1), ["fold"], batch)
     validation = stage(reconstruct.validation_scores(held, models))
+    if validation.isEmpty():
+        raise ValueError("no sample to validate: too few episodes, or folds smaller than a batch")
     best = small(metrics.best_model(validation))
     chosen = validation.join(best.select("model"), "model")
     thresholds = metrics.thresholds(chosen)
@@ -66,12 +67,14 @@ def run(
     )
     named = test.join(best.select("model"))
     scored = reconstruct.score(named, models.values())
-    scores = scored.select("model", "soc", reconstruct.sample_key(*EPISODE).alias("sample_id"), "mae")
-    return Evaluation(list(models.values()), validation, best, thresholds, stage(scores))
+    scores = stage(scored.select("model", "soc", reconstruct.sample_key(*EPISODE).alias("sample_id"), "mae"))
+    if scores.isEmpty():
+        raise ValueError("no sample to test: too few episodes, or levels smaller than a batch")
+    return Evaluation(list(models.values()), validation, best, thresholds, scores)
 
 
 def size_search(
-    blows: DataFrame, fold_map: DataFrame, sizes=reconstruct.SEARCH_SIZES, batch: int | None = SEARCH_BATCH
+    blows: DataFrame, fold_map: DataFrame, sizes=reconstruct.SEARCH_SIZES, batch: int | None = None
 ) -> DataFrame:
     """Validation errors by code size: the models are nested, so one basis and one scan serve every size."""
     prepared, _ = prepare(blows.where(F.col("soc") == 100))
@@ -79,6 +82,8 @@ def size_search(
     basis = reconstruct.fit_one(samples.where(F.col("role") == "train"), max(sizes))
     held = _truncated(samples.where(F.col("role") == "valid"), [], batch)
     errors = stage(reconstruct.size_errors(held, basis, sizes))
+    if errors.isEmpty():
+        raise ValueError("no sample to validate: too few episodes, or fewer than a batch")
     tail = metrics.named_percentiles(errors, ["size"], "mae", {"p90_mae": 0.9})
     means = errors.groupBy("size").agg(F.avg("mae").alias("mean_mae"), F.avg("huber").alias("mean_huber"))
     return means.join(tail, "size").withColumn("score", F.col("mean_mae") + F.col("p90_mae"))

@@ -273,7 +273,7 @@ def reconstruction_by_label(spark, folder):
         F.col("label").alias("fold"),
         F.transform("embedding", lambda v: v.cast("double")).alias("x"),
     )
-    labels = [r.fold for r in vectors.select("fold").distinct().orderBy("fold").limit(1000).collect()]
+    labels = [r.fold for r in vectors.select("fold").distinct().orderBy("fold").collect()]
     models = reconstruct.fit_splits(vectors, labels, 16)
     scored = reconstruct.validation_scores(vectors, models)
     return scored.groupBy("model", "fold").agg(r6(F.avg("mae"), "mean_mae"), F.count(F.lit(1)).alias("samples"))

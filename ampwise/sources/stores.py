@@ -95,21 +95,22 @@ def load_blows(spark: SparkSession, path: str, soc: int | None = None) -> DataFr
     return rows if soc is None else rows.where(F.col("soc") == soc)
 
 
-def mixed_age(blows: DataFrame) -> DataFrame:
+def mixed_age(blows: DataFrame, beyond: int | None = None) -> DataFrame:
     """Each thing at the health level its name rank selects.
 
-    The staircase is defined for at most 31 things; more are refused.
+    The staircase is defined for 31 things. Things behind them take the level ``beyond``; without one they are refused.
     """
     listed = blows.where(F.col("soc") == 100).select("thing").distinct()
     names = [r.thing for r in listed.orderBy("thing").limit(MIXED_AGE_MAX_THINGS + 1).collect()]
-    if len(names) > MIXED_AGE_MAX_THINGS:
+    if len(names) > MIXED_AGE_MAX_THINGS and beyond is None:
         raise ValueError(f"the mixed-age set is defined for at most {MIXED_AGE_MAX_THINGS} things")
     levels = [
         (thing, next(soc for last, soc in MIXED_AGE_RANKS if rank <= last))
-        for rank, thing in enumerate(names, start=1)
+        for rank, thing in enumerate(names[:MIXED_AGE_MAX_THINGS], start=1)
     ]
-    staircase = blows.sparkSession.createDataFrame(levels, "thing string, soc int")
-    return blows.join(F.broadcast(staircase), ["thing", "soc"])
+    staircase = F.broadcast(blows.sparkSession.createDataFrame(levels, "thing string, _level int"))
+    leveled = blows.join(staircase, "thing", "left").where(F.col("soc") == F.coalesce("_level", F.lit(beyond)))
+    return leveled.drop("_level")
 
 
 def save_evaluation(path: str, scores: DataFrame, thresholds: DataFrame) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ampwise.functions.labels import folder_stem
 from ampwise.functions.signal import parse_timestamp
 from ampwise.schema import CURRENT_FIELD, FILE_COLUMNS, MEASURES, RAW_SCHEMA, VOLTAGE_FIELD
+from ampwise.session import small
 
 log = logging.getLogger(__name__)
 
@@ -76,9 +77,10 @@ def rejected_things(raw: DataFrame) -> DataFrame:
 def clean(raw: DataFrame) -> DataFrame:
     """Accepted files only, timestamps parsed, rows with any null dropped, canonical columns added.
 
-    Equal timestamps inside a thing are ordered by the row's content.
+    Equal timestamps inside a thing are ordered by the row's content. The rejected things are listed first and, while few,
+    broadcast, so the rows need no shuffle by thing.
     """
-    kept = raw.join(rejected_things(raw), "thing", "left_anti").drop("_bad")
+    kept = raw.join(small(rejected_things(raw)), "thing", "left_anti").drop("_bad")
     parsed = kept.withColumn("ts", parse_timestamp(F.col("TSTAMP"))).drop("TSTAMP")
     return parsed.dropna("any").select(
         "thing",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ampwise.functions import numeric
 from ampwise.operators import align, folds, metrics, reconstruct, scaling
-from ampwise.operators.ordering import HOT_GROUPS, find_hot, ordinal, running
+from ampwise.operators.ordering import find_hot, ordinal, running
 from ampwise.operators.quantiles import percentiles
 
 
@@ -36,10 +36,30 @@ def test_ordinals_agree_when_split(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.select(*whole.columns).collect()))
 
 
-def test_hot_groups_are_bounded(spark):
+def test_every_large_group_is_split_by_its_size(spark):
     df = spark.range(2000).select((F.col("id") % 400).alias("k"), F.col("id").alias("v"))
-    assert find_hot(df, ["k"], "v", max_rows=4).count() == HOT_GROUPS
+    hot = find_hot(df, ["k"], "v", max_rows=4)
+    assert hot.count() == 400 and hot.where(F.size("_bounds") == 1).count() == 400
     assert find_hot(df, ["k"], "v", max_rows=5) is None
+    whole = ordinal(df, ["k"], "v", [], "n", None)
+    assert sorted(map(tuple, ordinal(df, ["k"], "v", [], "n", hot).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    huge = spark.range(6000).select(F.when(F.col("id") < 5000, 0).otherwise(1).alias("k"), F.col("id").alias("v"))
+    bounds = {r.k: len(r._bounds) for r in find_hot(huge, ["k"], "v", max_rows=10).collect()}
+    assert bounds == {0: 499, 1: 99}
+
+
+def test_one_dominant_value(spark):
+    df = spark.range(3000).select(F.lit("m").alias("k"), F.when(F.col("id") % 5 > 0, 7.0).otherwise(F.col("id") * 1.0).alias("v"), "id")
+    hot = find_hot(df, ["k"], "v", max_rows=100)
+    whole = ordinal(df, ["k"], "v", ["id"], "n", None)
+    assert sorted(map(tuple, ordinal(df, ["k"], "v", ["id"], "n", hot).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_sizes_above_the_basis_are_refused(spark):
+    samples = spark.createDataFrame([([float(i), 1.0, float(i * i)],) for i in range(9)], "x array<double>")
+    model = reconstruct.fit_one(samples, 3)
+    with pytest.raises(ValueError, match="code size 4"):
+        reconstruct.size_errors(samples, model, [2, 4])
 
 
 def test_percentiles_match_numpy_on_both_paths(spark):
@@ -250,7 +270,7 @@ def test_full_basis_reconstructs_and_error_falls(spark):
     full = reconstruct.fit_one(df, 6)
     hats = reconstruct.reconstruct(df.withColumn("model", F.lit("model")), [full])
     assert hats.select(F.max(numeric.array_mae(F.col("x"), F.col("x_hat")))).first()[0] < 1e-9
-    errors = reconstruct.size_errors(df, full, [1, 2, 6, 60]).groupBy("size").agg(F.avg("huber").alias("h"))
+    errors = reconstruct.size_errors(df, full, [1, 2, 6]).groupBy("size").agg(F.avg("huber").alias("h"))
     by_size = {r["size"]: r.h for r in errors.collect()}
     assert set(by_size) == {1, 2, 6} and by_size[1] > by_size[2] > by_size[6]
     flipped = reconstruct.LinearModel("model", full.mean, -full.components)
