@@ -55,11 +55,18 @@ def synthetic_blows(blows: DataFrame, overlaid: DataFrame, width: int) -> DataFr
 
 
 def health_pairs(rows: DataFrame, keys: Sequence[str], values: Sequence[str], full: int = 100) -> DataFrame:
-    """Each row of a health level next to the same key at full health, as ``full_<value>``."""
-    reference = rows.where(F.col("soc") == full).select(
-        *keys, *[F.col(v).alias(f"full_{v}") for v in values]
-    )
-    return rows.where(F.col("soc") != full).join(reference, list(keys))
+    """Each row of a health level next to the same key at full health, as ``full_<value>``.
+
+    The levels of a key are gathered in one shuffle and paired inside its row, so the table is neither read nor shuffled
+    twice. A key has one row per level. Rows with a null key pair with nothing.
+    """
+    keys = list(keys)
+    others = [c for c in rows.columns if c not in keys]
+    held = rows.dropna(subset=keys).groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("_levels"))
+    lower = F.explode(F.filter("_levels", lambda row: row["soc"] != full)).alias("_row")
+    whole = F.filter("_levels", lambda row: row["soc"] == full).alias("_whole")
+    paired = held.select(*keys, whole, lower).select(*keys, "_row.*", F.explode("_whole").alias("_full"))
+    return paired.select(*keys, *others, *[F.col(f"_full.{v}").alias(f"full_{v}") for v in values])
 
 
 def voltage_differences(synthetic: DataFrame, levels: Sequence[int] = tuple(range(50, 100, 5))) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ampwise.functions.numeric import uniform
@@ -265,6 +266,97 @@ def code_size_search(spark, folder):
     return evaluate.size_search(found, fold).select("size", r6("mean_mae"), r6("p90_mae"), r6("score"), r6("mean_huber"))
 
 
+WIDTH = 64
+COSINES = 13
+COSINE_SIZES = (1, 4, 13)
+COSINE_SQL = f"""
+v AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings
+),
+b AS (
+  SELECT i, k, sqrt(2e0 / {WIDTH}) * cos(pi() * (i + 0.5e0) * k / {WIDTH}) AS c
+  FROM range({WIDTH}) AS t(i), range(1, {COSINES + 1}) AS s(k)
+),
+code AS (SELECT vec_id, k, sum((x - i / 100e0) * c) AS code FROM v JOIN b USING (i) GROUP BY vec_id, k),
+gap AS (
+  SELECT size, vec_id, i, abs(any_value(x) - any_value(i / 100e0) - sum(code * c)) AS g
+  FROM (VALUES {", ".join(f"({s})" for s in COSINE_SIZES)}) AS z(size) JOIN b ON k <= size
+  JOIN code USING (k) JOIN v USING (vec_id, i) GROUP BY size, vec_id, i
+)"""
+
+
+def _cosine_model() -> reconstruct.LinearModel:
+    """An orthonormal basis given by a formula, which SQL can repeat: what follows from a model can so be checked."""
+    i, k = np.arange(WIDTH)[:, None], np.arange(1, COSINES + 1)[None, :]
+    return reconstruct.LinearModel("cosine", np.arange(WIDTH) / 100, np.sqrt(2 / WIDTH) * np.cos(np.pi * (i + 0.5) * k / WIDTH))
+
+
+def _vectors(spark, folder):
+    vectors = views.table(spark, folder, "embeddings")
+    return vectors.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+@query(
+    "cosine_scores",
+    o.chain(COSINE_SQL) + f" SELECT vec_id, round(avg(g), 6) AS mae FROM gap WHERE size = {COSINES} GROUP BY vec_id",
+)
+def cosine_scores(spark, folder):
+    named = _vectors(spark, folder).withColumn("model", F.lit("cosine"))
+    return reconstruct.score(named, [_cosine_model()]).select("vec_id", r6("mae"))
+
+
+@query(
+    "cosine_codes",
+    o.chain(COSINE_SQL) + " SELECT vec_id, CAST(k - 1 AS INTEGER) AS k, round(code, 6) AS code FROM code",
+)
+def cosine_codes(spark, folder):
+    named = _vectors(spark, folder).withColumn("model", F.lit("cosine"))
+    coded = reconstruct.reconstruct(named, [_cosine_model()])
+    return coded.select("vec_id", F.posexplode("code").alias("k", "code")).withColumn("code", r6("code"))
+
+
+@query(
+    "cosine_axes",
+    o.chain(COSINE_SQL)
+    + """ SELECT vec_id, round(max(CASE WHEN k = 1 THEN code END), 6) AS axis_1,
+           round(max(CASE WHEN k = 2 THEN code END), 6) AS axis_2 FROM code GROUP BY vec_id""",
+)
+def cosine_axes(spark, folder):
+    shown = reconstruct.project(_vectors(spark, folder), _cosine_model())
+    return shown.select("vec_id", r6("axis_1"), r6("axis_2"))
+
+
+@query(
+    "cosine_sizes",
+    o.chain(COSINE_SQL)
+    + """ SELECT vec_id, CAST(size AS INTEGER) AS size, round(avg(g), 6) AS mae,
+           round(avg(CASE WHEN g < 1 THEN 0.5e0 * g * g ELSE g - 0.5e0 END), 6) AS huber FROM gap GROUP BY vec_id, size""",
+)
+def cosine_sizes(spark, folder):
+    errors = reconstruct.size_errors(_vectors(spark, folder), _cosine_model(), COSINE_SIZES)
+    return errors.select("vec_id", "size", r6("mae"), r6("huber"))
+
+
+@query(
+    "fitted_variance",
+    """SELECT round(sum(variance), 4) AS total_variance, 0e0 AS full_width_error FROM (
+      SELECT i, var_pop(x) AS variance FROM (
+        SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)""",
+)
+def fitted_variance(spark, folder):
+    """A fitted basis splits the variance: that of the codes and what is left over add up to that of the data, and a basis
+    of full width leaves nothing."""
+    vectors = _vectors(spark, folder)
+    narrow, whole = (reconstruct.fit_one(vectors, n, f"size_{n}") for n in (reconstruct.CODE_SIZE, WIDTH))
+    coded = reconstruct.reconstruct(vectors.withColumn("model", F.lit(narrow.name)), [narrow])
+    left = F.aggregate(F.zip_with("x", "x_hat", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, g: s + g)
+    held = F.aggregate(F.transform("code", lambda c: c * c), F.lit(0.0), lambda s, g: s + g)
+    split = coded.agg(F.avg(left + held).alias("total_variance"))
+    scored = reconstruct.score(vectors.withColumn("model", F.lit(whole.name)), [whole])
+    rest = scored.agg(F.max("mae").alias("full_width_error"))
+    return split.join(F.broadcast(rest)).select(F.round("total_variance", 4).alias("total_variance"), r6("full_width_error"))
+
+
 @query("reconstruction_by_label")
 def reconstruction_by_label(spark, folder):
     """Wide vectors, one left-out model per label."""

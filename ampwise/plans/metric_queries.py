@@ -202,6 +202,27 @@ def roc_points(spark, folder):
     return points.select("model", "pct", r6("fpr"), r6("recall"), "ordinal")
 
 
+@query(
+    "population_sweep_table",
+    o.chain(o.SCORES, THRESHOLDS, SWEEP_POPULATION, MIXED_SWEEP)
+    + """ SELECT model, pct, round(threshold, 3) AS threshold, round(prc, 3) AS precision, round(rcl, 3) AS recall
+    FROM sweep""",
+)
+def population_sweep_table(spark, folder):
+    """The threshold table over the mixed population, as a run of the evaluation prints it."""
+    return metrics.evaluation_table(_population_sweep(spark, folder))
+
+
+@query(
+    "population_best_threshold",
+    o.chain(o.SCORES, THRESHOLDS, SWEEP_POPULATION, MIXED_SWEEP)
+    + f""" SELECT {SWEEP_COLUMNS} FROM
+    (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f DESC NULLS LAST, pct) AS k FROM sweep) WHERE k = 1""",
+)
+def population_best_threshold(spark, folder):
+    return _rounded_sweep(metrics.best_threshold(_population_sweep(spark, folder)))
+
+
 @query(
     "area_under_roc",
     o.chain(o.SCORES, THRESHOLDS, SWEEP_POPULATION, MIXED_SWEEP)
