@@ -78,29 +78,76 @@ def simulator_stop_times(spark, folder):
     _, rows, _ = shaped_episodes(spark, folder)
     path = fresh_path(spark, "exported")
     exchange_csv.export_episodes(rows, path)
-    found = exchange_csv.stop_times(exchange_csv.read_simulator_input(spark, path))
-    return found.withColumn("thing", F.col("thing").cast("string"))
+    return exchange_csv.stop_times(exchange_csv.read_simulator_input(spark, path))
+
+
+@query(
+    "exported_files",
+    o.chain(*SHAPED)
+    + """
+    SELECT thing || '/' || CAST(month_idx + 1 AS VARCHAR) || '_' || CAST(ep_idx + 1 AS VARCHAR) || '.csv' AS file,
+           count(*) AS rows
+    FROM ep GROUP BY thing, month_idx, ep_idx""",
+)
+def exported_files(spark, folder):
+    _, rows, _ = shaped_episodes(spark, folder)
+    return exchange_csv.export_episodes(rows, fresh_path(spark, "exported"))
+
+
+@query(
+    "exported_episodes",
+    o.chain(*SHAPED)
+    + """
+    SELECT thing, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, pos,
+           round(CAST(CAST(cur AS FLOAT) AS DOUBLE), 3) AS current,
+           round(CAST(CAST(volt AS FLOAT) AS DOUBLE), 3) AS voltage
+    FROM ep""",
+)
+def exported_episodes(spark, folder):
+    """Header and values of the exported files, read back under their positions."""
+    _, rows, _ = shaped_episodes(spark, folder)
+    path = fresh_path(spark, "exported")
+    exchange_csv.export_episodes(rows, path)
+    back = exchange_csv.read_episodes(spark, path)
+    return back.select("thing", "month_no", "ep_no", "pos", *[F.round(c, 3).alias(c) for c in ("current", "voltage")])
 
 
 @query(
     "simulator_traces",
-    o.chain(*SHAPED, o.traces((90,)))
+    o.chain(*SHAPED, o.traces((90, 80)))
     + """
-    SELECT thing, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, CAST(pos AS INTEGER) AS pos,
-           round(CAST(CAST(cur AS FLOAT) AS DOUBLE), 3) AS current, round(volt, 3) AS voltage
+    SELECT thing, soc, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, CAST(pos AS INTEGER) AS pos,
+           round(CAST(CAST(cur AS FLOAT) AS DOUBLE), 3) AS current,
+           round(CAST(CAST(volt AS FLOAT) AS DOUBLE), 3) AS voltage
     FROM trace""",
 )
 def simulator_traces(spark, folder):
-    """Headerless traces, one file per episode, read back with line positions; the path is the episode's key."""
+    """Traces in the simulator's layout, read back with thing, level and ordinals from their paths."""
+    traces = _trace_files(spark, folder, (90, 80))
+    return traces.select(
+        "thing", "soc", "month_no", "ep_no", "pos", *[F.round(c, 3).alias(c) for c in ("current", "voltage")]
+    )
+
+
+@query(
+    "simulator_voltages",
+    o.chain(*SHAPED, o.traces((90,)))
+    + """
+    SELECT thing, soc, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, CAST(pos AS INTEGER) AS pos,
+           round(CAST(CAST(volt AS FLOAT) AS DOUBLE), 3) AS voltage
+    FROM trace""",
+)
+def simulator_voltages(spark, folder):
+    """The single-column reading of traces."""
+    shown = exchange_csv.voltages(_trace_files(spark, folder, (90,)))
+    return shown.withColumn("voltage", F.round("voltage", 3))
+
+
+def _trace_files(spark, folder, levels):
     _, rows, _ = shaped_episodes(spark, folder)
     path = fresh_path(spark, "traces")
-    keys = ["thing", "month_no", "ep_no"]
-    trace = simulated(rows, (90,)).repartition(*keys).sortWithinPartitions(*keys, "pos")
-    line = F.format_string("%.6f,%.6f", "current", "voltage").alias("value")
-    trace.select(*keys, line).write.partitionBy(*keys).text(path)
-    return exchange_csv.read_keyed_traces(spark, path).select(
-        *keys, "pos", F.round("current", 3).alias("current"), F.round("voltage", 3).alias("voltage")
-    )
+    exchange_csv.export_traces(simulated(rows, levels), F.concat(F.lit("E"), "thing"), path)
+    return exchange_csv.read_traces(spark, path)
 
 
 @query(

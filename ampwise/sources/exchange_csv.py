@@ -1,27 +1,94 @@
-"""CSV exchange with the battery simulator."""
+"""CSV exchange with the battery simulator: one file per episode, ``<folder>/<month>_<episode>.csv``."""
 
 from __future__ import annotations
 
+import sys
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampwise.functions.labels import folder_soc, folder_thing
+from ampwise.functions.labels import episode_file, folder_soc, folder_thing
 from ampwise.schema import CURRENT_FIELD, EPISODE, VOLTAGE_FIELD
+from ampwise.session import stage
 
+# The Python functions of this module travel with their tasks, so executors need pandas and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def export_episodes(rows: DataFrame, folder: str) -> None:
-    """One headered file per episode with current and voltage in row order, under 1-based month and episode folders."""
-    out = rows.select(
-        "thing",
-        (F.col("month_idx") + 1).alias("month_no"),
-        (F.col("ep_idx") + 1).alias("ep_no"),
-        "pos",
-        F.col("current").alias(CURRENT_FIELD),
-        F.col("voltage").alias(VOLTAGE_FIELD),
-    )
-    keys = ["thing", "month_no", "ep_no"]
-    ordered = out.repartition(*keys).sortWithinPartitions(*keys, "pos").drop("pos")
-    ordered.write.mode("overwrite").option("header", True).partitionBy(*keys).csv(folder)
+HEADER = f"{CURRENT_FIELD},{VOLTAGE_FIELD}"
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme, as the session's file system names it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString()
+
+
+def _writer(target: str, header: str | None):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(target)
+        path, out, hidden, rows = None, None, None, 0
+
+        def finish() -> Iterator[pd.DataFrame]:
+            if out is not None:
+                out.close()
+                system.move(hidden, f"{root}/{path}")
+                yield pd.DataFrame({"file": [path], "rows": [rows]})
+
+        for frame in frames:
+            for name, part in frame.groupby("file", sort=False):
+                if name != path:
+                    yield from finish()
+                    parent, _, file = f"{root}/{name}".rpartition("/")
+                    system.create_dir(parent, recursive=True)
+                    path, hidden, rows = name, f"{parent}/.{file}-{uuid.uuid4().hex}", 0
+                    out = system.open_output_stream(hidden)
+                    if header is not None:
+                        out.write(f"{header}\n".encode())
+                out.write("".join(f"{line}\n" for line in part["line"]).encode())
+                rows += len(part)
+        yield from finish()
+
+    return run
+
+
+def _write_files(rows: DataFrame, file: Column, folder: str, header: str | None) -> DataFrame:
+    """Write current and voltage of each ``file`` in the order of ``pos``; return ``(file, rows)``.
+
+    Spark's writers can't name files, so tasks write them. A file is streamed under a hidden name and moved to its own
+    when complete: a task that is lost or run twice leaves no half file. Files of the same name are replaced.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("current", "voltage")]
+    lines = rows.select(file.alias("file"), "pos", F.concat_ws(",", *cells).alias("line"))
+    ordered = lines.repartition("file").sortWithinPartitions("file", "pos").drop("pos")
+    return stage(ordered.mapInPandas(_writer(_qualified(rows.sparkSession, folder), header), "file string, rows long"))
+
+
+def export_episodes(rows: DataFrame, folder: str) -> DataFrame:
+    """One headered file per episode, ``<thing>/<month>_<episode>.csv`` with both ordinals from 1."""
+    file = episode_file(F.col("month_idx") + 1, F.col("ep_idx") + 1)
+    return _write_files(rows, F.concat_ws("/", "thing", file), folder, HEADER)
+
+
+def export_traces(traces: DataFrame, name: Column, folder: str) -> DataFrame:
+    """Traces in the simulator's layout, ``<name>_<soc>/<month>_<episode>.csv`` without a header."""
+    soc = F.col("soc").cast("string")
+    file = F.concat(name, F.lit("_"), soc, F.lit("/"), episode_file(F.col("month_no"), F.col("ep_no")))
+    return _write_files(traces, file, folder, None)
+
+
+def _path_parts() -> Column:
+    """Names along the file's path, as they were written: Spark shows the path with its escapes."""
+    return F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+
+
+def _ordinal(file: Column, group: int) -> Column:
+    return F.regexp_extract(file, r"^(\d+)_(\d+)", group).cast("int")
 
 
 def _lines(texts: DataFrame, *keys: Column) -> DataFrame:
@@ -31,32 +98,32 @@ def _lines(texts: DataFrame, *keys: Column) -> DataFrame:
     cells = F.split("line", ",")
 
     def number(i: int) -> Column:
-        return F.get(cells, F.lit(i)).cast("float").cast("double")
+        return F.nullif(F.get(cells, F.lit(i)), F.lit("")).cast("float").cast("double")
 
     return numbered.withColumns({"current": number(0), "voltage": number(1)}).drop("line")
 
 
-def read_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """Simulator traces ``<x><thing>_<soc>/<month>_<episode>.csv`` with their line positions.
-
-    Position is the key, so each file is read as one text; a file is one episode.
-    """
+def _read_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, Column, list[Column]]:
+    """Whole files, since line positions are keys and a file is one episode; its folder's name, and its ordinals."""
     texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
-    located = texts.select("value", F.split(F.col("_metadata.file_path"), "/").alias("parts"))
-    folder_name, file = F.element_at("parts", -2), F.element_at("parts", -1)
-    return _lines(
-        located,
-        folder_thing(folder_name).alias("thing"),
-        folder_soc(folder_name).alias("soc"),
-        F.regexp_extract(file, r"^(\d+)_(\d+)", 1).cast("int").alias("month_no"),
-        F.regexp_extract(file, r"^(\d+)_(\d+)", 2).cast("int").alias("ep_no"),
-    )
+    located = texts.select("value", _path_parts().alias("parts"))
+    file = F.element_at("parts", -1)
+    return located, F.element_at("parts", -2), [_ordinal(file, 1).alias("month_no"), _ordinal(file, 2).alias("ep_no")]
 
 
-def read_keyed_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """Traces of one health level laid out as the export is: ``thing=/month_no=/ep_no=``."""
-    texts = spark.read.schema("value string, thing string, month_no int, ep_no int").text(folder, wholetext=True)
-    return _lines(texts, F.col("thing"), F.col("month_no"), F.col("ep_no"))
+def read_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Simulator traces ``<x><thing>_<soc>/<month>_<episode>.csv`` with their line positions."""
+    located, name, ordinals = _read_texts(spark, folder)
+    return _lines(located, folder_thing(name).alias("thing"), folder_soc(name).alias("soc"), *ordinals)
+
+
+def read_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported episodes with their row positions; a file with another header is an error."""
+    located, name, ordinals = _read_texts(spark, folder)
+    header = F.regexp_extract("value", r"^[^\r\n]*", 0)
+    body = F.when(header == HEADER, F.regexp_replace("value", r"^[^\r\n]*\r?\n", ""))
+    checked = F.coalesce(body, F.raise_error(F.concat(F.lit("not an exported episode: "), F.array_join("parts", "/"))))
+    return _lines(located.withColumn("value", checked), name.alias("thing"), *ordinals)
 
 
 def voltages(trace: DataFrame) -> DataFrame:
@@ -66,12 +133,11 @@ def voltages(trace: DataFrame) -> DataFrame:
 
 def read_simulator_input(spark: SparkSession, folder: str) -> DataFrame:
     """Currents of exported episodes, header skipped; the simulator reads nothing else."""
-    return (
-        spark.read.option("header", True)
-        .schema(f"{CURRENT_FIELD} float, {VOLTAGE_FIELD} float, thing string, month_no int, ep_no int")
-        .csv(folder)
-        .select("thing", "month_no", "ep_no", F.col(CURRENT_FIELD).alias("current"))
-    )
+    rows = spark.read.schema(f"{CURRENT_FIELD} float, {VOLTAGE_FIELD} float")
+    rows = rows.option("header", True).option("recursiveFileLookup", True).csv(folder)
+    located = rows.select(F.col(CURRENT_FIELD).alias("current"), _path_parts().alias("parts"))
+    thing, file = F.element_at("parts", -2), F.element_at("parts", -1)
+    return located.select(thing.alias("thing"), _ordinal(file, 1).alias("month_no"), _ordinal(file, 2).alias("ep_no"), "current")
 
 
 def stop_times(simulator_input: DataFrame) -> DataFrame:

@@ -89,6 +89,9 @@ def test_loads_warn_instead_of_failing(spark, folder, tmp_path, caplog):
 def test_exchange_with_the_simulator(spark, folder, tmp_path):
     root, exported = str(tmp_path), str(tmp_path / "exported")
     build.export_for_simulator(spark, folder, root, exported, TWOS)
+    written = (tmp_path / "exported" / "E007" / "1_1.csv").read_text().splitlines()
+    assert written[0] == "S_CORRBATT_FLG1,S_TENSBATT_FLG1" and written[1].count(",") == 1
+    assert not [f for f in os.listdir(tmp_path / "exported" / "E007") if f.startswith(".")]
     sent = exchange_csv.read_simulator_input(spark, exported)
     stops = {(r.thing, r.month_no, r.ep_no): r.stop_time for r in exchange_csv.stop_times(sent).collect()}
     rows = stores.load_episodes(spark, telemetry_csv.episode_store_path(root, TWOS.suffix))
@@ -117,6 +120,23 @@ def test_exchange_with_the_simulator(spark, folder, tmp_path):
         build.import_synthetic(spark, str(traces), root, TWOS)
 
 
+def test_exported_files_keep_odd_names_rows_and_order(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(t, 0, e, i, float(-i), None if i == 2 else i / 4) for t in ("a b+c%", "7") for e in range(3) for i in range(50)],
+        "thing string, month_idx int, ep_idx int, pos int, current double, voltage double",
+    ).orderBy(F.rand(1))
+    target = str(tmp_path / "out")
+    for _ in range(2):  # files of the same name are replaced
+        files = exchange_csv.export_episodes(rows, target)
+        assert sorted((r.file, r.rows) for r in files.collect()) == sorted((f"{t}/1_{e}.csv", 50) for t in ("a b+c%", "7") for e in (1, 2, 3))
+    back = exchange_csv.read_episodes(spark, target)
+    got = {(r.thing, r.month_no, r.ep_no, r.pos): (r.current, r.voltage) for r in back.collect()}
+    assert got == {(r.thing, 1, r.ep_idx + 1, r.pos): (r.current, r.voltage) for r in rows.collect()}
+    (tmp_path / "out" / "7" / "1_1.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(Exception, match="not an exported episode"):
+        exchange_csv.read_episodes(spark, target).collect()
+
+
 def test_folder_names(spark):
     df = spark.createDataFrame([("E464001_100",), ("X1_95.zip",)], "f string")
     got = [(r.t, r.s) for r in df.select(folder_thing(F.col("f")).alias("t"), folder_soc(F.col("f")).alias("s")).collect()]
