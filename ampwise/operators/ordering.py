@@ -1,9 +1,9 @@
 """Ordered work inside groups when one group may hold a large share of all rows.
 
 A window over a group runs in one task. That is the right plan while every group fits a task, so the largest
-groups are measured first. Groups beyond ``max_rows`` are *hot*: they are cut into pieces along the ordering
-column at approximate percentiles, each piece is windowed on its own, and totals of the earlier pieces (one row
-per piece) are added back. Results are the same either way.
+groups are measured first. Groups beyond ``max_rows`` are *hot*: they are cut into pieces along the order, each
+piece is windowed on its own, and totals of the earlier pieces (one row per piece) are added back. Results are the
+same either way.
 
 Every group beyond the limit is hot, and a hot group is cut into ceil(rows / max_rows) pieces, so the tables that are
 broadcast here hold at most 2 * (all rows) / max_rows bounds.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampwise.functions.numeric import with_rank
+from ampwise.session import stage
 
 MAX_GROUP_ROWS = 2_000_000
 MEASURE = "measure"
@@ -54,11 +55,12 @@ def find_hot(
         counted.join(F.broadcast(hot), keys)
         .groupBy(*keys, "_pieces")
         .agg(F.percentile_approx("_position", steps, max(10_000, 20 * finest)).alias("_finest"))
-        .select(*keys, F.array_distinct(chosen).alias("_bounds"))
+        .select(*keys, "_pieces", F.array_distinct(chosen).alias("_bounds"))
         .collect()
     )
     position_type = counted.schema["_position"].dataType
-    schema = T.StructType(key_fields + [T.StructField("_bounds", T.ArrayType(position_type))])
+    found = [T.StructField("_pieces", T.IntegerType()), T.StructField("_bounds", T.ArrayType(position_type))]
+    schema = T.StructType(key_fields + found)
     return spark.createDataFrame([tuple(row) for row in bounds], schema)
 
 
@@ -73,7 +75,7 @@ def measured(df: DataFrame, keys: Sequence[str], position: str, hot, max_rows: i
 def with_piece(df: DataFrame, keys: Sequence[str], position: str | Column, hot: DataFrame) -> DataFrame:
     """Add ``_hot`` and ``_piece``: 0 for ordinary groups, the rank along ``position`` for hot ones."""
     position = F.col(position) if isinstance(position, str) else position
-    bounded = df.join(F.broadcast(hot), list(keys), "left")
+    bounded = df.join(F.broadcast(hot.drop("_pieces")), list(keys), "left")
     longest = hot.agg(F.max(F.size("_bounds"))).first()[0]
     placed = with_rank(bounded, "_bounds", position, "_piece", longest)
     return placed.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
@@ -104,23 +106,33 @@ def running(
     hot: DataFrame | None,
     descending: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums of integer columns along (position, tie_break) inside each group."""
+    """Add inclusive running sums of integer columns along (position, tie_break) inside each group.
+
+    Rows of hot groups are range-partitioned on the whole order, so rows with equal positions are split by the
+    tie-break: no value of ``position`` is too frequent. Only rows equal in both stay together.
+    """
     keys = list(keys)
     order = [F.desc(position) if descending else F.asc(position)] + [F.asc(c) for c in tie_break]
+
+    def along(*groups: str) -> Window:
+        return Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def summed(rows: DataFrame, *groups: str) -> DataFrame:
+        return rows.select("*", *[F.sum(c).over(along(*groups)).alias(name) for name, c in sums.items()])
+
     if hot is None:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(window).alias(name) for name, c in sums.items()])
-    split = with_piece(df, keys, position, hot)
-    carried = earlier_pieces(
-        split, keys, {f"_before_{name}": F.sum(c) for name, c in sums.items()}, later=descending
-    )
-    window = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = split.select("*", *[F.sum(c).over(window).alias(name) for name, c in sums.items()])
-    joined = local.join(F.broadcast(carried), [*keys, "_piece"], "left")
+        return summed(df, *keys)
+    named = F.broadcast(hot.select(*keys))
+    ordinary = summed(df.join(named, keys, "left_anti").select(*df.columns), *keys)
+    pieces = hot.agg(F.sum("_pieces")).first()[0]
+    ranged = df.join(named, keys, "left_semi").select(*df.columns).repartitionByRange(pieces, *keys, *order)
+    split = stage(ranged.select("*", F.spark_partition_id().alias("_piece"), F.lit(True).alias("_hot")))
+    carried = earlier_pieces(split, keys, {f"_before_{name}": F.sum(c) for name, c in sums.items()})
+    joined = summed(split, *keys, "_piece").join(F.broadcast(carried), [*keys, "_piece"], "left")
     totals = [
         (F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).alias(name) for name in sums
     ]
-    return joined.select(*df.columns, *totals)
+    return ordinary.unionByName(joined.select(*df.columns, *totals))
 
 
 def ordinal(

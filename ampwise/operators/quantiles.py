@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampwise.operators.ordering import MAX_GROUP_ROWS, MEASURE, measured, ordinal
+from ampwise.operators.ordering import MAX_GROUP_ROWS, MEASURE, measured, running
 from ampwise.session import small
 
 
@@ -22,7 +22,7 @@ def percentiles(
     """Per group, an array ``values`` of the percentiles at ``fractions``, interpolated linearly.
 
     The built-in exact percentile keeps a group's distinct values in one buffer. Where the largest group is too large
-    for that, rows are numbered along ``value`` and only the few needed ranks are kept. ``hot=None`` states that every
+    for that, its values are counted, ranked along ``value``, and only the few needed ranks are kept. ``hot=None`` states that every
     group is known to be small.
     """
     keys = list(keys)
@@ -40,16 +40,18 @@ def percentiles(
 
 
 def _by_rank(present: DataFrame, keys: list[str], fractions: list[float], hot: DataFrame) -> DataFrame:
-    ranked = ordinal(present, keys, "_value", [], "_rank", hot)
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """Equal values are counted first, so a frequent value is one row with the range of ranks it covers."""
+    counted = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = running(counted, keys, "_value", [], {"_upto": F.col("_rows")}, hot)
+    sizes = counted.groupBy(*keys).agg(F.sum("_rows").alias("_n"))
     places = F.array(*[F.lit(f) for f in fractions])
     place = F.transform(places, lambda f: f * (F.col("_n") - 1))
     needed = F.array_distinct(
         F.flatten(F.transform(place, lambda h: F.array(F.floor(h), F.ceil(h))))
     )
-    wanted = sizes.select(*keys, "_n", F.explode(needed).alias("_rank"))
-    kept = ranked.join(small(wanted), [*keys, "_rank"])
-    found = kept.groupBy(*keys, "_n").agg(
+    covers = lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_rows"))
+    kept = ranked.join(small(sizes), keys).withColumn("_ranks", F.filter(needed, covers)).where(F.size("_ranks") > 0)
+    found = kept.select(*keys, "_n", "_value", F.explode("_ranks").alias("_rank")).groupBy(*keys, "_n").agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
     )
 

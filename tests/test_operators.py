@@ -48,6 +48,24 @@ def test_every_large_group_is_split_by_its_size(spark):
     assert bounds == {0: 499, 1: 99}
 
 
+def test_a_dominant_value_is_split_by_the_tie_break(spark):
+    df = spark.range(6000).select(
+        (F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id") % 7 * 1.0).alias("v"), F.format_string("s%05d", "id").alias("id")
+    )
+    hot = find_hot(df, ["k"], "v", max_rows=500)
+    sums = {"total": F.lit(1)}
+    for descending in (False, True):
+        whole = running(df, ["k"], "v", ["id"], sums, None, descending)
+        split = running(df, ["k"], "v", ["id"], sums, hot, descending)
+        assert sorted(map(tuple, split.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    ranges = df.repartitionByRange(12, "k", "v", "id").groupBy(F.spark_partition_id()).count()
+    assert ranges.agg(F.max("count")).first()[0] < 2000  # the dominant value alone has 2000 rows a group
+    fractions = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    exact = percentiles(df, ["k"], "v", fractions, hot=None)
+    ranked = percentiles(df, ["k"], "v", fractions, max_rows=500)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, exact.collect()))
+
+
 def test_one_dominant_value(spark):
     df = spark.range(3000).select(F.lit("m").alias("k"), F.when(F.col("id") % 5 > 0, 7.0).otherwise(F.col("id") * 1.0).alias("v"), "id")
     hot = find_hot(df, ["k"], "v", max_rows=100)
