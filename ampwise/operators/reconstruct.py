@@ -2,7 +2,8 @@
 
 A model is the mean and the leading principal components of its training samples. The components follow from sums
 and cross-products, which add up over folds: one pass over the samples yields the moments of every fold, and every
-leave-one-fold-out model is a combination of them.
+leave-one-fold-out model is a combination of them. Moments are taken about the mean of all samples, found in a pass
+before, so that a large mean does not cancel a small variance.
 """
 
 from __future__ import annotations
@@ -41,9 +42,18 @@ class LinearModel:
         return self.decode(self.encode(x))
 
 
-def moments(samples: DataFrame, group: str, column: str = "x") -> DataFrame:
+def centre_of(samples: DataFrame, column: str = "x") -> np.ndarray | None:
+    """Mean of each entry over all samples, as many numbers as a sample has; None without a sample."""
+    entries = samples.select(F.posexplode(column).alias("entry", "value"))
+    rows = entries.groupBy("entry").agg(F.avg("value").alias("mean")).orderBy("entry").collect()
+    return np.array([r["mean"] for r in rows], dtype=float) if rows else None
+
+
+def moments(samples: DataFrame, group: str, column: str = "x", centre: np.ndarray | None = None) -> DataFrame:
     """Per group and entry, the sum of ``[1, x] outer [1, x]``: count, sums and cross-products in one matrix.
 
+    With ``centre``, of the samples less the centre.
+
     Each task adds up its own samples batch by batch and emits one matrix per group it saw; Spark adds the matrices.
     """
     group_type = samples.schema[group].dataType
@@ -52,7 +62,7 @@ def moments(samples: DataFrame, group: str, column: str = "x") -> DataFrame:
         sums: dict = {}
         for batch in batches:
             for key, part in batch.groupby("g"):
-                x = np.stack(part["x"].to_numpy()).astype(float)
+                x = np.stack(part["x"].to_numpy()).astype(float) - (0.0 if centre is None else centre)
                 one = np.hstack([np.ones((len(x), 1)), x])
                 sums[key] = sums.get(key, 0.0) + one.T @ one
         if sums:
@@ -78,7 +88,10 @@ def collect_moments(moment_table: DataFrame, group: str) -> dict[object, np.ndar
     return out
 
 
-def model_from_moments(name: str, parts: Iterable[np.ndarray], size: int) -> LinearModel:
+def model_from_moments(
+    name: str, parts: Iterable[np.ndarray], size: int, centre: np.ndarray | float = 0.0
+) -> LinearModel:
+    """The model of the summed ``parts``; ``centre`` is what its samples were taken less of."""
     total = sum(parts)
     n = total[0, 0]
     mean = total[0, 1:] / n
@@ -87,7 +100,7 @@ def model_from_moments(name: str, parts: Iterable[np.ndarray], size: int) -> Lin
     leading = vectors[:, np.argsort(values)[::-1][:size]]
     # Fix each component's sign by its largest entry, so that refits agree.
     signs = np.sign(leading[np.abs(leading).argmax(axis=0), np.arange(leading.shape[1])])
-    return LinearModel(name, mean, leading * np.where(signs == 0, 1, signs))
+    return LinearModel(name, centre + mean, leading * np.where(signs == 0, 1, signs))
 
 
 def fit_splits(
@@ -95,10 +108,11 @@ def fit_splits(
 ) -> dict[int, LinearModel]:
     """One model per left-out fold, all from a single pass. Models are named from 1 in fold order."""
     learned = samples.where(F.col("fold").isin(list(learn_folds)))
-    by_fold = collect_moments(moments(learned, "fold"), "fold")
+    centre = centre_of(learned)
+    by_fold = collect_moments(moments(learned, "fold", centre=centre), "fold")
     return {
         fold: model_from_moments(
-            name.format(i + 1), [m for f, m in by_fold.items() if f != fold], size
+            name.format(i + 1), [m for f, m in by_fold.items() if f != fold], size, centre
         )
         for i, fold in enumerate(learn_folds)
         if any(f != fold for f in by_fold)
@@ -107,7 +121,10 @@ def fit_splits(
 
 def fit_one(samples: DataFrame, size: int, name: str = "model") -> LinearModel:
     whole = samples.withColumn("_one", F.lit(0))
-    return model_from_moments(name, collect_moments(moments(whole, "_one"), "_one").values(), size)
+    centre = centre_of(samples)
+    if centre is None:
+        raise ValueError("no sample to fit")
+    return model_from_moments(name, collect_moments(moments(whole, "_one", centre=centre), "_one").values(), size, centre)
 
 
 def _rows(values: pd.Series) -> np.ndarray:
@@ -188,23 +205,21 @@ def size_errors(samples: DataFrame, model: LinearModel, sizes: Sequence[int]) ->
     if max(sizes, default=0) > model.components.shape[1]:
         raise ValueError(f"code size {max(sizes)} is above the {model.components.shape[1]} components of the model")
 
-    @F.pandas_udf("array<struct<size:int,mae:double,huber:double>>")
-    def errors(x: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<mae:array<double>,huber:array<double>>")
+    def errors(x: pd.Series) -> pd.DataFrame:
         values = _rows(x)
         code = model.encode(values)
-        columns = []
-        for size in sizes:
+        mae, huber = np.empty((len(values), len(sizes))), np.empty((len(values), len(sizes)))
+        for i, size in enumerate(sizes):
             gap = np.abs(values - model.mean - code[:, :size] @ model.components[:, :size].T)
-            columns.append((gap.mean(axis=1), np.where(gap < 1, 0.5 * gap**2, gap - 0.5).mean(axis=1)))
-        return pd.Series(
-            [
-                [{"size": s, "mae": float(m[i]), "huber": float(h[i])} for s, (m, h) in zip(sizes, columns)]
-                for i in range(len(values))
-            ]
-        )
+            mae[:, i] = gap.mean(axis=1)
+            huber[:, i] = np.where(gap < 1, 0.5 * gap**2, gap - 0.5).mean(axis=1)
+        return pd.DataFrame({"mae": list(mae), "huber": list(huber)})
 
     kept = [c for c in samples.columns if c != "x"]
-    return samples.select(*kept, F.inline(errors("x")))
+    sized = samples.select(*kept, errors("x").alias("_e"))
+    zipped = F.arrays_zip(F.lit(sizes).cast("array<int>").alias("size"), F.col("_e.mae").alias("mae"), F.col("_e.huber").alias("huber"))
+    return sized.select(*kept, F.inline(zipped))
 
 
 def models_table(spark: SparkSession, models: Iterable[LinearModel]) -> DataFrame:

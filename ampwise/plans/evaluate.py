@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampwise.functions.labels import capacity_label
 from ampwise.operators import folds, metrics, reconstruct, scaling
 from ampwise.schema import EPISODE
 from ampwise.session import small, stage
+from ampwise.sources import stores
 
 FOLDS = 6
 SAMPLE_KEYS = ["soc", *EPISODE]
@@ -73,6 +75,22 @@ def run(
     return Evaluation(list(models.values()), validation, best, thresholds, scores)
 
 
+def save(result: Evaluation, path: str) -> None:
+    """Store an evaluation, so that reports need neither the samples nor a new fit."""
+    spark = result.scores.sparkSession
+    stores.save_evaluation(path, result.scores, result.thresholds, reconstruct.models_table(spark, result.models))
+
+
+def stored_report(
+    spark: SparkSession, path: str, percent: int = metrics.BOX_PERCENT, model: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Boxes of stored scores per model and level, labelled by capacity, and the rates at one stored threshold."""
+    scores, limits = stores.load_evaluation(spark, path, model)
+    position = ((100 - F.col("soc")) / 5).cast("int")
+    boxes = metrics.box_stats(scores, ["model", "soc"], "mae").withColumn("capacity", capacity_label(position))
+    return boxes, metrics.rates(metrics.confusion(scores, limits.where(F.col("pct") == percent)))
+
+
 def size_search(
     blows: DataFrame, fold_map: DataFrame, sizes=reconstruct.SEARCH_SIZES, batch: int | None = None
 ) -> DataFrame:

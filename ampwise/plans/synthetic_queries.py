@@ -199,6 +199,44 @@ def trace_comparison(spark, folder):
     return shown.select("thing", "month_no", "ep_no", "pos", *[r6(f"voltage_{s}") for s in (100, 95, 85)])
 
 
+@query(
+    "trace_comparison_every_fifth",
+    o.chain(*SHAPED, o.traces((100, 95, 85)))
+    + """,
+    e AS (SELECT thing, month_idx, ep_idx, row_number() OVER (PARTITION BY thing ORDER BY month_idx, ep_idx) AS k
+          FROM (SELECT DISTINCT thing, month_idx, ep_idx FROM ep))
+    SELECT thing, month_idx + 1 AS month_no, ep_idx + 1 AS ep_no, pos,
+           round(max(CASE WHEN soc = 100 THEN volt END), 6) AS voltage_100,
+           round(max(CASE WHEN soc = 95 THEN volt END), 6) AS voltage_95,
+           round(max(CASE WHEN soc = 85 THEN volt END), 6) AS voltage_85
+    FROM trace JOIN e USING (thing, month_idx, ep_idx) WHERE k % 5 = 0 GROUP BY ALL""",
+)
+def trace_comparison_every_fifth(spark, folder):
+    """The report's rank rule, at a stride that the tables have episodes for."""
+    _, rows, _ = shaped_episodes(spark, folder)
+    shown = align.trace_overlay(simulated(rows, (100, 95, 85)), every=5)
+    return shown.select("thing", "month_no", "ep_no", "pos", *[r6(f"voltage_{s}") for s in (100, 95, 85)])
+
+
+PAIRED_TIMES = o.EPISODE_ROWS.replace("s.us,", "s.us - CASE WHEN h.ep_idx % 2 = 0 THEN s.us % 2000000 ELSE 0 END AS us,")
+
+
+@query(
+    "repeated_times",
+    o.chain(*SHAPED[:-1], PAIRED_TIMES, o.blows(FIVES), o.traces((90,)), o.synthetic(FIVES.blow_rows))
+    + " SELECT thing, soc, month_idx, ep_idx, part, blow_pos, us, round(volt, 6) AS voltage FROM syn",
+)
+def repeated_times(spark, folder):
+    """Every second episode has its times in pairs, so that lookups by time widen its blows and they are dropped."""
+    _, rows, one_pass = shaped_episodes(spark, folder)
+    us = F.unix_micros("ts")
+    paired = F.timestamp_micros(us - F.when(F.col("ep_idx") % 2 == 0, us % 2_000_000).otherwise(0))
+    rows = stage(rows.select(*EPISODE, "pos", paired.alias("ts"), "current", "voltage"))
+    overlaid = align.overlay(rows, simulated(rows, (90,)))
+    found = align.synthetic_blows(blows.extract_blows(rows, FIVES, one_pass), overlaid, FIVES.blow_rows)
+    return found.select("soc", *EPISODE, "part", "blow_pos", F.unix_micros("ts").alias("us"), r6("voltage"))
+
+
 BLOW_MAE = """
 sy AS (
   SELECT soc, thing, month_idx, ep_idx, part, blow_pos,

@@ -57,29 +57,33 @@ def _writer(target: str, header: str | None):
     return run
 
 
-def _write_files(rows: DataFrame, file: Column, folder: str, header: str | None) -> DataFrame:
-    """Write current and voltage of each ``file`` in the order of ``pos``; return ``(file, rows)``.
+def write_named(lines: DataFrame, folder: str, header: str | None = None) -> DataFrame:
+    """Write the ``line`` of each row to its ``file`` below ``folder``, in the order of ``pos``; return ``(file, rows)``.
 
     Spark's writers can't name files, so tasks write them. A file is streamed under a hidden name and moved to its own
     when complete: a task that is lost or run twice leaves no half file. Files of the same name are replaced.
     """
+    ordered = lines.select("file", "pos", "line").repartition("file").sortWithinPartitions("file", "pos").drop("pos")
+    return stage(ordered.mapInPandas(_writer(_qualified(lines.sparkSession, folder), header), "file string, rows long"))
+
+
+def _write_pairs(rows: DataFrame, file: Column, folder: str, header: str | None) -> DataFrame:
+    """Current and voltage of each file's rows."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("current", "voltage")]
-    lines = rows.select(file.alias("file"), "pos", F.concat_ws(",", *cells).alias("line"))
-    ordered = lines.repartition("file").sortWithinPartitions("file", "pos").drop("pos")
-    return stage(ordered.mapInPandas(_writer(_qualified(rows.sparkSession, folder), header), "file string, rows long"))
+    return write_named(rows.select(file.alias("file"), "pos", F.concat_ws(",", *cells).alias("line")), folder, header)
 
 
 def export_episodes(rows: DataFrame, folder: str) -> DataFrame:
     """One headered file per episode, ``<thing>/<month>_<episode>.csv`` with both ordinals from 1."""
     file = episode_file(F.col("month_idx") + 1, F.col("ep_idx") + 1)
-    return _write_files(rows, F.concat_ws("/", "thing", file), folder, HEADER)
+    return _write_pairs(rows, F.concat_ws("/", "thing", file), folder, HEADER)
 
 
 def export_traces(traces: DataFrame, name: Column, folder: str) -> DataFrame:
     """Traces in the simulator's layout, ``<name>_<soc>/<month>_<episode>.csv`` without a header."""
     soc = F.col("soc").cast("string")
     file = F.concat(name, F.lit("_"), soc, F.lit("/"), episode_file(F.col("month_no"), F.col("ep_no")))
-    return _write_files(traces, file, folder, None)
+    return _write_pairs(traces, file, folder, None)
 
 
 def _path_parts() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampwise.session import small
 from ampwise.sources.telemetry_csv import is_folder
 
 log = logging.getLogger(__name__)
@@ -65,13 +66,14 @@ def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> D
     if not is_folder(spark, table):
         log.warning("no episodes at %s, build the data set first", path)
         return None
-    # Rows left over from an earlier build of a thing that has no episodes any more do not count.
-    current = load_months(spark, path).where("has_episodes").select("thing").distinct()
+    months = load_months(spark, path)
     rows = read_keyed(spark, table)
-    if thing is None:
-        return rows.join(current, "thing", "left_semi")
-    rows = rows.where(F.col("thing") == thing).join(current.where(F.col("thing") == thing), "thing", "left_semi")
-    if rows.select(F.lit(1)).limit(1).isEmpty():
+    if thing is not None:
+        months, rows = months.where(F.col("thing") == thing), rows.where(F.col("thing") == thing)
+    # Rows left over from an earlier build of a thing that has no episodes any more do not count. While the list of things
+    # is small the rows are filtered where they are read.
+    rows = rows.join(small(months.where("has_episodes").select("thing").distinct()), "thing", "left_semi")
+    if thing is not None and rows.select(F.lit(1)).limit(1).isEmpty():
         log.warning("no episodes of %s at %s", thing, path)
         return None
     return rows
@@ -113,10 +115,11 @@ def mixed_age(blows: DataFrame, beyond: int | None = None) -> DataFrame:
     return leveled.drop("_level")
 
 
-def save_evaluation(path: str, scores: DataFrame, thresholds: DataFrame) -> None:
-    """Scores of the best model at every health level, and its thresholds."""
-    for name, table in (("scores", scores), ("thresholds", thresholds)):
-        _overwrite_partitions(table, os.path.join(path, name), "model")
+def save_evaluation(path: str, scores: DataFrame, thresholds: DataFrame, models: DataFrame | None = None) -> None:
+    """Scores of the best model at every health level, its thresholds, and the models as rows."""
+    for name, table in (("scores", scores), ("thresholds", thresholds), ("models", models)):
+        if table is not None:
+            _overwrite_partitions(table, os.path.join(path, name), "model")
 
 
 def load_evaluation(spark: SparkSession, path: str, model: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +129,11 @@ def load_evaluation(spark: SparkSession, path: str, model: str | None = None) ->
     return tables[0], tables[1]
 
 
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """Models stored with an evaluation; ``reconstruct.models_from_table`` makes them usable again."""
+    return spark.read.parquet(os.path.join(path, "models"))
+
+
 def cached_table(spark: SparkSession, path: str, build, force: bool = True) -> DataFrame:
     """Return the stored table, building it first when absent or forced."""
     if force or not is_folder(spark, path):

@@ -295,6 +295,17 @@ def test_full_basis_reconstructs_and_error_falls(spark):
     assert np.allclose(flipped.reconstruct(x), full.reconstruct(x))
 
 
+def test_a_large_mean_does_not_cancel_a_small_variance(spark):
+    rng = np.random.default_rng(5)
+    spread = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 6))
+    far = spark.createDataFrame([((1e8 + row).tolist(),) for row in spread], "x array<double>")
+    model = reconstruct.fit_one(far, 2)
+    gaps = np.abs(1e8 + spread - model.reconstruct(1e8 + spread))
+    assert gaps.max() < 1e-5 and np.abs(model.mean - 1e8 - spread.mean(axis=0)).max() < 1e-6
+    with pytest.raises(ValueError, match="no sample"):
+        reconstruct.fit_one(far.limit(0), 2)
+
+
 def test_models_survive_a_table(spark, tmp_path):
     df, x = vectors(spark)
     model = reconstruct.fit_one(df, 3)

@@ -22,6 +22,9 @@ QUICK = [
     "threshold_sweep",
     "map_report",
     "vector_losses",
+    "faulty_files",
+    "repeated_times",
+    "stored_rates",
 ]
 CHOSEN = sorted(QUERIES) if os.environ.get("AMPWISE_ALL_QUERIES") else QUICK
 

@@ -55,6 +55,17 @@ def test_scan_rejects_whole_files_and_drops_null_rows(spark, folder):
     assert rows.schema["CONF"].dataType.simpleString() == "float"
 
 
+def test_scan_and_load_do_not_shuffle_rows_by_thing(spark, folder, tmp_path):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "hashpartitioning" not in plan(telemetry_csv.clean(telemetry_csv.read_raw(spark, folder)))
+    build.build_episodes(spark, folder, str(tmp_path), TWOS)
+    path = telemetry_csv.episode_store_path(str(tmp_path), TWOS.suffix)
+    for thing in (None, "007"):
+        assert "hashpartitioning" not in plan(stores.load_episodes(spark, path, thing))
+
+
 def test_incremental_build_opens_only_new_files(spark, folder, tmp_path):
     root = str(tmp_path)
     totals = {r.thing: r.asDict() for r in build.build_episodes(spark, folder, root, TWOS).collect()}
