@@ -1,12 +1,14 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences. The identifiers found, in
-text order, are matched against ordered rules; what a rule matches is consumed, so later and looser rules don't see it.
+A text is normalised and its ends of sentences and lines are marked; known licence sentences are found between any two of
+them. The identifiers found, in text order, are matched against ordered rules; what a rule matches is consumed, so later and looser rules don't see it.
 Everything is computed inside the row by DataFrame functions: no shuffle and no join.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,31 +118,31 @@ RULES = [
     ("Proprietary", ["Reserved"]),
 ]
 
-SENTENCE_END = r"[.!?:;]+(?=\s|$)|\n[^\S\n]*\n"
-#: Every known sentence has one of these, so other texts, sentences and lines need no look-up.
-CUE = r"(?i)licen|licence|redistribut|copyright|permission|warrant|rights reserved|liable"
+#: Where a sentence may begin or end; one sentence may hold several of these.
+SENTENCE_END = r"[.!?:;]+(?=\s|$)"
+#: Every known sentence has one of these, so other texts need no look-up.
+CUE = r"(?i)licen|licence|redistribut|copyright|permission|warrant|rights\W+reserved|liable"
+#: Known sentences from one end to another, the longest first, whatever ends stand inside.
+KNOWN = r"(?<![^\n])(?:%s)(?![^\n])" % "|".join(
+    re.escape(s).replace(r"\ ", r"[ \n]") for s in sorted(SENTENCES, key=len, reverse=True)
+)
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; letters, digits and dots between digits stay, all else is one space."""
-    plain = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}.]+|\.(?!\p{N})|(?<!\p{N})\.", " ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+def normalised(text: Column) -> Column:
+    """Lower case; letters, digits and dots between digits stay, all else is one space, or one line end if it holds one."""
+    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.\n]+|\.(?!\p{N})|(?<!\p{N})\.", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r" *\n[ \n]*", "\n"), " +", " "))
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text in text order; lines count where the sentence as a whole is unknown."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-
-    def look_up(part: Column) -> Column:
-        return F.try_element_at(known, normalised(part))
+    """Identifiers of the known sentences of a text in text order.
 
-    def of_sentence(sentence: Column) -> Column:
-        lines = F.filter(F.split(sentence, "\n"), lambda line: line.rlike(CUE))
-        whole = F.array(look_up(sentence))
-        return F.transform(whole, lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(F.transform(lines, look_up)))[0]
-
-    sentences = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(CUE))
-    return F.when(text.rlike(CUE), F.array_compact(F.flatten(F.transform(sentences, of_sentence)))).otherwise(
+    A known sentence begins and ends at a sentence end or line end. Ends inside it ("free software: you", "v. 2.0", wrapped
+    lines) don't count, so it is found whole however the text is punctuated; where several begin, the longest is taken.
+    """
+    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
+    found = F.regexp_extract_all(normalised(F.regexp_replace(text, SENTENCE_END, "\n")), F.lit(KNOWN), F.lit(0))
+    return F.when(text.rlike(CUE), F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))).otherwise(
         F.array().cast("array<string>")
     )
 

@@ -145,6 +145,80 @@ def test_license_scan(spark, docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %s of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL_IDS = ["GPL-%s+-free", "GPL-hope", "GPL-see", "GPL-received"]
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+BSD = """Copyright (c) 2020, A. Nobody
+All rights
+reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_verbatim_notices(spark):
+    """Notices as their authors give them, plain and as comments, with code before and after."""
+    apache = ["Apache-2-ref", "Apache-comply", "Apache-copy", "Apache-asis", "Apache-see"]
+    wanted = [
+        (GPL % (":", ",", 3), [i.replace("%s", "3") for i in GPL_IDS], ["GPL-3.0-or-later"]),
+        (GPL % (";", ";", 2), [i.replace("%s", "2") for i in GPL_IDS], ["GPL-2.0-or-later"]),
+        (APACHE, apache, ["Apache-2.0"]),
+        (MPL, ["MPL-2-subject"], ["MPL-2.0"]),
+        (BSD, ["Reserved", "BSD-permit", "BSD-source", "BSD-binary", "BSD-endorse"], ["BSD-3-Clause", "Proprietary"]),
+    ]
+    for key, found in licenses.SENTENCES.items():
+        if key.startswith("spdx license identifier "):
+            tag = "SPDX-License-Identifier: " + key[24:].replace(" ", "-")
+            wanted.append((tag, [found], None))
+    texts = []
+    for text, ids, names in wanted:
+        for form in ("%s", "/*\n%s */\nint main() { return 0; }\n", "A title\n\n%s\n\nMore prose. And more."):
+            texts.append((form % text, ids, names))
+        texts.append(("#!/bin/sh\n#\n" + "".join(f"# {line}\n" for line in text.splitlines()) + "#\nexit 0\n", ids, names))
+    frame = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan(frame).collect():
+        text, ids, names = texts[r.doc_id]
+        assert r.sentences == ids and r.licenses, text
+        assert names is None or r.licenses == names, text
+
+
 @pytest.mark.parametrize("limit", [0, 100_000])
 def test_decontamination(spark, docs, rows, none, limit, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
