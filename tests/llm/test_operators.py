@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pydoc_data.topics import topics
 
 import brute_llm as brute
 import numpy as np
@@ -288,6 +289,28 @@ def test_compression_bands_on_labelled_text(spark, small_folder):
     assert judged.where("not kept").count() == 0 and judged.count() > 30
 
 
+def test_compression_bands_on_real_and_long_prose(spark):
+    """Python's own manual and clean texts of several MB pass; noise, text laden with symbols and spoilt text do not."""
+    r = random.Random(4)
+    manual = [t for t in topics.values() if len(t) > 600 and 10 * sum(map(t.count, "#*$%&|<>")) < len(t.split())]  # without tables
+    manual += ["\n".join(manual[k::3]) for k in range(3)]
+    syllables = "an be con der en fi gra ho in jo ka lu mi no or pa qui re sto tu un ver wi xe yo za".split()
+    vocabulary = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(2500)]
+    weights = [1 / (k + 3) for k in range(2500)]
+    long = [" ".join(r.choices(vocabulary, weights, k=n)) for n in (20_000, 100_000, 600_000)]
+    noise = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n)) for n in (4000, 60_000)]
+    noise = [" ".join(t[k : k + 60] for k in range(0, len(t), 60)) for t in noise]
+    laden = [" ".join(w + r.choice(["***", "$$$", "%%%", "&&&", "###"]) for w in t.split()) for t in (prose(r, 2000), long[0])]
+    spoilt = [long[0][:30_000] + " ".join(f"{k} to be had here now" for k in range(1200))]
+    texts = [(t, True) for t in manual + long] + [(t, False) for t in noise + laden + spoilt]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(8)
+    judged = [j for j in quality.judge(frame).collect() if not j.base_failed]
+    good = [j for j in judged if texts[j.doc_id][1]]
+    assert len(good) > 25 and max(len(texts[j.doc_id][0]) for j in good) > 3_000_000
+    assert all(j.kept for j in good)
+    assert not any(j.kept for j in judged if not texts[j.doc_id][1])
+
+
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">Accept &amp; go</div><article><h1>Title {k}</h1><p>First <b>bold</b>{k} &lt;x&gt;<br>next<p>Second {k}
 <div class="ad">Buy</div><p>Share this story</p><section class="comments"><p>me too</p></section></article><aside>More</aside>
