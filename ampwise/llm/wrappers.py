@@ -13,6 +13,9 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from math import isqrt
+from operator import add
 
 import pyarrow as pa
 import xxhash
@@ -28,7 +31,6 @@ MIN_PAGES = 4  # distinct pages of a host, below which nothing counts as templat
 CONSTANT_SHARE = 0.6
 LONGEST_CONSTANT = 200  # inside an article longer text is content even if it recurs
 BROADCAST_BYTES = 32 << 20
-DEEPEST = 200
 KEPT_PARSES = 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
@@ -61,11 +63,11 @@ PAGE_HEADS = {"header", "hgroup"}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "noise", "main", "shape", "place", "text")
+    __slots__ = ("tag", "kids", "noise", "main", "shape", "place", "text", "size")
 
     def __init__(self, tag: str, noise: bool = False, main: bool = False):
         self.tag, self.kids, self.noise, self.main = tag, [], noise, main
-        self.shape, self.place, self.text = 0, 0, ""
+        self.shape, self.place, self.text, self.size = 0, 0, "", 1
 
 
 def _marks(token: str, tag: str) -> tuple[bool, bool]:
@@ -90,9 +92,16 @@ def _marks(token: str, tag: str) -> tuple[bool, bool]:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; kids are nodes and decoded text. Unclosed and stray tags are mended, depth is bounded."""
+    """The tree of a page; kids are nodes and decoded text. Unclosed and stray tags are mended."""
     root = Node("#root")
     stack, at, length = [root], 0, len(page)
+    opened: dict[str, int] = {}  # open elements by tag, so that stray tags need no search
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
     while at < length:
         found = TOKEN.search(page, at)
         start = found.start() if found else length
@@ -105,24 +114,24 @@ def parse(page: str) -> Node:
             continue
         tag = NAME.match(token)[1].lower()
         if token[1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        if tag in SAME_CLOSES:
+        if tag in SAME_CLOSES and (opened.get(tag) or tag in ("td", "th")):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag or stack[k].tag in ("td", "th") and tag in ("td", "th"):
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SAME_CLOSES[tag]:
                     break
@@ -134,8 +143,9 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
-        elif tag not in VOID and not token.endswith("/>") and len(stack) < DEEPEST:
+        elif tag not in VOID and not token.endswith("/>"):
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -144,75 +154,118 @@ def number(root: Node) -> list[Node]:
 
     A block's text includes that of its inline elements but not that of blocks inside it.
     """
-    nodes = []
-
-    def visit(node: Node) -> str:
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
         node.place = len(nodes)
         nodes.append(node)
+        stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
+    passed = [""] * len(nodes)  # what an element gives to the text around it
+    for node in reversed(nodes):
         own, shape = [], [node.tag]
         for kid in node.kids:
             if isinstance(kid, str):
                 own.append(kid)
             else:
-                own.append(visit(kid))
+                own.append(passed[kid.place])
+                passed[kid.place] = ""
                 shape.append(kid.shape)
+                node.size += kid.size
         node.shape = hash(tuple(shape))
         text = "" if node.noise else "".join(own)
-        if node.tag not in BLOCKS:
-            return text
-        node.text = BLANK.sub(" ", text).strip()
-        return " "
-
-    visit(root)
+        if node.tag in BLOCKS:
+            node.text, text = BLANK.sub(" ", text).strip(), " "
+        passed[node.place] = text
     return nodes
 
 
-def matched(one: Node, two: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching: the size of the largest match that keeps parents and order, and its pairs.
-
-    Kids of one shape at both ends of the lists belong together, so only what lies between needs the table.
-    """
-    if one.tag != two.tag:
-        return 0
-    pairs.append((one, two))
+def _middle(one: Node, two: Node) -> tuple[list[Node], list[Node], list[tuple[Node, Node]]]:
+    """Kids of both without those of one shape at both ends of the lists, which belong together, and these pairs."""
     left = [k for k in one.kids if not isinstance(k, str)]
     right = [k for k in two.kids if not isinstance(k, str)]
-    size, low = 1, 0
-    while low < min(len(left), len(right)) and left[low].shape == right[low].shape:
-        size += matched(left[low], right[low], pairs)
+    m, n, low = len(left), len(right), 0
+    while low < min(m, n) and left[low].shape == right[low].shape:
         low += 1
-    m, n = len(left), len(right)
+    ends = list(zip(left[:low], right))
     while m > low and n > low and left[m - 1].shape == right[n - 1].shape:
         m, n = m - 1, n - 1
-        size += matched(left[m], right[n], pairs)
-    left, right = left[low:m], right[low:n]
-    if not left or not right:
-        return size
-    if len(left) * len(right) > 10_000:  # very long lists: in order, kid by kid
-        for a, b in zip(left, right):
-            size += matched(a, b, pairs)
-        return size
-    inner = {}
-    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, a in enumerate(left):
-        above, row = table[i], table[i + 1]
-        for j, b in enumerate(right):
-            gain = 0
-            if a.tag == b.tag:
-                inner[i, j] = own = []
-                gain = matched(a, b, own)
-            row[j + 1] = max(above[j + 1], row[j], above[j] + gain)
-    i, j = len(left), len(right)
-    size += table[i][j]
-    while i and j:
-        if table[i][j] == table[i - 1][j]:
-            i -= 1
-        elif table[i][j] == table[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.extend(inner[i, j])
-    return size
+        ends.append((left[m], right[n]))
+    return left[low:m], right[low:n], ends
+
+
+class Sizes:
+    """Sizes of the largest matches of two trees; they depend on the shapes only, so each pair of shapes is settled once."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+
+    def gain(self, a: Node, b: Node) -> int:
+        return 0 if a.tag != b.tag else a.size if a.shape == b.shape else self.known[a.shape, b.shape]
+
+    def row(self, above: list[int], a: Node, right: list[Node]) -> list[int]:
+        """The next row of the table: the best of the first kids on the left against each number of kids on the right."""
+        gains = [self.gain(a, b) for b in right]
+        return list(accumulate(map(max, above[1:], map(add, above, gains)), max, initial=0))
+
+    def settle(self, left: list[Node], right: list[Node]) -> None:
+        """Makes the gains of all pairs known; trees of any depth, inner pairs first."""
+        todo = self.missing(left, right)
+        while todo:
+            a, b = todo[-1]
+            one, two, ends = _middle(a, b)
+            missing = [] if (a.shape, b.shape) in self.known else self.missing(one, two)
+            if missing:
+                todo.extend(missing)
+                continue
+            todo.pop()
+            if (a.shape, b.shape) not in self.known:
+                row = [0] * (len(two) + 1)
+                for kid in one:
+                    row = self.row(row, kid, two)
+                self.known[a.shape, b.shape] = 1 + sum(k.size for k, _ in ends) + row[-1]
+
+    def missing(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        ones, twos = ({k.shape: k for k in kids}.values() for kids in (left, right))
+        return [(a, b) for a in ones for b in twos if a.tag == b.tag and a.shape != b.shape and (a.shape, b.shape) not in self.known]
+
+    def aligned(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        """The kids of a largest match. Of the table every so many rows are held, those between are made again on the way back."""
+        self.settle(left, right)
+        step = isqrt(len(left)) + 1
+        row, held = [0] * (len(right) + 1), []
+        for i, a in enumerate(left):
+            if i % step == 0:
+                held.append(row)
+            row = self.row(row, a, right)
+        pairs, j = [], len(right)
+        for at in reversed(range(0, len(left), step)):
+            rows = [held.pop()]
+            for a in left[at : at + step]:
+                rows.append(self.row(rows[-1], a, right))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((left[at + i], right[j]))
+        return pairs
+
+
+def matched(one: Node, two: Node, pairs: list[tuple[Node, Node]]) -> int:
+    """Simple tree matching: the size of the largest match that keeps parents and order, and its pairs."""
+    sizes, before = Sizes(), len(pairs)
+    todo = [(one, two)] if one.tag == two.tag else []
+    while todo:
+        a, b = todo.pop()
+        pairs.append((a, b))
+        left, right, ends = _middle(a, b)
+        todo += ends
+        if left and right:
+            todo += sizes.aligned(left, right)
+    return len(pairs) - before
 
 
 def equal_places(nodes: list[Node], reference: list[Node]) -> list[tuple[int, int]]:
@@ -225,10 +278,6 @@ def equal_places(nodes: list[Node], reference: list[Node]) -> list[tuple[int, in
 def main_text(root: Node, template: set[int]) -> str:
     """The text of blocks outside noise and template, inside article or main elements where the page has them."""
 
-    def holds_main(node: Node) -> bool:
-        return any(not isinstance(k, str) and not k.noise and (k.main or holds_main(k)) for k in node.kids)
-
-    whole = not holds_main(root)
     blocks, current = [], []
 
     def flush() -> None:
@@ -237,23 +286,27 @@ def main_text(root: Node, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    def visit(node: Node, inside: bool, dropped: bool) -> None:
-        if node.noise:
-            return
-        inside = inside or node.main
-        block = node.tag in BLOCKS
-        if block:
-            dropped = node.place in template and node.tag != "h1" and not (inside and len(node.text) > LONGEST_CONSTANT)
-            flush()
-        for kid in node.kids:
-            if not isinstance(kid, str):
-                visit(kid, inside, dropped)
-            elif inside and not dropped:
-                current.append(kid)
-        if block:
+    whole, stack = True, [root]
+    while stack and whole:
+        for kid in stack.pop().kids:
+            if not isinstance(kid, str) and not kid.noise:
+                whole = whole and not kid.main
+                stack.append(kid)
+    walk: list[tuple[Node | str | None, bool, bool]] = [(root, whole, False)]  # None is the end of a block
+    while walk:
+        node, inside, dropped = walk.pop()
+        if node is None:
             flush()
-
-    visit(root, whole, False)
+        elif isinstance(node, str):
+            if inside and not dropped:
+                current.append(node)
+        elif not node.noise:
+            inside = inside or node.main
+            if node.tag in BLOCKS:
+                dropped = node.place in template and node.tag != "h1" and not (inside and len(node.text) > LONGEST_CONSTANT)
+                flush()
+                walk.append((None, inside, dropped))
+            walk.extend((kid, inside, dropped) for kid in reversed(node.kids))
     flush()
     return " ".join(blocks)
 

@@ -338,6 +338,28 @@ def test_tree_matching():
     assert {one[a].text for a, _ in wrappers.equal_places(one, two)} == {"a", "x", "b"}
 
 
+def test_tree_matching_of_long_lists_and_deep_trees():
+    """No size changes the method: constant kids of long lists are matched, and elements of any depth keep their place."""
+    r = random.Random(6)
+    kids = [r.choice(["<p>v%d</p>", "<p><b>v%d</b></p>", "<ul><li>v%d</li></ul>", "<p><i>v</i>%d</p>"]) for _ in range(400)]
+    pages = []
+    for page in range(2):
+        own = [k % r.randrange(10**9) for k in kids]
+        own[200] = "<div><p>always here</p></div>"
+        pages.append(wrappers.number(wrappers.parse("<div>" + "<h2>new</h2><dl></dl>" * page + "".join(own[: 400 - 30 * page]) + "</div>")))
+    assert "always here" in {pages[0][a].text for a, _ in wrappers.equal_places(*pages)}
+    for depth in (150, 250, 5000):
+        noise = "<span>" * depth + "<script>bad</script><nav>bad</nav>" + "</span>" * depth
+        page = f"<article><div>one</div>{noise}<div>{'<div>' * depth}two{'</div>' * depth}</div><font>{'<font>' * depth}<div>three</div></article>out"
+        trees = [wrappers.parse(page) for _ in range(2)]
+        nodes = [wrappers.number(tree) for tree in trees]
+        assert wrappers.main_text(trees[0], set()) == "one two three"
+        assert len(wrappers.equal_places(*nodes)) == 3
+    deep = wrappers.number(wrappers.parse("<div>" * 3000 + "<b></b><i></i>" + "</div>" * 3000))
+    other = wrappers.number(wrappers.parse("<div>" * 3000 + "<u></u><i></i><u></u>" + "</div>" * 3000))
+    assert wrappers.matched(deep[0], other[0], []) == 3002
+
+
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_duplicates(docs, rows, none, words):
     distinct = {d: t for d, t, _ in rows if d is not None}
