@@ -59,25 +59,41 @@ NOISE_WORDS = set(
     " breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login share"
     " sharing social comment comments reply replies disqus related recommended widget toolbar pagination pager masthead".split()
 )
+#: Further words of class names made of several words, such as site-footer; others (has-sidebar, no-comments) say something else.
+PLACE_WORDS = set(
+    "site page main global top bottom left right primary secondary first second third box bar links list block area section inner outer"
+    " wrap wrapper container group holder panel button buttons icon icons items item text message title form header head"
+    " post article entry wp js c m b l u".split()
+)
+CONTENT_IDS = set("content main article post entry story primary page".split())
 PAGE_HEADS = {"header", "hgroup"}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "noise", "main", "shape", "place", "text", "size")
+    __slots__ = ("tag", "kids", "noise", "main", "named", "shape", "place", "text", "size")
 
-    def __init__(self, tag: str, noise: bool = False, main: bool = False):
-        self.tag, self.kids, self.noise, self.main = tag, [], noise, main
+    def __init__(self, tag: str, noise: bool = False, main: bool = False, named: bool = False):
+        self.tag, self.kids, self.noise, self.main, self.named = tag, [], noise, main, named
         self.shape, self.place, self.text, self.size = 0, 0, "", 1
 
 
-def _marks(token: str, tag: str) -> tuple[bool, bool]:
-    """Whether an element is noise, and whether it holds the main text, by its tag and attributes."""
+def _names_noise(value: str) -> bool:
+    """Whether a class or id names boilerplate: a token that is such a word, or such words and words of place."""
+    for token in value.split():
+        words = [w.rstrip("0123456789") for w in WORDS.findall(token)]
+        if not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in PLACE_WORDS or not w for w in words):
+            return True
+    return False
+
+
+def _marks(token: str, tag: str) -> tuple[bool, bool, bool]:
+    """Whether an element is noise, holds the main text, or is named like noise, by its tag and attributes."""
     if tag in NOISE_TAGS:
-        return True, False
+        return True, False, False
     main = tag in ("article", "main")
     if "=" not in token:
-        return False, main
-    noise = HIDDEN.search(token) is not None
+        return False, main, False
+    noise, named, content = HIDDEN.search(token) is not None, False, False
     for name, *values in ATTRIBUTE.findall(token):
         value = "".join(values).lower()
         if name.lower() == "role":
@@ -87,8 +103,51 @@ def _marks(token: str, tag: str) -> tuple[bool, bool]:
             main |= value.strip() == "articlebody"
         elif tag not in ("html", "body"):
             words = set(WORDS.findall(value))
-            noise |= not words.isdisjoint(NOISE_WORDS) or (bool(words & {"header", "head"}) and tag in ("div", "section") and len(words) == 1)
-    return noise, main and not noise
+            named |= _names_noise(value) or (bool(words & {"header", "head"}) and tag in ("div", "section") and len(words) == 1)
+            content |= name.lower() == "id" and value.strip() in CONTENT_IDS
+    return noise, main and not noise, named and not content
+
+
+def settle_names(root: Node) -> None:
+    """Elements named like noise become noise, but for those of the main text and the elements round them.
+
+    A main element frees itself and all round it, an article that stands in no other article frees itself; articles in
+    elements named like noise (related posts, comments) free these only on a page without another article.
+    """
+    stack: list[tuple[Node, tuple | None, bool]] = [(root, None, False)]  # element, chain of named ones round it, in an article
+    hidden, marked = [], []
+    while stack:
+        node, chain, nested = stack.pop()
+        if node.noise:
+            continue
+        if node.named:
+            marked.append(node)
+            chain = (node, chain)
+        if node.main:
+            if node.tag != "article" or not nested:
+                node.named = False
+            if node.tag != "article":
+                _free(chain)
+            elif not nested:
+                hidden.append(chain)
+        nested = nested or (node.main and node.tag == "article")
+        stack.extend((k, chain, nested) for k in node.kids if not isinstance(k, str))
+    if hidden and all(_any_named(chain) for chain in hidden):
+        for chain in hidden:
+            _free(chain)
+    for node in marked:
+        node.noise |= node.named
+
+
+def _free(chain: tuple | None) -> None:
+    while chain:
+        chain[0].named, chain = False, chain[1]
+
+
+def _any_named(chain: tuple | None) -> bool:
+    while chain and not chain[0].named:
+        chain = chain[1]
+    return chain is not None
 
 
 def parse(page: str) -> Node:
@@ -135,10 +194,10 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in SAME_CLOSES[tag]:
                     break
-        noise, main = _marks(token, tag)
+        noise, main, named = _marks(token, tag)
         if tag in PAGE_HEADS and not any(n.main for n in stack):
             noise = True
-        node = Node(tag, noise, main)
+        node = Node(tag, noise, main, named)
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -146,6 +205,7 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not token.endswith("/>"):
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
+    settle_names(root)
     return root
 
 

@@ -360,6 +360,24 @@ def test_tree_matching_of_long_lists_and_deep_trees():
     assert wrappers.matched(deep[0], other[0], []) == 3002
 
 
+def test_class_names_do_not_drop_the_main_text():
+    def text(page):
+        tree = wrappers.parse(page)
+        wrappers.number(tree)
+        return wrappers.main_text(tree, set())
+
+    kept = ["<article class='post has-sidebar'>%s</article>", "<div id='content' class='with-sidebar'>%s</div>", "<main class='no-comments'>%s</main>"]
+    kept += ["<article class='post social'>%s</article>", "<main class='comments'>%s</main>", "<div class='social'><main>%s</main></div>"]
+    kept += ["<div class='widget'><article>%s</article></div>", "<div class=promo><div itemprop=articleBody>%s</div></div>"]
+    kept += ["<div class='content-sidebar-wrap'>%s</div>", "<main><article class='post social'>%s</article></main>", "<div id=content class='right-sidebar'>%s</div>"]
+    for form in kept:
+        assert text("<body>" + form % "<p>the text</p>" + "</body>") == "the text", form
+    noise = ["<div class='sidebar'>x</div>", "<div class='cookie-notice'>x</div>", "<div id='site-footer'>x</div>", "<p class='a comments'>x</p>"]
+    noise += ["<section class='comments'><article class='comment'>x</article></section>", "<div class=related><article>x</article></div>"]
+    for one in noise:
+        assert text(f"<body><article class='social'><p>the text</p>{one}</article>{one}</body>") == "the text", one
+
+
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_duplicates(docs, rows, none, words):
     distinct = {d: t for d, t, _ in rows if d is not None}
