@@ -1,11 +1,13 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host are aligned with reference pages of that host by simple tree matching. A node whose text equals that of
-the reference node it is matched with, on most of the host's distinct pages, is template; the varying slots are content.
+Pages of a host that share a layout, the shape of a page near its top, are aligned with reference pages of that layout by
+simple tree matching. A node whose text equals that of the reference node it is matched with, on most of the layout's
+distinct pages, is template; the varying slots are content. Pages of layouts too rare for that are held against
+references of the whole host.
 Markup tells the rest: navigation, forms, notices and the like are left out by element, role or class, and where a page
 has an article or main element, the text is what stands inside.
 
-References are chosen by hash, a fixed number per host; every page is aligned and counted, in partial aggregates.
+References are chosen by hash, a fixed number per layout; every page is aligned and counted, in partial aggregates.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ampwise.llm.url_rules import host_of
 from ampwise.session import stage
 
 REFERENCES = 2
-MIN_PAGES = 4  # distinct pages of a host, below which nothing counts as template
+MIN_PAGES = 4  # distinct pages of a layout or host, below which nothing counts as template
 CONSTANT_SHARE = 0.6
 LONGEST_CONSTANT = 200  # inside an article longer text is content even if it recurs
 BROADCAST_BYTES = 32 << 20
@@ -66,14 +68,15 @@ PLACE_WORDS = set(
     " post article entry wp js c m b l u".split()
 )
 CONTENT_IDS = set("content main article post entry story primary page".split())
+CONTAINERS = set("article aside div dl fieldset figure footer form header main nav ol section table ul".split())
 PAGE_HEADS = {"header", "hgroup"}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "noise", "main", "named", "shape", "place", "text", "size")
+    __slots__ = ("tag", "kids", "noise", "main", "named", "label", "shape", "place", "text", "size")
 
-    def __init__(self, tag: str, noise: bool = False, main: bool = False, named: bool = False):
-        self.tag, self.kids, self.noise, self.main, self.named = tag, [], noise, main, named
+    def __init__(self, tag: str, noise: bool = False, main: bool = False, named: bool = False, label: str = ""):
+        self.tag, self.kids, self.noise, self.main, self.named, self.label = tag, [], noise, main, named, label
         self.shape, self.place, self.text, self.size = 0, 0, "", 1
 
 
@@ -197,7 +200,7 @@ def parse(page: str) -> Node:
         noise, main, named = _marks(token, tag)
         if tag in PAGE_HEADS and not any(n.main for n in stack):
             noise = True
-        node = Node(tag, noise, main, named)
+        node = Node(tag, noise, main, named, token)
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -385,23 +388,64 @@ class Parses:
         return nodes
 
 
-EQUAL = "host string, which int, place int, page long"
+def layout(root: Node) -> int:
+    """A hash of the shape of a page near its top, never 0: elements that are not noise, tags and class names without digits.
+
+    Elements round the whole page are passed by. Runs of equal elements count once, so longer pages have the same layout.
+    """
+
+    def kids(node: Node) -> list[Node]:
+        return [k for k in node.kids if not isinstance(k, str) and not k.noise and k.tag not in VOID]
+
+    def name(node: Node) -> str:
+        classes = ["".join(values) for key, *values in ATTRIBUTE.findall(node.label) if key.lower() == "class"]
+        return " ".join([node.tag, *sorted({w for c in classes for w in re.sub(r"\d+", "", c.lower()).split()})])
+
+    node, below = root, kids(root)
+    while len(below) == 1 and not below[0].main and below[0].tag in BLOCKS and kids(below[0]):
+        node, below = below[0], kids(below[0])
+    names: list[str] = []
+    for kid in below:
+        inner = () if kid.main else {name(k) for k in kids(kid) if k.tag in CONTAINERS}
+        own = ">".join([name(kid), *sorted(inner)])
+        if names[-1:] != [own]:
+            names.append(own)
+    return xxhash.xxh64_intdigest("|".join(names).encode()) >> 1 | 1
+
+
+PAGES = "page_id long, url string, html string, host string, layout long"
+
+
+def _layout_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        layouts = [layout(parse(page)) for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], [c.split()[0] for c in PAGES.split(", ")])
+
+
+EQUAL = "host string, layout long, which int, place int, page long"
 
 
 def _equal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parses = Parses()
     for batch in batches:
         out = []
-        for host, page, references in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "references"))):
+        columns = ("host", "layout", "html", "references", "own_references")
+        for host, own, page, *kinds in zip(*(batch.column(c).to_pylist() for c in columns)):
             nodes = number(parse(page))
             mark = xxhash.xxh64_intdigest(page.encode()) - (1 << 63)
-            out.append((host, -1, -1, mark))
-            for which, reference in enumerate(references):
-                if reference != page:
-                    out.extend((host, which, place, mark) for _, place in equal_places(nodes, parses.of(reference)))
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            places: dict[str, list[int]] = {}
+            for key, references in zip((0, own), kinds):
+                if references is None:
+                    continue
+                out.append((host, key, -1, -1, mark))
+                for which, reference in enumerate(references):
+                    if reference != page:
+                        if reference not in places:
+                            places[reference] = [place for _, place in equal_places(nodes, parses.of(reference))]
+                        out.extend((host, key, which, place, mark) for place in places[reference])
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "which", "place", "page"]
+            [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "layout", "which", "place", "page"]
         )
 
 
@@ -436,24 +480,41 @@ def extract(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``: the main text, and its code points.
 
     A null or empty html, and a page of noise only, has an empty text. A null url has the empty host; so have urls
-    without one, and they share a template. Repeated rows are extracted alike; equal pages count once as evidence for a
-    template, and a host needs ``MIN_PAGES`` distinct pages to have one. Only page_id, url and html are read; an empty
+    without one, and they share templates. Repeated rows are extracted alike; equal pages count once as evidence for a
+    template, and a layout or host needs ``MIN_PAGES`` distinct pages to have one. Only page_id, url and html are read; an empty
     table gives no rows.
     """
     source = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host")
     )
+    source = stage(map_texts(source, _layout_batches, PAGES))
     rank = F.struct(F.xxhash64("html").alias("rank"), "html")
-    chosen = source.groupBy("host").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    chosen = chosen.select("host", F.slice(F.array_distinct(F.array("first.html", "last.html")), 1, references).alias("references"))
-    chosen = stage(chosen)
-    joined = source.select("host", "html").join(_bounded(chosen, "references"), "host")
+    ranked = source.groupBy("host", "layout").agg(
+        F.min(rank).alias("first"), F.max(rank).alias("last"), F.approx_count_distinct(F.xxhash64("html"), 0.02).alias("n")
+    )
+    ranked = stage(ranked)
+    chosen = F.slice(F.array_distinct(F.array("first.html", "last.html")), 1, references)
+    of_hosts = ranked.groupBy("host").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("host", chosen.alias("references"))
+    of_layouts = ranked.where(F.col("n") >= MIN_PAGES).select("host", "layout", chosen.alias("own_references"))
+    of_hosts, of_layouts = stage(of_hosts), stage(of_layouts)
+    joined = source.select("host", "layout", "html").join(_bounded(of_hosts, "references"), "host")
+    joined = joined.join(_bounded(of_layouts, "own_references"), ["host", "layout"], "left")
     equal = map_texts(joined, _equal_batches, EQUAL)
-    counts = stage(equal.groupBy("host", "which", "place").agg(F.approx_count_distinct("page", 0.02).alias("n")))
-    totals = counts.where("which < 0").select(F.col("host").alias("t_host"), F.col("n").alias("total"))
-    constant = counts.where("which >= 0").join(totals, F.col("host") == F.col("t_host"))
+    counts = stage(equal.groupBy("host", "layout", "which", "place").agg(F.approx_count_distinct("page", 0.02).alias("n")))
+    totals = counts.where("which < 0").select("host", "layout", F.col("n").alias("total"))
+    constant = counts.where("which >= 0").join(totals, ["host", "layout"])
     constant = constant.where((F.col("total") >= MIN_PAGES) & (F.col("n") + 1 >= CONSTANT_SHARE * F.col("total")))
-    constant = constant.groupBy(F.col("host").alias("c_host")).agg(F.collect_list(F.struct("which", "place")).alias("constants"))
-    wrapper = stage(chosen.join(constant, F.col("host") == F.col("c_host")).drop("c_host"))
-    wrapped = source.join(_bounded(wrapper, "references"), "host", "left").select("page_id", "url", "html", "references", "constants")
+    constant = constant.groupBy("host", "layout").agg(F.collect_list(F.struct("which", "place")).alias("constants"))
+    own = of_layouts.join(constant.withColumnRenamed("constants", "own_constants"), ["host", "layout"])
+    whole = of_hosts.join(constant.where("layout = 0").drop("layout"), "host")
+    wrapped = source.join(_bounded(stage(own), "own_references"), ["host", "layout"], "left")
+    wrapped = wrapped.join(_bounded(stage(whole), "references"), "host", "left")
+    has_own = F.col("own_references").isNotNull()
+    wrapped = wrapped.select(
+        "page_id",
+        "url",
+        "html",
+        F.when(has_own, F.col("own_references")).otherwise(F.col("references")).alias("references"),
+        F.when(has_own, F.col("own_constants")).otherwise(F.col("constants")).alias("constants"),
+    )
     return map_texts(wrapped, _text_batches, TEXTS)

@@ -330,6 +330,27 @@ def test_wrapper_induction(spark):
     assert wrappers.extract(frame.where("false")).count() == 0
 
 
+def test_layouts_of_a_host_have_their_own_templates(spark):
+    """Five layouts, each a fifth of the pages, two too rare for a template; notices stand in elements without a tell-tale name."""
+    forms = [
+        "<div class=top><p>Notice A</p></div><div class=text{k}><h1>T{k}</h1>{more}</div>",
+        "<table><tr><td>Menu B</td></tr><tr><td>T{k}{more}</td></tr></table><div>End B</div>",
+        "<section><div>Advert C</div></section><div class=body><h1>T{k}</h1>{more}</div><p>Bye C</p>",
+        "<div class=wrap><div class=x><span>Line D</span></div><div class=y><p>T{k}</p>{more}</div></div>",
+        "<dl><dt>Rules E</dt></dl><div class=e><p>T{k}</p>{more}</div>",
+    ]
+    pages = []
+    for k in range(50):
+        more = "".join(f"<p>p{k} {i}</p>" for i in range(k % 7 + 1))
+        pages.append((k, f"http://many.org/{k}", f"<html><body>{forms[k % 5].format(k=k, more=more)}</body></html>"))
+    pages += [(90 + k, f"http://many.org/rare{k}", f"<body><ul><li>rare {k}</li></ul></body>") for k in range(2)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(frame).collect()}
+    for k in range(50):
+        assert got[k] == " ".join([f"T{k}", *(f"p{k} {i}" for i in range(k % 7 + 1))])
+    assert got[90] == "rare 0" and got[91] == "rare 1"
+
+
 def test_tree_matching():
     one = wrappers.number(wrappers.parse("<div><p>a</p><ul><li>x</li><li>y</li></ul><p>b</p></div>"))
     two = wrappers.number(wrappers.parse("<div><h2>t</h2><p>a</p><ul><li>x</li></ul><span>s</span><p>b</p></div>"))
