@@ -215,8 +215,9 @@ def _rare_elements(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
     alike = rare.join(other, "element").where("node < o_node and label != o_label")
     alike = alike.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     alone = rare.groupBy(F.col("node").alias("r_node")).agg(F.count("*").alias("alone"))
-    sizes = sets.join(nodes, "node", "left_semi").select(F.col("node").alias("u_node"), F.size("elements").alias("n")).distinct()
-    common = F.col("n") - F.coalesce("alone", F.lit(0))
+    sizes = sets.join(nodes, "node", "left_semi").groupBy(F.col("node").alias("u_node"), F.size("elements").alias("n"))
+    sizes = sizes.agg(F.count("*").alias("copies"))  # repeated rows give a node's set, and each of its rare elements, several times
+    common = F.col("n") - F.coalesce(F.expr("alone div copies"), F.lit(0))
     return sizes.join(alone, F.col("u_node") == F.col("r_node"), "left").select("u_node", "n", common.alias("common")), alike
 
 

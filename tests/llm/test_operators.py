@@ -428,6 +428,17 @@ def test_graded_copies_are_linked_through_others(spark):
     assert got == {d: c for d, _, c in brute.components(out, 4)}
 
 
+def test_rare_elements_of_repeated_rows(spark):
+    """A node of three repeated rows counts its rare elements once in the last search."""
+    shared = list(range(90))
+    sets = [(b"a", shared + list(range(1000, 1010)))] * 3 + [(bytes([k]), shared + list(range(100 * k + 2000, 100 * k + 2010))) for k in range(9)]
+    frame = spark.createDataFrame(sets, "node binary, elements array<long>")
+    nodes = spark.createDataFrame([(n, n) for n in {n for n, _ in sets}], "node binary, label binary")
+    sizes, alike = minhash._rare_elements(frame, nodes)
+    assert as_bag(sizes.collect()) == as_bag((n, 100, 90) for n in {n for n, _ in sets})
+    assert alike.count() == 0
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 470)]
