@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampwise.llm import decontam, licenses, minhash, mixing, quality, sharding, suffix_dedup, url_rules, warc, wrappers
+from ampwise.llm import decontam, licenses, merkle, minhash, mixing, phrases, quality, sharding, suffix_dedup, url_rules, warc, whitening, wrappers
 from ampwise.llm.checks import CHECKS
+from ampwise.llm.url_rules import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,3 +101,20 @@ def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op10_exact_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shard(docs, carried=[]).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op11_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    tampered = F.when(hit, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle.verify(table(spark, folder, "documents"), {"text": tampered})
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))

@@ -75,9 +75,68 @@ part AS (
 SELECT page_id, host, path, rule, coalesce(v, '{DEFAULT}') AS verdict FROM part LEFT JOIN fit USING (page_id)
 """
 
+def _tree_levels(name: str, nodes: str, levels: int) -> list[str]:
+    """CTEs of a tree's levels: runs of eight and the nodes over them, from ``nodes`` (tree, i, d, n) upwards."""
+    out = [f"{name}0 AS ({nodes})"]
+    for k in range(levels):
+        out.append(f"{name}run{k} AS (SELECT tree, n, i // 8 AS r, list(d ORDER BY i) AS kids FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        out.append(
+            f"{name}{k + 1} AS (SELECT tree, r AS i, sha256(array_to_string(kids, '')) AS d, (n + 7) // 8 AS n FROM {name}run{k} "
+            f"UNION ALL SELECT tree, i, d, n FROM {name}{k} WHERE n = 1)"
+        )
+    return out
+
+
+def _path_levels(name: str, tree: str, start: str, levels: int) -> list[str]:
+    """CTEs that lead ``start`` (leaf columns, tree, i, proof, fold) up the levels of ``tree``."""
+    left, right = "array_to_string(kids[1:i % 8], '')", "array_to_string(kids[i % 8 + 2:], '')"
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        out.append(
+            f"{name}{k + 1} AS (SELECT p.* EXCLUDE (i, proof, fold), i // 8 AS i, proof || coalesce({left} || {right}, '') AS proof, "
+            f"coalesce(sha256({left} || fold || {right}), fold) AS fold FROM {name}{k} p LEFT JOIN {tree}run{k} t ON p.tree = t.tree AND p.i // 8 = t.r)"
+        )
+    return out
+
+
+def _framed_sql(text: str) -> str:
+    columns = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+_SHOWN = f"CASE WHEN {_CRC32} % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END"
+_ROW_LEVELS, _GROUP_LEVELS = 9, 5  # for up to 8**9 rows a group and 8**5 groups
+
+MERKLE_MANIFEST = "WITH " + ",\n".join(
+    [
+        f"""leaf AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_framed_sql("text")} AS d, {_framed_sql("shown")} AS shown
+        FROM (SELECT *, {_SHOWN} AS shown FROM documents))""",
+        """placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+        count(*) OVER (PARTITION BY tree) AS n FROM leaf)""",
+        *_tree_levels("row_", "SELECT tree, i, d, n FROM placed", _ROW_LEVELS),
+        f"top AS (SELECT tree AS name, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM row_{_ROW_LEVELS})",
+        *_tree_levels("group_", "SELECT '' AS tree, i, d, n FROM top", _GROUP_LEVELS),
+        *_path_levels("up_", "row_", "SELECT doc_id, d AS leaf, tree, i, '' AS proof, shown AS fold FROM placed", _ROW_LEVELS),
+        *_path_levels(
+            "over_",
+            "group_",
+            f"SELECT doc_id, leaf, top.d AS subroot, '' AS tree, top.i, proof, fold FROM up_{_ROW_LEVELS} u JOIN top ON u.tree = top.name",
+            _GROUP_LEVELS,
+        ),
+    ]
+) + f"""
+SELECT doc_id, leaf, subroot, g.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = g.d AS verified
+FROM over_{_GROUP_LEVELS} CROSS JOIN group_{_GROUP_LEVELS} g
+"""
+
+
 CHECKS = {
     "op4_decontamination": DECONTAMINATION,
     "op5_warc_captures": WARC_CAPTURES,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_url_rules": URL_RULES,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
 }
