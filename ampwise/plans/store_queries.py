@@ -13,7 +13,7 @@ from ampwise.plans.segment_queries import SHAPED, SIX_HOURS, SLOW, SLOW_EPISODES
 from ampwise.plans.synthetic_queries import SYNTHETIC, simulated, synthetic
 from ampwise.schema import CURRENT_FIELD, EPISODE, FILE_COLUMNS, VOLTAGE_FIELD
 from ampwise.session import fresh_path
-from ampwise.sources import exchange_csv, stores, telemetry_csv, views
+from ampwise.sources import exchange_csv, named_files, stores, telemetry_csv, views
 
 
 def _sensor_lines(telemetry, current=None, stamp=None):
@@ -71,7 +71,7 @@ def faulty_files(spark, folder):
     line = F.concat(F.concat_ws(",", *_sensor_lines(telemetry, current, stamp)), F.when(kind == 0, ",9").otherwise(""))
     path = fresh_path(spark, "faulty-files")
     file = F.concat(F.lit("u"), "thing", F.lit(".csv"))
-    exchange_csv.write_named(telemetry.select(file.alias("file"), F.col("seq").alias("pos"), line.alias("line")), path)
+    named_files.write_named(telemetry.select(file.alias("file"), F.col("seq").alias("pos"), line.alias("line")), path)
     rows = telemetry_csv.clean(telemetry_csv.read_raw(spark, path))
     return rows.select("thing", "name", F.unix_micros("ts").alias("us"), F.round("current", 4).alias("current"))
 
@@ -87,7 +87,7 @@ def pending_files(spark, folder):
     listed = telemetry.groupBy("thing").agg(F.min("seq").alias("pos"))
     files, done = fresh_path(spark, "pending-files"), F.col("thing").cast("int") % 3 == 0
     line = F.concat(F.lit("2024-01-01 00:00:00,"), F.col("thing"))
-    exchange_csv.write_named(listed.select(F.concat("thing", F.lit(".csv")).alias("file"), "pos", line.alias("line")), files)
+    named_files.write_named(listed.select(F.concat("thing", F.lit(".csv")).alias("file"), "pos", line.alias("line")), files)
     path = fresh_path(spark, "episodes")
     stores.save_episodes(rows.where(done), segment.months(telemetry.where(done)), path)
     pending = telemetry_csv.pending_paths(spark, files, stores.stored_things(spark, path))

@@ -2,71 +2,17 @@
 
 from __future__ import annotations
 
-import sys
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyarrow import fs
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampwise.functions.labels import episode_file, folder_soc, folder_thing
 from ampwise.schema import CURRENT_FIELD, EPISODE, VOLTAGE_FIELD
-from ampwise.session import stage
-
-# The Python functions of this module travel with their tasks, so executors need pandas and pyarrow but not this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ampwise.session import small, stage
+from ampwise.sources.named_files import write_named
 
 HEADER = f"{CURRENT_FIELD},{VOLTAGE_FIELD}"
 
 
-def _qualified(spark: SparkSession, folder: str) -> str:
-    """``folder`` with its scheme, as the session's file system names it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.makeQualified(path).toString()
-
-
-def _writer(target: str, header: str | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = fs.FileSystem.from_uri(target)
-        path, out, hidden, rows = None, None, None, 0
-
-        def finish() -> Iterator[pd.DataFrame]:
-            if out is not None:
-                out.close()
-                system.move(hidden, f"{root}/{path}")
-                yield pd.DataFrame({"file": [path], "rows": [rows]})
-
-        for frame in frames:
-            for name, part in frame.groupby("file", sort=False):
-                if name != path:
-                    yield from finish()
-                    parent, _, file = f"{root}/{name}".rpartition("/")
-                    system.create_dir(parent, recursive=True)
-                    path, hidden, rows = name, f"{parent}/.{file}-{uuid.uuid4().hex}", 0
-                    out = system.open_output_stream(hidden)
-                    if header is not None:
-                        out.write(f"{header}\n".encode())
-                out.write("".join(f"{line}\n" for line in part["line"]).encode())
-                rows += len(part)
-        yield from finish()
-
-    return run
-
-
-def write_named(lines: DataFrame, folder: str, header: str | None = None) -> DataFrame:
-    """Write the ``line`` of each row to its ``file`` below ``folder``, in the order of ``pos``; return ``(file, rows)``.
-
-    Spark's writers can't name files, so tasks write them. A file is streamed under a hidden name and moved to its own
-    when complete: a task that is lost or run twice leaves no half file. Files of the same name are replaced.
-    """
-    ordered = lines.select("file", "pos", "line").repartition("file").sortWithinPartitions("file", "pos").drop("pos")
-    return stage(ordered.mapInPandas(_writer(_qualified(lines.sparkSession, folder), header), "file string, rows long"))
-
-
 def _write_pairs(rows: DataFrame, file: Column, folder: str, header: str | None) -> DataFrame:
     """Current and voltage of each file's rows."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("current", "voltage")]
@@ -86,48 +32,84 @@ def export_traces(traces: DataFrame, name: Column, folder: str) -> DataFrame:
     return _write_pairs(traces, file, folder, None)
 
 
-def _path_parts() -> Column:
+def _path_parts(path: str = "_metadata.file_path") -> Column:
     """Names along the file's path, as they were written: Spark shows the path with its escapes."""
-    return F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    return F.split(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), "/")
 
 
 def _ordinal(file: Column, group: int) -> Column:
     return F.regexp_extract(file, r"^(\d+)_(\d+)", group).cast("int")
 
 
-def _lines(texts: DataFrame, *keys: Column) -> DataFrame:
-    """Split whole-file texts into current and voltage with their line position."""
-    lines = F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), r"\r?\n")
-    numbered = texts.select(*keys, F.posexplode(lines).alias("pos", "line"))
-    cells = F.split("line", ",")
+def _numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines ``(path, pos, current, voltage, kind)`` of all files below ``folder``, numbered from 0 in each.
 
-    def number(i: int) -> Column:
-        return F.nullif(F.get(cells, F.lit(i)), F.lit("")).cast("float").cast("double")
-
-    return numbered.withColumns({"current": number(0), "voltage": number(1)}).drop("line")
+    Spark reads files in blocks, long ones in several tasks, and hands out ids that rise along a block. The parsed lines
+    are staged with those; the lines of the earlier blocks of a file, one count per block, are added to the place in the
+    own block. So no file is held in one row or read by one task only. Blank lines at the end of a file don't count. ``kind``
+    marks header lines and lines with a cell that is no number.
+    """
+    lines = spark.read.text(folder, recursiveFileLookup=True)
+    cells = F.split("value", ",")
 
+    def cell(i: int) -> Column:
+        return F.nullif(F.get(cells, F.lit(i)), F.lit(""))
 
-def _read_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, Column, list[Column]]:
-    """Whole files, since line positions are keys and a file is one episode; its folder's name, and its ordinals."""
-    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
-    located = texts.select("value", _path_parts().alias("parts"))
+    def number(i: int) -> Column:
+        return cell(i).try_cast("float").cast("double")
+
+    odd = [cell(i).isNotNull() & number(i).isNull() for i in (0, 1)]
+    parsed = stage(
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            (F.col("value") != "").alias("filled"),
+            F.when(F.col("value") == HEADER, "header").when(odd[0] | odd[1], "odd").alias("kind"),
+            number(0).alias("current"),
+            number(1).alias("voltage"),
+        )
+    )
+    blocks = parsed.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.min("seq").alias("first"),
+        F.max(F.when(F.col("filled"), F.col("seq"))).alias("last"),
+    )
+    whole = Window.partitionBy("path")
+    before = F.coalesce(F.sum("lines").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.withColumn("offset", before - F.col("first"))
+    offsets = offsets.select("path", "block", "offset", F.max(F.col("last") + F.col("offset")).over(whole).alias("end"))
+    placed = parsed.join(small(offsets), ["path", "block"]).withColumn("pos", F.col("seq") + F.col("offset"))
+    kept = placed.where(F.col("pos") <= F.col("end"))
+    return kept.select("path", F.col("pos").cast("int").alias("pos"), "current", "voltage", "kind")
+
+
+def _located(lines: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
+    """Lines with the parts of their path; the folder's name, and the file's ordinals."""
+    located = lines.withColumn("parts", _path_parts("path"))
     file = F.element_at("parts", -1)
     return located, F.element_at("parts", -2), [_ordinal(file, 1).alias("month_no"), _ordinal(file, 2).alias("ep_no")]
 
 
+def _refused(what: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what}: "), F.array_join("parts", "/"))).cast("boolean")
+
+
 def read_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """Simulator traces ``<x><thing>_<soc>/<month>_<episode>.csv`` with their line positions."""
-    located, name, ordinals = _read_texts(spark, folder)
-    return _lines(located, folder_thing(name).alias("thing"), folder_soc(name).alias("soc"), *ordinals)
+    """Simulator traces ``<x><thing>_<soc>/<month>_<episode>.csv`` with their line positions; other lines are an error."""
+    located, name, ordinals = _located(_numbered_lines(spark, folder))
+    sound = located.where(F.when(F.col("kind").isNull(), True).otherwise(_refused("not a trace")))
+    return sound.select(folder_thing(name).alias("thing"), folder_soc(name).alias("soc"), *ordinals, "pos", "current", "voltage")
 
 
 def read_episodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Exported episodes with their row positions; a file with another header is an error."""
-    located, name, ordinals = _read_texts(spark, folder)
-    header = F.regexp_extract("value", r"^[^\r\n]*", 0)
-    body = F.when(header == HEADER, F.regexp_replace("value", r"^[^\r\n]*\r?\n", ""))
-    checked = F.coalesce(body, F.raise_error(F.concat(F.lit("not an exported episode: "), F.array_join("parts", "/"))))
-    return _lines(located.withColumn("value", checked), name.alias("thing"), *ordinals)
+    """Exported episodes with their row positions; a file with another header, or a line without numbers, is an error."""
+    located, name, ordinals = _located(_numbered_lines(spark, folder))
+    # The check of line 0 decides whether it is dropped, so that it can't be left out.
+    headed = F.when(F.col("kind") == "header", False).otherwise(_refused("not an exported episode"))
+    sound = F.when(F.col("kind").isNull(), True).otherwise(_refused("not a row of an episode"))
+    body = located.where(F.when(F.col("pos") == 0, headed).otherwise(sound))
+    return body.select(name.alias("thing"), *ordinals, (F.col("pos") - 1).alias("pos"), "current", "voltage")
 
 
 def voltages(trace: DataFrame) -> DataFrame:
