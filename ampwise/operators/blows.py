@@ -34,13 +34,11 @@ def anchors(episode: DataFrame, p: Params, one_pass: bool = True) -> DataFrame:
     return episode.join(per_episode, EPISODE)
 
 
-def extract_blows(episode: DataFrame, p: Params, one_pass: bool = True) -> DataFrame:
-    """Rows of both parts; overlapping rows appear in each part.
+def with_windows(anchored: DataFrame, p: Params) -> DataFrame:
+    """Add the positions of both parts, ``d_lo <= pos < d_hi`` and ``c_lo <= pos < c_hi``.
 
-    ``part`` is discharge or charge, ``part_pos`` numbers rows inside the part (pair form) and ``blow_pos`` inside the
-    joined blow. Episodes lacking a state, or with an empty part, give no rows.
+    Needs the episode's length and first positions; episodes lacking a state, or with an empty part, give no rows.
     """
-    anchored = anchors(episode, p, one_pass)
     rows, d, c = F.col("ep_rows"), F.col("first_dis"), F.col("first_chg")
     bounded = anchored.where(d.isNotNull() & c.isNotNull()).withColumns(
         {
@@ -50,7 +48,16 @@ def extract_blows(episode: DataFrame, p: Params, one_pass: bool = True) -> DataF
             "c_hi": F.least(c + p.alpha2, rows),
         }
     )
-    bounded = bounded.where((F.col("d_lo") < F.col("d_hi")) & (F.col("c_lo") < F.col("c_hi")))
+    return bounded.where((F.col("d_lo") < F.col("d_hi")) & (F.col("c_lo") < F.col("c_hi")))
+
+
+def extract_blows(episode: DataFrame, p: Params, one_pass: bool = True) -> DataFrame:
+    """Rows of both parts; overlapping rows appear in each part.
+
+    ``part`` is discharge or charge, ``part_pos`` numbers rows inside the part (pair form) and ``blow_pos`` inside the
+    joined blow. Episodes lacking a state, or with an empty part, give no rows.
+    """
+    bounded = with_windows(anchors(episode, p, one_pass), p)
     pos = F.col("pos")
     in_d = (pos >= F.col("d_lo")) & (pos < F.col("d_hi"))
     in_c = (pos >= F.col("c_lo")) & (pos < F.col("c_hi"))

@@ -11,7 +11,7 @@ from ampwise.operators.ordering import earlier_pieces, with_piece
 from ampwise.operators.segment import candidates, headers, months
 from ampwise.schema import EPISODE, MONTH, Params
 
-BLOCK_ROWS = 256
+BLOCK_ROWS = 64
 
 
 def episode_rows(
@@ -32,18 +32,19 @@ def episode_rows(
         *MONTH,
         "month_idx",
         "ep_idx",
-        F.struct(F.col("from_us").alias("us"), F.col("from_seq").alias("seq")).alias("_from"),
-        F.struct(F.col("to_us").alias("us"), F.col("to_seq").alias("seq")).alias("_to"),
+        "from_us",
+        "from_seq",
+        "to_us",
+        "to_seq",
         F.explode(
             F.sequence(F.floor(F.col("from_us") / block_us), F.floor(F.col("to_us") / block_us))
         ).alias("block"),
     )
-    here = F.struct("us", "seq")
-    inside = (
-        rows.join(spans, [*MONTH, "block"])
-        .where((here >= F.col("_from")) & (here < F.col("_to")))
-        .drop("_from", "_to", "block")
-    )
+    us, seq = F.col("us"), F.col("seq")
+    begun = (us > F.col("from_us")) | ((us == F.col("from_us")) & (seq >= F.col("from_seq")))
+    ended = (us > F.col("to_us")) | ((us == F.col("to_us")) & (seq >= F.col("to_seq")))
+    inside = rows.join(spans, [*MONTH, "block"]).where(begun & ~ended)
+    inside = inside.drop("from_us", "from_seq", "to_us", "to_seq", "block")
     if hot is None:
         along = Window.partitionBy(*EPISODE).orderBy("us", "seq")
         numbered = inside.withColumn("pos", F.row_number().over(along) - 1)

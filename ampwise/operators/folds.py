@@ -36,38 +36,27 @@ def fold_map(
     """Fill folds greedily: a thing that would lift its fold above episodes/k opens the next one.
 
     With running totals known, the fill has only k-1 decisions: each opening is the first thing after the previous
-    opening whose total, less what lay before that opening, exceeds the cap. Each is one minimum over the table.
+    opening whose total, less what lay before that opening, exceeds the cap. Each is one minimum over the staged totals,
+    and all that the driver sees is the k-1 openings.
     """
     order = seeded_order(seed) if order is None else order
     things = stage(sizes.select("thing", "n", order.alias("order"), F.lit(0).alias("_all")))
     hot = find_hot(things, ["_all"], "order", max_rows)
     filled = stage(running(things, ["_all"], "order", ["thing"], {"upto": F.col("n")}, hot).drop("_all"))
     place = F.struct("order", "thing")
-    cap = F.floor(F.sum("n") / k)
-    openings = things.agg(cap.alias("cap"), F.array().cast(_opening_type(things)).alias("openings"))
+    first = F.min(F.struct(place.alias("place"), (F.col("upto") - F.col("n")).alias("before"))).alias("next")
+    cap = filled.agg(F.floor(F.sum("n") / k)).first()[0]
+    fold, before, last = F.lit(0), 0, None
     for _ in range(k - 1):
-        last = F.try_element_at("openings", F.lit(-1))
-        base = F.coalesce(last["before"], F.lit(0))
-        is_next = (F.col("upto") - base > F.col("cap")) & (last.isNull() | (place > last["place"]))
-        entry = F.struct(place.alias("place"), (F.col("upto") - F.col("n")).alias("before"))
-        found = (
-            filled.join(F.broadcast(openings))
-            .where(is_next)
-            .agg(F.min(entry).alias("next"))
-        )
-        openings = openings.join(F.broadcast(found)).select(
-            "cap",
-            F.when(F.col("next").isNull(), F.col("openings"))
-            .otherwise(F.array_append("openings", F.col("next")))
-            .alias("openings"),
-        )
-    opened = F.size(F.filter("openings", lambda o: o["place"] <= place))
-    return filled.join(F.broadcast(openings)).select("thing", "n", "order", opened.alias("fold"))
-
-
-def _opening_type(things: DataFrame) -> str:
-    order, thing = (things.schema[c].dataType.simpleString() for c in ("order", "thing"))
-    return f"array<struct<place:struct<order:{order},thing:{thing}>,before:bigint>>"
+        beyond = F.col("upto") - before > cap
+        opening = filled.where(beyond if last is None else beyond & (place > last)).agg(first).first()["next"]
+        if opening is None:
+            break
+        before = opening["before"]
+        order_type, thing_type = (filled.schema[c].dataType for c in ("order", "thing"))
+        last = F.struct(F.lit(opening["place"]["order"]).cast(order_type).alias("order"), F.lit(opening["place"]["thing"]).cast(thing_type).alias("thing"))
+        fold = fold + (place >= last).cast("int")
+    return filled.select("thing", "n", "order", fold.alias("fold"))
 
 
 def assign_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:

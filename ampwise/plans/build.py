@@ -7,11 +7,11 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampwise.operators import align, blows, episodes, segment
+from ampwise.operators import episodes, segment, steps
 from ampwise.operators.ordering import MAX_GROUP_ROWS
 from ampwise.schema import EPISODE, FIVES, Params
-from ampwise.session import small, stage
-from ampwise.sources import exchange_csv, stores, telemetry_csv
+from ampwise.session import fresh_path, small, stage
+from ampwise.sources import exchange_csv, series, stores, telemetry_csv
 
 log = logging.getLogger(__name__)
 
@@ -63,20 +63,22 @@ def import_synthetic(spark: SparkSession, traces_folder: str, root: str, p: Para
     """Turn simulator traces into stored synthetic blows, one partition per health level and thing.
 
     A trace that is missing, of another length than its episode, or of a thing or episode that is not stored stops the
-    import.
+    import. Episodes and traces are shuffled once, into series that then meet bucket by bucket.
     """
     rows = stores.load_episodes(spark, telemetry_csv.episode_store_path(root, p.suffix))
     if rows is None:
         return
-    traces = stage(exchange_csv.read_traces(spark, traces_folder))
+    traces = exchange_csv.read_traces(spark, traces_folder)
     simulated = small(traces.select("thing").distinct())
     unknown = simulated.join(rows.select("thing").distinct(), "thing", "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"traces of things that are not stored, for example {[r.thing for r in unknown]}")
-    real = stage(rows.select(*EPISODE, "pos", "ts", "current", "voltage").join(simulated, "thing", "left_semi"))
-    examples = align.length_errors(real, traces).limit(5).collect()
+    real = rows.select(*EPISODE, "pos", "ts", "current", "voltage").join(simulated, "thing", "left_semi")
+    episodes_at, traces_at = fresh_path(spark, "episode-series"), fresh_path(spark, "trace-series")
+    stored = series.save(series.episode_series(real, p, one_pass=False), episodes_at, keep=False)
+    laid = series.save(series.trace_series(traces), traces_at, keep=False)
+    examples = steps.length_errors(stored, laid).limit(5).collect()
     if examples:
         raise ValueError(f"traces do not fit their episodes, for example {examples}")
-    overlaid = align.overlay(real, traces)
-    found = align.synthetic_blows(blows.extract_blows(real, p, one_pass=False), overlaid, p.blow_rows)
+    found = steps.blow_rows(steps.blow_steps(stored, laid, p))
     stores.save_blows(found, telemetry_csv.blow_store_path(root, p.suffix))

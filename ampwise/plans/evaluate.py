@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampwise.functions.labels import capacity_label
-from ampwise.operators import folds, metrics, reconstruct, scaling
+from ampwise.operators import folds, metrics, reconstruct, scaling, steps
 from ampwise.schema import EPISODE
 from ampwise.session import small, stage
 from ampwise.sources import stores
@@ -27,13 +27,18 @@ class Evaluation:
 
 
 def prepare(blows: DataFrame, fit_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scaled sample arrays and the bounds used.
+    """Scaled sample arrays and the bounds used, of blows as rows or with their ``steps``.
 
     Bounds come from all healthy blows, the test fold included, as evaluation defines it; pass ``fit_on`` to fit on
     training blows only.
     """
-    bounds = scaling.fit_bounds(blows.where(F.col("soc") == 100) if fit_on is None else fit_on)
-    return scaling.to_samples(scaling.scale(blows, bounds), SAMPLE_KEYS), bounds
+    if "steps" not in blows.columns:
+        blows = stage(steps.gather(blows))
+    if fit_on is None:
+        bounds = steps.fit_bounds(blows.where(F.col("soc") == 100))
+    else:
+        bounds = steps.fit_bounds(fit_on) if "steps" in fit_on.columns else scaling.fit_bounds(fit_on)
+    return steps.sample_arrays(blows, bounds), bounds
 
 
 def _truncated(samples: DataFrame, groups: list[str], batch: int | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ampwise.functions.numeric import uniform
 from ampwise.operators import folds, metrics, reconstruct, scaling
 from ampwise.operators.quantiles import percentiles
+from ampwise.operators.steps import blow_rows
 from ampwise.plans import evaluate
 from ampwise.plans import oracle_parts as o
 from ampwise.plans.registry import query, r6
@@ -18,6 +19,7 @@ from ampwise.plans.synthetic_queries import (
     FULL_BOUNDS,
     SYNTHETIC,
     synthetic,
+    synthetic_steps,
 )
 from ampwise.schema import EPISODE
 from ampwise.session import stage
@@ -60,15 +62,23 @@ HEALTHY = "syn WHERE soc = 100"
 
 
 def _folded(spark, folder):
-    found = synthetic(spark, folder)
-    healthy = found.where(F.col("soc") == 100)
-    return found, folds.fold_map(folds.thing_sizes(healthy), K, _order())
+    """Synthetic blows with their steps, and the folds of their things."""
+    found = synthetic_steps(spark, folder)
+    return found, _folds(found)
+
+
+def _folds(found):
+    return folds.fold_map(folds.thing_sizes(found.where(F.col("soc") == 100)), K, _order())
+
+
+def _healthy_folds(spark, folder):
+    """The folds need the blows at full health only."""
+    return _folds(synthetic_steps(spark, folder, (100,)))
 
 
 @query("fold_map", recursive(*SYNTHETIC, fold_sql(HEALTHY)) + " SELECT thing, n, fold FROM fm")
 def fold_map(spark, folder):
-    _, fold = _folded(spark, folder)
-    return fold.select("thing", "n", "fold")
+    return _healthy_folds(spark, folder).select("thing", "n", "fold")
 
 
 LINE_FOLDS = 5
@@ -99,7 +109,7 @@ def fold_map_customers(spark, folder):
 )
 def fold_index(spark, folder):
     found, fold = _folded(spark, folder)
-    index = folds.fold_index(found.where(F.col("soc") == 100), fold)
+    index = folds.fold_index(blow_rows(found.where(F.col("soc") == 100)), fold)
     return index.select("fold", *EPISODE, F.unix_micros("start_ts").alias("us"))
 
 
@@ -113,7 +123,7 @@ def fold_index(spark, folder):
     FROM sp JOIN fm ON sp.fold = fm.fold GROUP BY 1, 2""",
 )
 def fold_splits(spark, folder):
-    _, fold = _folded(spark, folder)
+    fold = _healthy_folds(spark, folder)
     plan = folds.leave_one_fold_out(spark, K - 1)
     return plan.join(fold, "fold").groupBy("split", "role").agg(F.sum("n").alias("episodes"))
 
@@ -126,7 +136,7 @@ def fold_splits(spark, folder):
            CAST(sum(n) AS BIGINT) AS episodes, count(*) AS things FROM fm GROUP BY 1, 2""",
 )
 def fold_roles(spark, folder):
-    _, fold = _folded(spark, folder)
+    fold = _healthy_folds(spark, folder)
     roles = [folds.hold_out_role(F.col("fold")).alias("role"), folds.search_role(F.col("fold")).alias("search_role")]
     return fold.groupBy(*roles).agg(F.sum("n").alias("episodes"), F.count(F.lit(1)).alias("things"))
 
@@ -170,7 +180,7 @@ SAMPLE_KEYS = ["soc", *EPISODE]
     + " SELECT soc, thing, month_idx, ep_idx, CAST(i AS INTEGER) AS i, round(v, 6) AS v FROM x",
 )
 def sample_arrays(spark, folder):
-    samples, _ = evaluate.prepare(synthetic(spark, folder))
+    samples, _ = evaluate.prepare(synthetic_steps(spark, folder))
     return samples.select(*SAMPLE_KEYS, F.posexplode("x").alias("i", "v")).withColumn("v", r6("v"))
 
 
@@ -183,7 +193,7 @@ def sample_arrays(spark, folder):
       FROM (SELECT DISTINCT soc, thing, month_idx, ep_idx FROM syn)) WHERE k <= n - n % {BATCH}""",
 )
 def batch_compatible(spark, folder):
-    samples = stage(synthetic(spark, folder).select(*SAMPLE_KEYS).distinct())
+    samples = stage(synthetic_steps(spark, folder).select(*SAMPLE_KEYS))
     return scaling.batch_compatible(samples, EPISODE, BATCH, ["soc"])
 
 
@@ -195,7 +205,7 @@ def batch_compatible(spark, folder):
       FROM (SELECT DISTINCT thing, month_idx, ep_idx FROM syn)) WHERE k <= n - n % 128""",
 )
 def batch_compatible_whole(spark, folder):
-    samples = stage(synthetic(spark, folder).select(*EPISODE).distinct())
+    samples = stage(synthetic_steps(spark, folder).select(*EPISODE).distinct())
     return scaling.batch_compatible(samples, EPISODE, 128)
 
 
@@ -254,7 +264,7 @@ def health_score_boxes(spark, folder):
 
 @query("code_projection")
 def code_projection(spark, folder):
-    samples, _ = evaluate.prepare(synthetic(spark, folder))
+    samples, _ = evaluate.prepare(synthetic_steps(spark, folder))
     model = reconstruct.fit_one(samples.where(F.col("soc") == 100), reconstruct.CODE_SIZE)
     shown = reconstruct.project(samples, model)
     return shown.select(*SAMPLE_KEYS, r6("axis_1"), r6("axis_2"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampwise.functions.labels import capacity_label, episode_file, folder_soc, folder_thing, health_label, model_name
-from ampwise.operators import align, blows, metrics
+from ampwise.operators import align, metrics, steps
 from ampwise.operators.resolution import resolution
-from ampwise.operators.scaling import fit_bounds
 from ampwise.plans import oracle_parts as o
 from ampwise.plans.registry import query, r6
 from ampwise.plans.segment_queries import RESOLUTION_SQL, SHAPED, shaped_episodes
 from ampwise.schema import EPISODE, FIVES
-from ampwise.session import stage
-from ampwise.sources import stores, views
+from ampwise.session import fresh_path, stage
+from ampwise.sources import series, stores, views
+from ampwise.sources.series import SERIES
 
 LEVELS = list(o.SOCS)
 WORK_LEVELS = list(range(50, 105, 5))
@@ -35,13 +35,31 @@ def simulated(rows, levels=tuple(LEVELS)):
     )
 
 
-def synthetic(spark, folder, levels=tuple(LEVELS)):
-    """Synthetic blows of the shaped signal at each health level, staged for repeated use."""
+def simulated_series(real, levels=tuple(LEVELS)):
+    """The same stand-in on chunks of episodes."""
+    leveled = real.select(*SERIES, "first_pos", "current", "voltage", F.explode(F.array(*[F.lit(x) for x in levels])).alias("soc"))
+    return leveled.withColumn("voltage", F.transform("voltage", lambda v: v * F.col("soc") / 100.0))
+
+
+def stored_series(spark, folder, levels=tuple(LEVELS)):
+    """Stored series of the shaped signal's episodes and of their traces, bucketed alike."""
     _, rows, one_pass = shaped_episodes(spark, folder)
-    rows = stage(rows.select(*EPISODE, "pos", "ts", "current", "voltage"))
-    real_blows = blows.extract_blows(rows, FIVES, one_pass)
-    overlaid = align.overlay(rows, simulated(rows, levels))
-    return stage(align.synthetic_blows(real_blows, overlaid, FIVES.blow_rows))
+    return _saved(spark, series.episode_series(rows, FIVES, one_pass), levels)
+
+
+def _saved(spark, chunks, levels):
+    real = series.save(chunks, fresh_path(spark, "episodes"), keep=False)
+    return real, series.save(simulated_series(real, levels), fresh_path(spark, "traces"), keep=False)
+
+
+def synthetic_steps(spark, folder, levels=tuple(LEVELS)):
+    """Synthetic blows of the shaped signal at each health level, one row each, staged for repeated use."""
+    return stage(steps.blow_steps(*stored_series(spark, folder, levels), FIVES))
+
+
+def synthetic(spark, folder, levels=tuple(LEVELS)):
+    """The same as rows."""
+    return steps.blow_rows(synthetic_steps(spark, folder, levels))
 
 
 SYNTHETIC = (*SHAPED, o.blows(FIVES), o.traces(), o.synthetic(FIVES.blow_rows))
@@ -54,9 +72,7 @@ SYNTHETIC = (*SHAPED, o.blows(FIVES), o.traces(), o.synthetic(FIVES.blow_rows))
     SELECT thing, soc, month_idx, ep_idx, pos, us, round(cur, 6) AS current, round(volt, 6) AS voltage FROM trace""",
 )
 def overlay_traces(spark, folder):
-    _, rows, _ = shaped_episodes(spark, folder)
-    rows = stage(rows.select(*EPISODE, "pos", "ts", "current", "voltage"))
-    laid = align.overlay(rows, simulated(rows))
+    laid = series.rows_of(steps.overlay(*stored_series(spark, folder)), ["ts", "current", "voltage"])
     return laid.select("soc", *EPISODE, "pos", F.unix_micros("ts").alias("us"), r6("current"), r6("voltage"))
 
 
@@ -231,9 +247,9 @@ def repeated_times(spark, folder):
     _, rows, one_pass = shaped_episodes(spark, folder)
     us = F.unix_micros("ts")
     paired = F.timestamp_micros(us - F.when(F.col("ep_idx") % 2 == 0, us % 2_000_000).otherwise(0))
-    rows = stage(rows.select(*EPISODE, "pos", paired.alias("ts"), "current", "voltage"))
-    overlaid = align.overlay(rows, simulated(rows, (90,)))
-    found = align.synthetic_blows(blows.extract_blows(rows, FIVES, one_pass), overlaid, FIVES.blow_rows)
+    rows = rows.select(*EPISODE, "pos", paired.alias("ts"), "current", "voltage")
+    real, traces = _saved(spark, series.episode_series(rows, FIVES, one_pass), (90,))
+    found = steps.blow_rows(steps.blow_steps(real, traces, FIVES))
     return found.select("soc", *EPISODE, "part", "blow_pos", F.unix_micros("ts").alias("us"), r6("voltage"))
 
 
@@ -254,9 +270,8 @@ FULL_BOUNDS = o.BOUNDS.format(source="syn WHERE soc = 100")
 
 
 def _blow_mae(spark, folder):
-    found = synthetic(spark, folder)
-    bounds = fit_bounds(found.where(F.col("soc") == 100))
-    return align.blow_mae(found, bounds)
+    found = synthetic_steps(spark, folder)
+    return steps.blow_mae(found, steps.fit_bounds(found.where(F.col("soc") == 100)))
 
 
 @query(
