@@ -11,6 +11,7 @@ from ampwise.operators.quantiles import percentiles
 from ampwise.operators.steps import blow_rows
 from ampwise.plans import evaluate
 from ampwise.plans import oracle_parts as o
+from ampwise.plans.metric_queries import PCT_LIST, SWEEP
 from ampwise.plans.registry import query, r6
 from ampwise.plans.synthetic_queries import (
     DEGRADE_CUTS,
@@ -231,38 +232,130 @@ def _evaluation(spark, folder) -> evaluate.Evaluation:
     return evaluate.run(found, fold)
 
 
-@query("validation_scores")
+EVALUATED = recursive(
+    *SYNTHETIC,
+    FULL_BOUNDS,
+    SAMPLES,
+    fold_sql(HEALTHY),
+    "xf AS MATERIALIZED (SELECT soc, x.thing, month_idx, ep_idx, i, v, fold FROM x JOIN fm ON fm.thing = x.thing)",
+    f"split AS (SELECT f FROM range({K - 1}) AS r(f))",
+    f"""lin AS (SELECT f, i, sum(v) / count(*) AS m, count(*) AS n FROM xf JOIN split ON fold <> f
+            WHERE soc = 100 AND fold < {K - 1} GROUP BY f, i)""",
+    f"""mom AS (SELECT a.fold, a.i, b.i AS j, sum(a.v * b.v) AS s FROM xf a JOIN xf b USING (soc, thing, month_idx, ep_idx)
+            WHERE soc = 100 AND a.fold < {K - 1} GROUP BY a.fold, a.i, b.i)""",
+    """cov AS (SELECT l.f, t.i, t.j, t.s / l.n - l.m * r.m AS v
+            FROM (SELECT f, i, j, sum(s) AS s FROM mom JOIN split ON fold <> f GROUP BY f, i, j) t
+            JOIN lin l ON l.f = t.f AND l.i = t.i JOIN lin r ON r.f = t.f AND r.i = t.j)""",
+    "mat AS (SELECT f, list(v ORDER BY i, j) AS a FROM cov GROUP BY f)",
+    o.eigenvectors("mat", 40),
+    f"basis AS MATERIALIZED (SELECT f, k, i, v AS c FROM eig WHERE k < {reconstruct.CODE_SIZE})",
+)
+
+
+def _errors_sql(name: str, samples: str) -> str:
+    """``name``: mean absolute error of samples (f, soc, thing, month_idx, ep_idx, i, v) under the model of their ``f``."""
+    keys = "f, soc, thing, month_idx, ep_idx"
+    return f"""
+{name}_gap AS MATERIALIZED (SELECT s.*, v - m AS g FROM ({samples}) s JOIN lin USING (f, i)),
+{name}_code AS (SELECT {keys}, k, sum(g * c) AS code FROM {name}_gap JOIN basis USING (f, i) GROUP BY {keys}, k),
+{name} AS (
+  SELECT {keys}, avg(abs(g - hat)) AS mae FROM {name}_gap
+  JOIN (SELECT {keys}, i, sum(code * c) AS hat FROM {name}_code JOIN basis USING (f, k) GROUP BY {keys}, i) USING ({keys}, i)
+  GROUP BY {keys}
+)"""
+
+
+VALIDATED = EVALUATED + "," + _errors_sql("val", f"SELECT fold AS f, * EXCLUDE (fold) FROM xf WHERE soc = 100 AND fold < {K - 1}")
+CHOSEN = f"""{VALIDATED},
+best AS (SELECT f FROM val GROUP BY f ORDER BY avg(mae), f LIMIT 1),
+thr AS (SELECT 'K_' || (f + 1) AS model, unnest([{", ".join(str(p) for p in metrics.PERCENTS)}]) AS pct,
+        unnest(quantile_cont(mae, [{PCT_LIST}])) AS threshold FROM val JOIN best USING (f) GROUP BY f)"""
+LEVEL_LIST = ", ".join(str(s) for s in metrics.HEALTH_LEVELS)
+SCORED = (
+    CHOSEN
+    + ","
+    + _errors_sql("test", f"SELECT f, xf.* EXCLUDE (fold) FROM xf CROSS JOIN best WHERE fold = {K - 1} AND soc IN ({LEVEL_LIST})")
+    + ", scores AS (SELECT 'K_' || (f + 1) AS model, * EXCLUDE (f) FROM test)"
+)
+
+
+@query(
+    "validation_scores",
+    VALIDATED + " SELECT 'K_' || (f + 1) AS model, f AS fold, thing, month_idx, ep_idx, round(mae, 6) AS mae FROM val",
+)
 def validation_scores(spark, folder):
     result = _evaluation(spark, folder)
     return result.validation.select("model", "fold", *EPISODE, r6("mae"))
 
 
-@query("health_scores")
+@query(
+    "health_scores",
+    SCORED
+    + """ SELECT model, soc, thing || '/' || CAST(month_idx AS VARCHAR) || '/' || CAST(ep_idx AS VARCHAR) AS sample_id,
+           round(mae, 6) AS mae FROM scores""",
+)
 def health_scores(spark, folder):
     result = _evaluation(spark, folder)
     return result.scores.select("model", "soc", "sample_id", r6("mae"))
 
 
-@query("health_thresholds")
+@query("health_thresholds", CHOSEN + " SELECT model, pct, round(threshold, 6) AS threshold FROM thr")
 def health_thresholds(spark, folder):
     result = _evaluation(spark, folder)
     return result.thresholds.select("model", "pct", r6("threshold"))
 
 
-@query("health_sweep")
+@query(
+    "health_sweep",
+    SCORED
+    + ","
+    + SWEEP
+    + """ SELECT model, pct, tp, fp, tn, fn, round(prc, 6) AS precision, round(rcl, 6) AS recall, round(f, 6) AS f FROM sweep""",
+)
 def health_sweep(spark, folder):
     result = _evaluation(spark, folder)
     sweep = metrics.rates(metrics.confusion(result.scores, result.thresholds))
     return sweep.select("model", "pct", "tp", "fp", "tn", "fn", r6("precision"), r6("recall"), r6("f"))
 
 
-@query("health_score_boxes")
+@query(
+    "health_score_boxes",
+    SCORED
+    + """ SELECT soc, round(quantile_cont(mae, 0.1), 6) AS p10, round(quantile_cont(mae, 0.25), 6) AS q1,
+           round(quantile_cont(mae, 0.5), 6) AS q2, round(quantile_cont(mae, 0.75), 6) AS q3,
+           round(quantile_cont(mae, 0.9), 6) AS p90 FROM scores GROUP BY soc""",
+)
 def health_score_boxes(spark, folder):
     boxes = metrics.box_stats(_evaluation(spark, folder).scores, ["soc"], "mae")
     return boxes.select("soc", *[r6(c) for c in ("p10", "q1", "q2", "q3", "p90")])
 
 
-@query("code_projection")
+def _one_model(samples: str, width: int = 40, size: int = reconstruct.CODE_SIZE) -> str:
+    """``lin`` and ``basis`` of one model (f = 0) fitted on ``samples`` (id, i, v)."""
+    return f"""
+fit AS MATERIALIZED ({samples}),
+lin AS (SELECT 0 AS f, i, sum(v) / count(*) AS m, count(*) AS n FROM fit GROUP BY i),
+cov AS (SELECT 0 AS f, t.i, t.j, t.s / l.n - l.m * r.m AS v
+        FROM (SELECT a.i, b.i AS j, sum(a.v * b.v) AS s FROM fit a JOIN fit b USING (id) GROUP BY a.i, b.i) t
+        JOIN lin l ON l.i = t.i JOIN lin r ON r.i = t.j),
+mat AS (SELECT f, list(v ORDER BY i, j) AS a FROM cov GROUP BY f),
+{o.eigenvectors("mat", width)},
+basis AS MATERIALIZED (SELECT f, k, i, v AS c FROM eig WHERE k < {size})"""
+
+
+SAMPLE_ID = "(soc, thing, month_idx, ep_idx) AS id"
+
+
+@query(
+    "code_projection",
+    recursive(*SYNTHETIC, FULL_BOUNDS, SAMPLES, _one_model(f"SELECT {SAMPLE_ID}, i, v FROM x WHERE soc = 100"))
+    + """,
+    side AS (SELECT k, CASE WHEN arg_max(c, abs(c)) < 0 THEN -1 ELSE 1 END AS sign FROM basis GROUP BY k),
+    code AS (SELECT soc, thing, month_idx, ep_idx, k, sum((v - m) * c * sign) AS code
+             FROM x JOIN lin USING (i) JOIN basis USING (i) JOIN side USING (k) WHERE k < 2 GROUP BY ALL)
+    SELECT soc, thing, month_idx, ep_idx, round(max(CASE WHEN k = 0 THEN code END), 6) AS axis_1,
+           round(max(CASE WHEN k = 1 THEN code END), 6) AS axis_2 FROM code GROUP BY ALL""",
+)
 def code_projection(spark, folder):
     samples, _ = evaluate.prepare(synthetic_steps(spark, folder))
     model = reconstruct.fit_one(samples.where(F.col("soc") == 100), reconstruct.CODE_SIZE)
@@ -270,7 +363,28 @@ def code_projection(spark, folder):
     return shown.select(*SAMPLE_KEYS, r6("axis_1"), r6("axis_2"))
 
 
-@query("code_size_search")
+@query(
+    "code_size_search",
+    recursive(
+        *SYNTHETIC,
+        FULL_BOUNDS,
+        SAMPLES,
+        fold_sql(HEALTHY),
+        "xf AS MATERIALIZED (SELECT x.thing, month_idx, ep_idx, i, v, fold FROM x JOIN fm ON fm.thing = x.thing WHERE soc = 100)",
+        _one_model("SELECT (thing, month_idx, ep_idx) AS id, i, v FROM xf WHERE fold > 1", size=max(reconstruct.SEARCH_SIZES)),
+    )
+    + f""",
+    held AS (SELECT (thing, month_idx, ep_idx) AS id, i, v - m AS g FROM xf JOIN lin USING (i) WHERE fold = 1),
+    code AS MATERIALIZED (SELECT id, k, sum(g * c) AS code FROM held JOIN basis USING (i) GROUP BY id, k),
+    hat AS (SELECT size, id, i, sum(code * c) AS hat
+            FROM (SELECT unnest([{", ".join(map(str, reconstruct.SEARCH_SIZES))}]) AS size) JOIN basis ON k < size JOIN code USING (k)
+            GROUP BY size, id, i),
+    err AS (SELECT size, id, avg(abs(g - hat)) AS mae,
+                   avg(CASE WHEN abs(g - hat) < 1 THEN 0.5e0 * (g - hat) * (g - hat) ELSE abs(g - hat) - 0.5e0 END) AS huber
+            FROM hat JOIN held USING (id, i) GROUP BY size, id)
+    SELECT size, round(avg(mae), 6) AS mean_mae, round(quantile_cont(mae, 0.9), 6) AS p90_mae,
+           round(avg(mae) + quantile_cont(mae, 0.9), 6) AS score, round(avg(huber), 6) AS mean_huber FROM err GROUP BY size""",
+)
 def code_size_search(spark, folder):
     found, fold = _folded(spark, folder)
     return evaluate.size_search(found, fold).select("size", r6("mean_mae"), r6("p90_mae"), r6("score"), r6("mean_huber"))

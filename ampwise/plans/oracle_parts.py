@@ -226,3 +226,48 @@ def draw(seed: int, *parts: str) -> str:
 
 def chain(*parts: str) -> str:
     return "WITH " + ",".join(part.strip("\n") if i else part for i, part in enumerate(parts))
+
+
+SWEEPS = 10  # of rotations; a matrix of forty columns is diagonal to the last digits after eight
+
+
+def eigenvectors(source: str, width: int, name: str = "eig") -> str:
+    """``<name>``: (f, k, i, value, v), eigenvectors by falling eigenvalue (k from 0) of symmetric matrices (f, a).
+
+    Jacobi's method: in every round each column is rotated with a partner so that their common entry vanishes; partners
+    change as in a tournament. Matrices are lists, row by row. Needs WITH RECURSIVE and an even width.
+    """
+    last = width - 1
+    partner = f"CASE WHEN i = {last} THEN r WHEN i = r THEN {last} ELSE (2 * r - i + {2 * last}) % {last} END"
+    return f"""
+{name}_turn(f, t, a, v) AS (
+  SELECT f, 0, a, list_transform(range({width * width}), lambda z: CASE WHEN z // {width} = z % {width} THEN 1e0 ELSE 0e0 END)
+  FROM {source}
+  UNION ALL
+  SELECT f, t + 1,
+         list_transform(range({width * width}), lambda z:
+           c[z // {width} + 1] * (c[z % {width} + 1] * a[z + 1] + d[z % {width} + 1] * a[z - z % {width} + p[z % {width} + 1] + 1])
+           + d[z // {width} + 1] * (c[z % {width} + 1] * a[p[z // {width} + 1] * {width} + z % {width} + 1]
+                                   + d[z % {width} + 1] * a[p[z // {width} + 1] * {width} + p[z % {width} + 1] + 1])),
+         list_transform(range({width * width}), lambda z:
+           c[z % {width} + 1] * v[z + 1] + d[z % {width} + 1] * v[z - z % {width} + p[z % {width} + 1] + 1])
+  FROM (
+    SELECT f, t, a, v, p, list_transform(g, lambda y: 1e0 / sqrt(1e0 + y * y)) AS c,
+           list_transform(range({width}), lambda i: CASE WHEN i < p[i + 1] THEN -1e0 ELSE 1e0 END * g[i + 1] / sqrt(1e0 + g[i + 1] * g[i + 1])) AS d
+    FROM (
+      SELECT f, t, a, v, p, list_transform(range({width}), lambda i: CASE
+               WHEN a[i * {width} + p[i + 1] + 1] = 0 THEN 0e0
+               ELSE (CASE WHEN h[i + 1] < 0 THEN -1e0 ELSE 1e0 END) / (abs(h[i + 1]) + sqrt(1e0 + h[i + 1] * h[i + 1])) END) AS g
+      FROM (
+        SELECT f, t, a, v, p, list_transform(range({width}), lambda i:
+                 (a[greatest(i, p[i + 1]) * {width + 1} + 1] - a[least(i, p[i + 1]) * {width + 1} + 1])
+                 / nullif(2e0 * a[i * {width} + p[i + 1] + 1], 0)) AS h
+        FROM (SELECT f, t, a, v, list_transform(range({width}), lambda i: {partner}) AS p
+              FROM (SELECT *, t % {last} AS r FROM {name}_turn WHERE t < {SWEEPS * last}))))
+  )
+),
+{name} AS (
+  SELECT f, row_number() OVER (PARTITION BY f, i ORDER BY value DESC, j) - 1 AS k, i, value, v FROM (
+    SELECT f, z // {width} AS i, z % {width} AS j, a[(z % {width}) * {width + 1} + 1] AS value, v[z + 1] AS v
+    FROM (SELECT f, a, v, unnest(range({width * width})) AS z FROM {name}_turn WHERE t = {SWEEPS * last}))
+)"""
