@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,6 +76,52 @@ class SpanHashes:
         return mixed((self.sums[after] - self.sums[first]) * self.back[first] + (after - first).astype(np.uint64))
 
 
+PRIME = np.uint64((1 << 61) - 1)
+WORD_BASE = 0x1A2B3C4D5E6F7081  # of the polynomial over PRIME; below it
+LONG_WORD = 1 << 16
+
+
+def _power_halves(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Low 31 and high 30 bits of the first powers of the base."""
+    powers, last = [1], 1
+    for _ in range(count - 1):
+        last = last * WORD_BASE % int(PRIME)
+        powers.append(last)
+    powers = np.array(powers, np.uint64)
+    return powers & np.uint64((1 << 31) - 1), powers >> np.uint64(31)
+
+
+POWER_LOW, POWER_HIGH = _power_halves(LONG_WORD)
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these spans, a polynomial of their bytes over a prime, mixed with their length.
+
+    Unlike a polynomial over 2^64, where structured words of a thousand bytes collide under any base, two words of n bytes
+    collide for at most n of the 2^61 bases. Words of ``LONG_WORD`` bytes or more are hashed one by one.
+    """
+    out = np.zeros(len(first), np.uint64)
+    length = after - first
+    short = np.flatnonzero(length < LONG_WORD)
+    if len(short):
+        size = length[short]
+        begin = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(begin, size)
+        letters = data[np.repeat(first[short], size) + inside].astype(np.uint64) + np.uint64(1)
+        low = np.add.reduceat(letters * POWER_LOW[inside], begin)  # below 2^39 each, 2^16 of them at most
+        high = np.add.reduceat(letters * POWER_HIGH[inside], begin)
+        high = (high & PRIME) + (high >> np.uint64(61))
+        turned = ((high << np.uint64(31)) & PRIME) + (high >> np.uint64(30))
+        value = (low & PRIME) + (low >> np.uint64(61)) + turned
+        value = (value & PRIME) + (value >> np.uint64(61))
+        value = np.where(value >= PRIME, value - PRIME, value)
+        out[short] = mixed(mixed(value + np.uint64(1)) + size.astype(np.uint64))
+    for k in np.flatnonzero(length >= LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[first[k] : after[k]].tobytes(), digest_size=8).digest()
+        out[k] = np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     """For each byte whether it is in one of the ranges, both ends included."""
     table = np.zeros(256, bool)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampwise.llm.common import SPACES, SpanHashes, lower_ascii, map_texts, mixed, slices, spans_of_words, text_bytes
+from ampwise.llm.common import SPACES, lower_ascii, map_texts, mixed, slices, spans_of_words, text_bytes, word_hashes
 from ampwise.session import stage
 
 WORDS = 5
@@ -38,7 +38,7 @@ def shingles(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarr
     data = lower_ascii(data)
     first, after = spans_of_words(data, starts, ~SPACES)
     row = np.searchsorted(starts, first, "right") - 1
-    value = SpanHashes(data).of(first, after)
+    value = word_hashes(data, first, after)
     count = np.bincount(row, minlength=len(starts) - 1)
     begin = np.cumsum(count) - count
     rows, hashes = [], []

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from ampwise.llm.common import SPACES, SpanHashes, byte_table, map_texts, mixed, slices, spans_of_words, text_bytes
+from ampwise.llm.common import SPACES, byte_table, map_texts, mixed, slices, spans_of_words, text_bytes, word_hashes
 
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -56,7 +56,7 @@ def repeated_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     words = np.bincount(row, minlength=len(starts) - 1)
     covered = np.zeros(len(first), bool)
     if len(first) > 2:
-        value = SpanHashes(data).of(first, after)
+        value = word_hashes(data, first, after)
         window = mixed(value[:-2] * np.uint64(3) + mixed(value[1:-1]) * np.uint64(5) + mixed(value[2:] + np.uint64(7)))
         own = np.flatnonzero(row[:-2] == row[2:])
         order = own[np.lexsort((window[own], row[own]))]
