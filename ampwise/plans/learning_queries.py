@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ampwise.functions.numeric import uniform
-from ampwise.operators import folds, metrics, reconstruct, scaling
+from ampwise.operators import folds, group_models, metrics, reconstruct, scaling
 from ampwise.operators.quantiles import percentiles
 from ampwise.operators.steps import blow_rows
 from ampwise.plans import evaluate
@@ -481,18 +481,60 @@ def fitted_variance(spark, folder):
     return split.join(F.broadcast(rest)).select(F.round("total_variance", 4).alias("total_variance"), r6("full_width_error"))
 
 
-@query("reconstruction_by_label")
-def reconstruction_by_label(spark, folder):
-    """Wide vectors, one left-out model per label."""
-    vectors = views.table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("sample_id"),
-        F.col("label").alias("fold"),
-        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
+LABEL_CODE = 16
+LABEL_MODELS = recursive(
+    """xf AS MATERIALIZED (SELECT vec_id AS id, label AS fold, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v
+       FROM embeddings)""",
+    "split AS (SELECT DISTINCT fold AS f FROM xf)",
+    "lin AS (SELECT f, i, sum(v) / count(*) AS m, count(*) AS n FROM xf JOIN split ON fold <> f GROUP BY f, i)",
+    "mom AS (SELECT a.fold, a.i, b.i AS j, sum(a.v * b.v) AS s FROM xf a JOIN xf b USING (id) GROUP BY a.fold, a.i, b.i)",
+    """cov AS (SELECT l.f, t.i, t.j, t.s / l.n - l.m * r.m AS v
+            FROM (SELECT f, i, j, sum(s) AS s FROM mom JOIN split ON fold <> f GROUP BY f, i, j) t
+            JOIN lin l ON l.f = t.f AND l.i = t.i JOIN lin r ON r.f = t.f AND r.i = t.j)""",
+    "mat AS (SELECT f, list(v ORDER BY i, j) AS a FROM cov GROUP BY f)",
+    o.eigenvectors("mat", WIDTH),
+    f"basis AS MATERIALIZED (SELECT f, k, i, v AS c, value FROM eig WHERE k < {LABEL_CODE})",
+)
+
+
+def _label_samples(spark, folder):
+    return views.table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), F.col("label").alias("fold"), F.transform("embedding", lambda v: v.cast("double")).alias("x")
     )
-    labels = [r.fold for r in vectors.select("fold").distinct().orderBy("fold").collect()]
-    models = reconstruct.fit_splits(vectors, labels, 16)
-    scored = reconstruct.validation_scores(vectors, models)
-    return scored.groupBy("model", "fold").agg(r6(F.avg("mae"), "mean_mae"), F.count(F.lit(1)).alias("samples"))
+
+
+@query(
+    "reconstruction_by_label",
+    LABEL_MODELS
+    + """,
+    gap AS MATERIALIZED (SELECT f, id, i, v - m AS g FROM (SELECT fold AS f, id, i, v FROM xf) JOIN lin USING (f, i)),
+    code AS (SELECT f, id, k, sum(g * c) AS code FROM gap JOIN basis USING (f, i) GROUP BY f, id, k),
+    hat AS (SELECT f, id, i, sum(code * c) AS hat FROM code JOIN basis USING (f, k) GROUP BY f, id, i),
+    err AS (SELECT f AS fold, id, avg(abs(g - hat)) AS mae FROM gap JOIN hat USING (f, id, i) GROUP BY f, id)
+    SELECT fold, round(avg(mae), 6) AS mean_mae, count(*) AS samples FROM err GROUP BY fold""",
+)
+def reconstruction_by_label(spark, folder):
+    """Wide vectors, one left-out model per label; models and samples meet in tasks."""
+    vectors = stage(_label_samples(spark, folder))
+    models = stage(group_models.fit_left_out(vectors, "fold", LABEL_CODE))
+    scored = group_models.score_by(vectors, models, "fold")
+    return scored.groupBy("fold").agg(r6(F.avg("mae"), "mean_mae"), F.count(F.lit(1)).alias("samples"))
+
+
+@query(
+    "left_out_models",
+    LABEL_MODELS
+    + """
+    SELECT f AS fold, any_value(n) AS n, CAST(k + 1 AS INTEGER) AS component, round(any_value(value), 6) AS variance,
+           round(any_value(trace), 6) AS trace, 0e0 AS residual
+    FROM basis JOIN lin USING (f, i) JOIN (SELECT f, sum(v) AS trace FROM cov WHERE i = j GROUP BY f) USING (f)
+    GROUP BY f, k""",
+)
+def left_out_models(spark, folder):
+    """Variances of the left-out models, and by how much their components fail to be eigenvectors."""
+    models = group_models.fit_left_out(stage(_label_samples(spark, folder)), "fold", LABEL_CODE)
+    shown = models.select("fold", "n", "trace", "residual", F.posexplode("variances").alias("k", "variance"))
+    return shown.select("fold", "n", (F.col("k") + 1).alias("component"), r6("variance"), r6("trace"), r6("residual"))
 
 
 @query(
