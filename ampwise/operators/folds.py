@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampwise.functions import twister
 from ampwise.operators.align import substitute_degraded
+from ampwise.operators.numbering import numbered
 from ampwise.operators.ordering import MAX_GROUP_ROWS, find_hot, running
 from ampwise.schema import EPISODE
 from ampwise.session import small, stage
@@ -59,6 +61,24 @@ def fold_map(
     return filled.select("thing", "n", "order", fold.alias("fold"))
 
 
+def listed(things: DataFrame) -> DataFrame:
+    """``thing`` with its ``item``, its place from 0 in the list of names."""
+    named = things.select("thing").distinct().withColumn("_all", F.lit(0))
+    return numbered(named, "_all", ["thing"], total="_n", index="item").select("thing", "item")
+
+
+def stream_order(sizes: DataFrame, seed: int = FOLD_SEED) -> DataFrame:
+    """``sizes`` with the ``place`` of each thing in the seeded permutation of the listed things, as a sequential run draws it."""
+    items = listed(sizes)
+    places = twister.permutation(sizes.sparkSession, items.count(), seed)
+    return sizes.join(small(items.join(places, "item").select("thing", "place")), "thing")
+
+
+def stream_fold_map(sizes: DataFrame, k: int, seed: int = FOLD_SEED) -> DataFrame:
+    """``fold_map`` in the order that a sequential run with this seed takes the listed things."""
+    return fold_map(stage(stream_order(sizes, seed)), k, F.col("place"))
+
+
 def assign_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Every row inherits the fold of its thing; the map is broadcast when it is small enough."""
     return rows.join(small(folds.select("thing", "fold")), "thing")
@@ -81,6 +101,22 @@ def degraded_folds(
     return assign_folds(substitute_degraded(rows, cuts, seed, draw, full), folds)
 
 
+def stream_degraded_folds(
+    rows: DataFrame, cuts: Sequence[tuple[float, int]], k: int, seed: int = DEGRADED_FOLD_SEED, full: int = 100
+) -> DataFrame:
+    """``degraded_folds`` with the order and the draws of a sequential run: one draw per episode, things in their permuted
+    order, after the permutation itself."""
+    spark = rows.sparkSession
+    healthy = stage(rows.where(F.col("soc") == full).select(*EPISODE).distinct())
+    ordered = stage(stream_order(thing_sizes(healthy), seed))
+    state = twister.after_permutation(spark, ordered.count(), seed)
+    episodes = healthy.join(small(ordered.select("thing", "place")), "thing").withColumn("_all", F.lit(0))
+    episodes = numbered(episodes, "_all", ["place", "month_idx", "ep_idx"], total="_n", index="draw")
+    drawn = episodes.join(twister.draws(spark, episodes.count(), state), "draw").select(*EPISODE, "u")
+    mixed = substitute_degraded(rows.join(drawn, EPISODE), cuts, seed, F.col("u"), full).drop("u")
+    return assign_folds(mixed, fold_map(ordered, k, F.col("place")))
+
+
 def fold_index(blow_rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Per fold, thing and first timestamp of each episode."""
     starts = blow_rows.groupBy(*EPISODE).agg(F.min_by("ts", "blow_pos").alias("start_ts"))

@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ampwise.functions import twister
 from ampwise.functions.numeric import bind, f_score, ratio, uniform, with_rank
 from ampwise.functions.signal import count_where
+from ampwise.operators.numbering import numbered
 from ampwise.operators.ordering import MAX_GROUP_ROWS, MEASURE, find_hot, measured, running
 from ampwise.operators.quantiles import named_percentiles, percentiles, threshold_table
 from ampwise.session import small, stage
@@ -182,6 +184,16 @@ def population_draw(seed: int = POPULATION_SEED, key: str = "sample_id") -> Colu
     return uniform(F.col(key), seed=seed)
 
 
+def _population_level(cuts: Sequence[tuple[float, int]]):
+    def level(u: Column) -> Column:
+        choice = F.lit(100)
+        for bound, soc in reversed(list(cuts)):
+            choice = F.when(u >= bound, F.lit(soc)).otherwise(choice)
+        return choice
+
+    return level
+
+
 def mixed_population(
     scores: DataFrame,
     cuts: Sequence[tuple[float, int]] = tuple(SWEEP_POPULATION),
@@ -189,14 +201,20 @@ def mixed_population(
 ) -> DataFrame:
     """One health level per sample, picked by a draw. All levels are rows of one table, so picking is a filter."""
     draw = population_draw() if draw is None else draw
+    return scores.where(F.col("soc") == bind(draw, _population_level(cuts)))
 
-    def level(u: Column) -> Column:
-        choice = F.lit(100)
-        for bound, soc in reversed(list(cuts)):
-            choice = F.when(u >= bound, F.lit(soc)).otherwise(choice)
-        return choice
 
-    return scores.where(F.col("soc") == bind(draw, level))
+def stream_population(
+    scores: DataFrame, cuts: Sequence[tuple[float, int]] = tuple(SWEEP_POPULATION), seed: int = POPULATION_SEED
+) -> DataFrame:
+    """``mixed_population`` with the draws of a sequential run: each model's samples, in the order of their ids, take the
+    draws of the seeded generator from its first on."""
+    spark = scores.sparkSession
+    samples = numbered(scores.select("model", "sample_id").distinct(), "model", ["sample_id"], total="_n", index="draw")
+    most = samples.agg(F.max("draw")).first()[0]
+    drawn = samples.join(twister.draws(spark, 0 if most is None else most + 1, seed), "draw")
+    picked = drawn.select("model", "sample_id", bind(F.col("u"), _population_level(cuts)).alias("soc"))
+    return scores.join(picked, ["model", "sample_id", "soc"]).select(*scores.columns)
 
 
 def flagged(population: DataFrame, threshold_rows: DataFrame) -> DataFrame:

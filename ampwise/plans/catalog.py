@@ -5,6 +5,7 @@ from ampwise.plans import (  # noqa: F401  (registers on import)
     metric_queries,
     segment_queries,
     store_queries,
+    stream_queries,
     synthetic_queries,
 )
 from ampwise.plans.registry import CHECKS, QUERIES

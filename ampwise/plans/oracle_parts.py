@@ -271,3 +271,65 @@ def eigenvectors(source: str, width: int, name: str = "eig") -> str:
     SELECT f, z // {width} AS i, z % {width} AS j, a[(z % {width}) * {width + 1} + 1] AS value, v[z + 1] AS v
     FROM (SELECT f, a, v, unnest(range({width * width})) AS z FROM {name}_turn WHERE t = {SWEEPS * last}))
 )"""
+
+
+def twister(seed: int, words: str, name: str = "mt") -> str:
+    """``<name>``: (pos, w), the words of the seeded generator from its first on, ``words`` (a scalar query) or more.
+
+    The generator as published: its state is filled from the seed, then renewed as a whole; renewal depends on words renewed
+    before, so it goes in three stretches. Needs WITH RECURSIVE.
+    """
+
+    def step(x: str, y: str) -> str:
+        mixed = f"(({x} & 2147483648) | ({y} & 2147483647))"
+        return f"xor({mixed} >> 1, CASE WHEN {mixed} & 1 = 1 THEN 2567483615 ELSE 0 END)"
+
+    old = step("x[k + 1]", "x[k + 2]")
+    return f"""
+{name}_seed(i, s) AS (
+  SELECT 0, {seed}::BIGINT UNION ALL
+  SELECT i + 1, (1812433253 * xor(s, s >> 30) + i + 1) & 4294967295 FROM {name}_seed WHERE i < 623
+),
+{name}_block(b, x) AS (
+  SELECT 0, list(s ORDER BY i) FROM {name}_seed
+  UNION ALL
+  SELECT b + 1, list_concat(one, two, three, [xor(two[170], {step("x[624]", "one[1]")})]) FROM (
+    SELECT *, list_transform(range(454, 623), lambda k: xor(two[k - 453], {old})) AS three FROM (
+      SELECT *, list_transform(range(227, 454), lambda k: xor(one[k - 226], {old})) AS two FROM (
+        SELECT *, list_transform(range(227), lambda k: xor(x[k + 398], {old})) AS one
+        FROM {name}_block WHERE b * 624 < ({words}))))
+),
+{name} AS MATERIALIZED (
+  SELECT pos, xor(w, w >> 18) AS w FROM (
+    SELECT pos, xor(w, (w << 15) & 4022730752) AS w FROM (
+      SELECT pos, xor(w, (w << 7) & 2636928640) AS w FROM (
+        SELECT (b - 1) * 624 + generate_subscripts(x, 1) - 1 AS pos, unnest(list_transform(x, lambda w: xor(w, w >> 11))) AS w
+        FROM {name}_block WHERE b > 0)))
+)"""
+
+
+def stream_draws(name: str = "mt", first: str = "0") -> str:
+    """``dr``: (draw, u), the uniform draws from word ``first`` on, two words each."""
+    return f"""
+dr AS (
+  SELECT (pos - ({first})) // 2 AS draw,
+         (max(CASE WHEN (pos - ({first})) % 2 = 0 THEN w >> 5 END) * 67108864e0 + max(CASE WHEN (pos - ({first})) % 2 = 1 THEN w >> 6 END))
+         / 9007199254740992e0 AS u
+  FROM {name} WHERE pos >= ({first}) GROUP BY (pos - ({first})) // 2 HAVING count(*) = 2
+)"""
+
+
+def stream_permutation(count: str, name: str = "mt") -> str:
+    """``perm``: (place, item) of 0 .. count - 1, and ``used``: the words it took. Each step takes words, cut to the bits
+    needed, until one is in range."""
+    return f"""
+shuf(i, pos, a) AS (
+  SELECT n - 1, 0::BIGINT, range(n) FROM (SELECT ({count}) AS n)
+  UNION ALL
+  SELECT CASE WHEN j <= i THEN i - 1 ELSE i END, pos + 1,
+         CASE WHEN j < i THEN list_transform(range(len(a)), lambda z: CASE WHEN z = i THEN a[j + 1] WHEN z = j THEN a[i + 1] ELSE a[z + 1] END)
+              ELSE a END
+  FROM (SELECT s.i, s.pos, s.a, mt.w & ((1 << (floor(log2(s.i))::INT + 1)) - 1) AS j FROM shuf s JOIN {name} mt ON mt.pos = s.pos WHERE s.i > 0)
+),
+used AS (SELECT max(pos) AS words FROM shuf),
+perm AS (SELECT generate_subscripts(a, 1) - 1 AS place, unnest(a) AS item FROM shuf WHERE i <= 0)"""
