@@ -12,7 +12,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from ampwise.session import fresh_path, stage
 
-VERSION = "WARC/1.1"
+VERSION, RECORD = "WARC/1.1", "WARC/"  # as written, and what any record begins with
+GZIP = b"\x1f\x8b"
+PIECE = 1 << 16  # packed bytes at a time
+BATCH_BYTES = 8 << 20  # of the rows that travel at once
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -118,59 +121,140 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
     rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, in lower case, and block of each record."""
+def unpacked(raw: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in pieces: of all gzip members, of which an archive usually has one per record, or as they are.
+
+    Zeros may follow the last member; an archive that ends inside a member is an error.
+    """
+    if raw[:2] != GZIP:
+        yield raw
+        return
     at = 0
     while at < len(raw):
-        end = raw.index(END.encode(), at)
-        lines = raw[at:end].decode().split(LINE)
-        if lines[0] != VERSION:
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+        if raw[at : at + 2] != GZIP:
+            if raw.count(0, at) < len(raw) - at:
+                raise ValueError(f"no gzip member at byte {at}")
+            return
+        packer = zlib.decompressobj(wbits=31)
+        while not packer.eof:
+            chunk = raw[at : at + PIECE]
+            if not chunk:
+                raise ValueError("the archive ends inside a member")
+            piece = packer.decompress(chunk)
+            at += len(chunk) - len(packer.unused_data)
+            if piece:
+                yield piece
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Names in lower case; a line that begins with white space goes on with the header before."""
+    found, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, names in lower case, and block of each record; no more than a record and a piece is held."""
+    pieces, held, passed = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        gap = 0  # blank lines close a record
+        while True:
+            while gap < len(held) and held[gap] in b"\r\n":
+                gap += 1
+            if gap < len(held) or not more():
+                break
+        del held[:gap]
+        passed += gap
+        if not held:
+            return
+        searched = 0
+        while (end := held.find(END.encode(), searched)) < 0:
+            searched = max(0, len(held) - len(END))
+            if not more():
+                raise ValueError(f"the archive ends in the header of the record at byte {passed}")
+        lines = held[:end].decode(errors="replace").split(LINE)
+        if not lines[0].startswith(RECORD):
+            raise ValueError(f"no WARC record at byte {passed}")
+        headers = _headers(lines[1:])
         first = end + len(END)
-        at = first + int(headers["content-length"])
-        yield headers, raw[first:at]
-        if raw[at : at + len(END)] != END.encode():
-            raise ValueError(f"record is not closed at byte {at}")
-        at += len(END)
+        after = first + int(headers["content-length"])
+        while len(held) < after:
+            if not more():
+                raise ValueError(f"the archive ends in the record at byte {passed}")
+        yield headers, bytes(held[first:after])
+        del held[:after]
+        passed += after
 
 
 def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
-    kind = headers["warc-type"]
+    kind = headers.get("warc-type")
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
     size = right = page = payload = None
     if kind in ("response", "revisit"):
-        head, _, payload = block.partition(END.encode())
-        size = int(re.search(rb"(?i)\r\ncontent-length: (\d+)", head)[1])
+        payload = block
+        if headers.get("content-type", "application/http").startswith("application/http"):
+            head, _, payload = block.partition(END.encode())
+            told = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head)
+            size = int(told[1]) if told else None
         if kind == "response":
-            right = len(payload) == size and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
+            whole = size is None or len(payload) == size
+            size = len(payload) if size is None else size
+            if digest and ":" not in digest:  # others can't be checked
+                right = whole and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
     elif kind == "metadata":
-        found = re.search(rb"^page_id: (-?\d+)\r\n", block)
+        found = re.search(rb"(?m)^page_id:[ \t]*(-?\d+)\r$", block)
         page = int(found[1]) if found else None
-    names = ("warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri")
+    names = ("warc-record-id", "warc-concurrent-to", "warc-refers-to")
+    uri = headers.get("warc-target-uri")
+    if uri and uri[0] == "<" and uri[-1] == ">":  # as some archives have it
+        uri = uri[1:-1]
     own = payload if with_payload and kind == "response" else None
-    return (kind, *(headers.get(n) for n in names), digest, size, right, page, own)
+    return (kind, *(headers.get(n) for n in names), uri, digest, size, right, page, own)
 
 
 def _record_batches(with_payload: bool):
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.string()] * 6 + [pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                unpacked = zlib.decompress(content.as_py(), wbits=31)
-                rows = [_row(h, b, with_payload) for h, b in parse_records(unpacked)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names
-                )
+                rows, size = [], 0
+                for headers, block in parse_records(unpacked(content.as_py())):
+                    rows.append(_row(headers, block, with_payload))
+                    size += len(rows[-1][-1] or b"") + 512
+                    if size > BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield packed(rows)
 
     return run
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives below ``path``; ``digest_ok`` tells whether a response's payload has its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """The records of all archives below ``path``, of any WARC version, packed by record or as a whole.
+
+    ``digest_ok`` tells whether a response's payload has its length and SHA-1 digest; null where there is none or one of another
+    kind. Records of other types come with their names alone.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInArrow(_record_batches(with_payload), RECORDS)
 
 
