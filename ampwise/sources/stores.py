@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import logging
-import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ampwise.session import small
+from ampwise.session import small, stage
+from ampwise.sources import snapshots
 from ampwise.sources.telemetry_csv import is_folder
 
 log = logging.getLogger(__name__)
@@ -20,80 +20,63 @@ MIXED_AGE_MAX_THINGS = 31
 MIXED_AGE_RANKS = [(15, 100), (23, 95), (27, 90), (29, 85), (30, 80), (31, 75)]
 
 
-def _overwrite_partitions(df: DataFrame, path: str, *keys: str) -> None:
-    """Replace only the partitions present in ``df``."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*keys).parquet(path)
-
-
 def save_episodes(rows: DataFrame, months: DataFrame, path: str, with_episodes: DataFrame | None = None) -> None:
-    """Store episode rows by thing. The month table also records things without any episode.
+    """Store episode rows by thing. The months also record things without any episode.
 
-    A thing's rows are spread by month and episode range, so a large thing becomes several files, not one task. The
-    month table is written last and marks the things as done. ``with_episodes`` names the things that have rows, where
-    that is cheaper to know than from the rows.
+    A thing's rows are spread by month and episode range, so a large thing becomes several files, not one task. Rows and
+    months appear together or not at all, in place of what was stored for the same things. ``with_episodes`` names the
+    things that have rows, where that is cheaper to know than from the rows.
     """
     filled = (rows if with_episodes is None else with_episodes).select("thing").distinct()
-    marked = months.join(filled.withColumn("has_episodes", F.lit(True)), "thing", "left").fillna(
-        False, ["has_episodes"]
-    )
+    stored = months.select("thing").distinct().join(filled.withColumn("has_episodes", F.lit(True)), "thing", "left")
     spread = F.floor(F.col("ep_idx") / EPISODES_PER_FILE)
     sorted_rows = rows.repartition("thing", "month_idx", spread).sortWithinPartitions(
         "thing", "month_idx", "ep_idx", "pos"
     )
-    _overwrite_partitions(sorted_rows, os.path.join(path, "rows"), "thing")
-    _overwrite_partitions(marked.repartition("thing"), os.path.join(path, "months"), "thing")
+    tables = {"rows": (sorted_rows, ["thing"]), "months": (months, [])}
+    snapshots.commit(path, ["thing"], stored.fillna(False, ["has_episodes"]), tables)
 
 
 def stored_things(spark: SparkSession, path: str) -> DataFrame | None:
     """Things already built; None for a store that does not exist."""
-    table = os.path.join(path, "months")
-    if not is_folder(spark, table):
-        return None
-    return read_keyed(spark, table).select("thing").distinct()
-
-
-def read_keyed(spark: SparkSession, path: str) -> DataFrame:
-    """Read a store with its ``thing`` partition key as text: a thing named 007 must not become a number."""
-    inferred = spark.read.parquet(path).schema
-    fields = [T.StructField(f.name, T.StringType()) if f.name == "thing" else f for f in inferred]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    found = snapshots.entries(spark, path)
+    return None if found is None else found.select("thing")
 
 
 def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> DataFrame | None:
     """All episodes, or those of one thing by partition pruning. A missing store or thing gives None and a warning."""
-    table = os.path.join(path, "rows")
-    if not is_folder(spark, table):
+    rows = snapshots.read(spark, path, "rows", ["thing"])
+    if rows is None:
         log.warning("no episodes at %s, build the data set first", path)
         return None
-    months = load_months(spark, path)
-    rows = read_keyed(spark, table)
     if thing is not None:
-        months, rows = months.where(F.col("thing") == thing), rows.where(F.col("thing") == thing)
-    # Rows left over from an earlier build of a thing that has no episodes any more do not count. While the list of things
-    # is small the rows are filtered where they are read.
-    rows = rows.join(small(months.where("has_episodes").select("thing").distinct()), "thing", "left_semi")
-    if thing is not None and rows.select(F.lit(1)).limit(1).isEmpty():
-        log.warning("no episodes of %s at %s", thing, path)
-        return None
+        rows = rows.where(F.col("thing") == thing)
+        if rows.select(F.lit(1)).limit(1).isEmpty():
+            log.warning("no episodes of %s at %s", thing, path)
+            return None
     return rows
 
 
 def load_months(spark: SparkSession, path: str) -> DataFrame:
-    return read_keyed(spark, os.path.join(path, "months"))
+    """Months of all stored things, and whether the thing has episodes."""
+    months = snapshots.read(spark, path, "months", ["thing"])
+    return months.join(small(snapshots.entries(spark, path)), "thing")
 
 
 def save_blows(blows: DataFrame, path: str) -> None:
-    """Store synthetic blows by health level and thing."""
+    """Store synthetic blows by health level and thing, in place of what was stored for the same levels and things."""
+    blows = stage(blows)
     spread = F.floor(F.col("ep_idx") / EPISODES_PER_FILE)
     sorted_rows = blows.repartition("soc", "thing", "month_idx", spread).sortWithinPartitions(
         "soc", "thing", "month_idx", "ep_idx", "blow_pos"
     )
-    _overwrite_partitions(sorted_rows, path, "soc", "thing")
+    snapshots.commit(path, ["soc", "thing"], blows.select("soc", "thing"), {"blows": (sorted_rows, ["soc", "thing"])})
 
 
 def load_blows(spark: SparkSession, path: str, soc: int | None = None) -> DataFrame:
-    rows = read_keyed(spark, path)
+    rows = snapshots.read(spark, path, "blows", ["thing"])
+    if rows is None:
+        raise ValueError(f"no synthetic blows at {path}, import them first")
     return rows if soc is None else rows.where(F.col("soc") == soc)
 
 
@@ -116,14 +99,18 @@ def mixed_age(blows: DataFrame, beyond: int | None = None) -> DataFrame:
 
 
 def save_evaluation(path: str, scores: DataFrame, thresholds: DataFrame, models: DataFrame | None = None) -> None:
-    """Scores of the best model at every health level, its thresholds, and the models as rows."""
-    for name, table in (("scores", scores), ("thresholds", thresholds), ("models", models)):
-        if table is not None:
-            _overwrite_partitions(table, os.path.join(path, name), "model")
+    """Scores of the best model at every health level, its thresholds, and the models as rows, in one step.
+
+    What was stored for a model is replaced by what is given for it, in all three tables.
+    """
+    given = {"scores": scores, "thresholds": thresholds} | ({} if models is None else {"models": models})
+    given = {name: stage(table) for name, table in given.items()}
+    stored = reduce(DataFrame.union, [table.select("model") for table in given.values()])
+    snapshots.commit(path, ["model"], stored, {name: (table, ["model"]) for name, table in given.items()})
 
 
 def load_evaluation(spark: SparkSession, path: str, model: str | None = None) -> tuple[DataFrame, DataFrame]:
-    tables = [spark.read.parquet(os.path.join(path, name)) for name in ("scores", "thresholds")]
+    tables = [snapshots.read(spark, path, name, ["model"]) for name in ("scores", "thresholds")]
     if model is not None:
         tables = [t.where(F.col("model") == model) for t in tables]
     return tables[0], tables[1]
@@ -131,7 +118,7 @@ def load_evaluation(spark: SparkSession, path: str, model: str | None = None) ->
 
 def load_models(spark: SparkSession, path: str) -> DataFrame:
     """Models stored with an evaluation; ``reconstruct.models_from_table`` makes them usable again."""
-    return spark.read.parquet(os.path.join(path, "models"))
+    return snapshots.read(spark, path, "models", ["model"])
 
 
 def cached_table(spark: SparkSession, path: str, build, force: bool = True) -> DataFrame:
