@@ -11,7 +11,7 @@ from ampwise.operators import episodes, segment, steps
 from ampwise.operators.ordering import MAX_GROUP_ROWS
 from ampwise.schema import EPISODE, FIVES, Params
 from ampwise.session import fresh_path, small, stage
-from ampwise.sources import exchange_csv, series, stores, telemetry_csv
+from ampwise.sources import exchange_csv, series, snapshots, stores, telemetry_csv
 
 log = logging.getLogger(__name__)
 
@@ -27,22 +27,28 @@ def build_episodes(
 ) -> DataFrame | None:
     """Store the episodes of every file without a stored result (of every file when forced).
 
-    Returns the status totals per thing, or None when there was nothing to do. Files are parsed once: the lines are
-    staged as Parquet, each branch reads only its columns, and the search for faulty lines skips row groups without any.
+    Returns the status totals per thing, or None when there was nothing to do. Files are parsed once in their life: the
+    lines are staged as Parquet, each branch reads only its columns, the search for faulty lines skips row groups without
+    any, and what became of a file is stored, so that rejected and empty files are not opened again until they change.
     """
     if not telemetry_csv.is_folder(spark, folder):
         return None
-    path = telemetry_csv.episode_store_path(root, p.suffix)
+    path, seen_at = telemetry_csv.episode_store_path(root, p.suffix), telemetry_csv.file_store_path(root, p.suffix)
     done = None if force else stores.stored_things(spark, path)
-    paths = telemetry_csv.pending_paths(spark, folder, done)
+    seen = None if force else snapshots.entries(spark, seen_at)
+    paths = telemetry_csv.pending_paths(spark, folder, done, seen)
     if not paths:
         return None
-    telemetry = telemetry_csv.clean(stage(telemetry_csv.read_raw(spark, paths)))
+    listed = telemetry_csv.files(spark, folder).where(F.col("path").isin(paths))
+    raw = stage(telemetry_csv.read_raw(spark, paths))
+    rejected = stage(telemetry_csv.rejected_things(raw))
+    telemetry = telemetry_csv.clean(raw, rejected)
     hot = segment.find_hot_months(telemetry, max_rows)
     found = stage(segment.candidates(telemetry, p, mode, hot))
     months = segment.months(telemetry)
     heads = segment.headers(found, months, in_pieces=hot is not None)
     stores.save_episodes(episodes.episode_rows(telemetry, heads, p, hot), months, path, with_episodes=heads)
+    snapshots.commit(seen_at, ["thing"], telemetry_csv.verdicts(raw, listed, rejected), {})
     return segment.status_totals(found)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ampwise.functions.labels import capacity_label, folder_soc, folder_thing
 from ampwise.plans import build
 from ampwise.schema import MEASURES, Params
-from ampwise.sources import exchange_csv, stores, telemetry_csv
+from ampwise.sources import exchange_csv, snapshots, stores, telemetry_csv
 
 TWOS = Params(2, 2, 2, 2)
 T0 = dt.datetime(2024, 3, 1)
@@ -87,6 +87,32 @@ def test_incremental_build_opens_only_new_files(spark, folder, tmp_path):
     assert stores.load_episodes(spark, path, "101") is None
 
 
+def test_files_are_opened_once_until_they_change(spark, folder, tmp_path, monkeypatch):
+    root, opened = str(tmp_path), []
+    real = telemetry_csv.read_raw
+
+    def watched(session, paths):
+        opened.append(sorted(os.path.basename(p) for p in paths))
+        return real(session, paths)
+
+    monkeypatch.setattr(telemetry_csv, "read_raw", watched)
+    build.build_episodes(spark, folder, root, TWOS)
+    everything = ["007.gz", "101.gz", "empty.gz", "gaps.gz", "wide.gz", "word.gz"]
+    assert opened == [everything]
+    found = snapshots.entries(spark, telemetry_csv.file_store_path(root, TWOS.suffix))
+    verdicts = {r.thing: (r.lines, r.reason) for r in found.collect()}
+    size = len(SIGNAL)
+    assert verdicts == {"007": (size, None), "101": (size + 1, None), "empty": (0, "empty"), "gaps": (4, None), "wide": (2, "fields"), "word": (2, "cell")}
+    assert build.build_episodes(spark, folder, root, TWOS) is None and len(opened) == 1
+    write(folder, "word.gz", [line("Eword", i, LEVELS[c]) for i, c in enumerate(SIGNAL)])
+    write(folder, "new.gz", [line("Enew", 0, 1.0)])
+    totals = build.build_episodes(spark, folder, root, TWOS).collect()
+    assert opened[1:] == [["new.gz", "word.gz"]] and {r.thing: r.valid for r in totals} == {"word": 2}
+    assert build.build_episodes(spark, folder, root, TWOS) is None and len(opened) == 2
+    build.build_episodes(spark, folder, root, TWOS, force=True)
+    assert opened[2] == sorted([*everything, "new.gz"])
+
+
 def test_loads_warn_instead_of_failing(spark, folder, tmp_path, caplog):
     assert build.build_episodes(spark, str(tmp_path / "nowhere"), str(tmp_path)) is None
     path = telemetry_csv.episode_store_path(str(tmp_path), TWOS.suffix)
