@@ -1,8 +1,8 @@
 """Main text of pages by wrapper induction.
 
 Pages of a host that share a layout, the shape of a page near its top, are aligned with reference pages of that layout by
-simple tree matching. A node whose text equals that of the reference node it is matched with, on most of the layout's
-distinct pages, is template; the varying slots are content. Pages of layouts too rare for that are held against
+simple tree matching. A node whose text equals that of the reference node it is matched with, on most of the
+layout's articles, is template; the varying slots are content. Pages of layouts too rare for that are held against
 references of the whole host.
 Markup tells the rest: navigation, forms, notices and the like are left out by element, role or class, and where a page
 has an article or main element, the text is what stands inside.
@@ -31,7 +31,7 @@ from ampwise.session import stage
 REFERENCES = 2
 MIN_PAGES = 4  # distinct pages of a layout or host, below which nothing counts as template
 CONSTANT_SHARE = 0.6
-LONGEST_CONSTANT = 200  # inside an article longer text is content even if it recurs
+MARK_BLOCKS = 3  # the longest blocks of a page tell copies of an article from other articles
 BROADCAST_BYTES = 32 << 20
 KEPT_PARSES = 64
 
@@ -324,6 +324,8 @@ def matched(one: Node, two: Node, pairs: list[tuple[Node, Node]]) -> int:
     while todo:
         a, b = todo.pop()
         pairs.append((a, b))
+        if a.noise and b.noise:
+            continue  # left out as a whole
         left, right, ends = _middle(a, b)
         todo += ends
         if left and right:
@@ -338,8 +340,8 @@ def equal_places(nodes: list[Node], reference: list[Node]) -> list[tuple[int, in
     return [(a.place, b.place) for a, b in pairs if a.text and a.text == b.text]
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """The text of blocks outside noise and template, inside article or main elements where the page has them."""
+def main_blocks(root: Node, template: set[int]) -> list[str]:
+    """The texts of blocks outside noise and template, inside article or main elements where the page has them."""
 
     blocks, current = [], []
 
@@ -366,26 +368,45 @@ def main_text(root: Node, template: set[int]) -> str:
         elif not node.noise:
             inside = inside or node.main
             if node.tag in BLOCKS:
-                dropped = node.place in template and node.tag != "h1" and not (inside and len(node.text) > LONGEST_CONSTANT)
+                dropped = node.place in template and node.tag != "h1"
                 flush()
                 walk.append((None, inside, dropped))
             walk.extend((kid, inside, dropped) for kid in reversed(node.kids))
     flush()
-    return " ".join(blocks)
+    return blocks
+
+
+def main_text(root: Node, template: set[int]) -> str:
+    return " ".join(main_blocks(root, template))
+
+
+def content_mark(root: Node) -> int:
+    """A hash of the longest blocks of the main text.
+
+    Copies of an article, with other scripts, addresses or counts of comments, have the same mark, so that together they have
+    one voice in what is constant on their host: an article is no template because it is copied.
+    """
+    longest = sorted(main_blocks(root, set()), key=lambda block: (-len(block), block))[:MARK_BLOCKS]
+    return xxhash.xxh64_intdigest("\n".join(longest).encode()) - (1 << 63)
+
+
 
 
 class Parses:
-    """Numbered trees of the references met last."""
+    """Numbered trees and content marks of the references met last."""
 
     def __init__(self):
-        self.held: dict[str, list[Node]] = {}
+        self.held: dict[str, tuple[list[Node], int]] = {}
 
-    def of(self, page: str) -> list[Node]:
-        nodes = self.held.pop(page, None) or number(parse(page))
-        self.held[page] = nodes
+    def of(self, page: str) -> tuple[list[Node], int]:
+        found = self.held.pop(page, None)
+        if found is None:
+            nodes = number(parse(page))
+            found = nodes, content_mark(nodes[0])
+        self.held[page] = found
         if len(self.held) > KEPT_PARSES:
             del self.held[next(iter(self.held))]
-        return nodes
+        return found
 
 
 def layout(root: Node) -> int:
@@ -413,39 +434,39 @@ def layout(root: Node) -> int:
     return xxhash.xxh64_intdigest("|".join(names).encode()) >> 1 | 1
 
 
-PAGES = "page_id long, url string, html string, host string, layout long"
+PAGES = "page_id long, url string, html string, host string, layout long, mark long"
 
 
 def _layout_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        layouts = [layout(parse(page)) for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], [c.split()[0] for c in PAGES.split(", ")])
+        roots = [parse(page) for page in batch.column("html").to_pylist()]
+        found = [pa.array([f(root) for root in roots], pa.int64()) for f in (layout, content_mark)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *found], [c.split()[0] for c in PAGES.split(", ")])
 
 
-EQUAL = "host string, layout long, which int, place int, page long"
+EQUAL = "host string, layout long, which int, mark long, places array<int>"
 
 
 def _equal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every page the places in each reference where it says the same; layout 0 stands for the whole host."""
     parses = Parses()
     for batch in batches:
         out = []
-        columns = ("host", "layout", "html", "references", "own_references")
-        for host, own, page, *kinds in zip(*(batch.column(c).to_pylist() for c in columns)):
-            nodes = number(parse(page))
-            mark = xxhash.xxh64_intdigest(page.encode()) - (1 << 63)
-            places: dict[str, list[int]] = {}
+        columns = ("host", "layout", "mark", "html", "references", "own_references")
+        for host, own, mark, page, *kinds in zip(*(batch.column(c).to_pylist() for c in columns)):
+            nodes, places = None, {}
             for key, references in zip((0, own), kinds):
-                if references is None:
-                    continue
-                out.append((host, key, -1, -1, mark))
-                for which, reference in enumerate(references):
-                    if reference != page:
-                        if reference not in places:
-                            places[reference] = [place for _, place in equal_places(nodes, parses.of(reference))]
-                        out.extend((host, key, which, place, mark) for place in places[reference])
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                for which, reference in enumerate(references or []):
+                    other, other_mark = parses.of(reference)
+                    if other_mark == mark:
+                        continue
+                    if reference not in places:
+                        nodes = nodes or number(parse(page))
+                        places[reference] = sorted({place for _, place in equal_places(nodes, other)})
+                    out.append((host, key, which, mark, places[reference]))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "layout", "which", "place", "page"]
+            [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "layout", "which", "mark", "places"]
         )
 
 
@@ -462,7 +483,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for which, reference in enumerate(references or []):
                 known = {c["place"] for c in constants or [] if c["which"] == which}
                 if known:
-                    template.update(place for place, other in equal_places(nodes, parses.of(reference)) if other in known)
+                    template.update(place for place, other in equal_places(nodes, parses.of(reference)[0]) if other in known)
             texts.append(main_text(root, template))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -480,30 +501,34 @@ def extract(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``: the main text, and its code points.
 
     A null or empty html, and a page of noise only, has an empty text. A null url has the empty host; so have urls
-    without one, and they share templates. Repeated rows are extracted alike; equal pages count once as evidence for a
-    template, and a layout or host needs ``MIN_PAGES`` distinct pages to have one. Only page_id, url and html are read; an empty
+    without one, and they share templates. Repeated rows are extracted alike; pages with the same article, in its longest
+    blocks, count once as evidence for a template, and a layout or host needs ``MIN_PAGES`` articles to have one. Only page_id, url and html are read; an empty
     table gives no rows.
     """
     source = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host")
     )
     source = stage(map_texts(source, _layout_batches, PAGES))
-    rank = F.struct(F.xxhash64("html").alias("rank"), "html")
-    ranked = source.groupBy("host", "layout").agg(
-        F.min(rank).alias("first"), F.max(rank).alias("last"), F.approx_count_distinct(F.xxhash64("html"), 0.02).alias("n")
-    )
+    rank = F.struct(F.xxhash64("mark").alias("rank"), "html")
+    ranked = source.groupBy("host", "layout").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
     ranked = stage(ranked)
+    articles = stage(source.select("host", "layout", "mark").distinct())
+    own_totals = articles.groupBy("host", "layout").agg(F.count("*").alias("total"))
+    totals = articles.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    totals = stage(own_totals.unionByName(totals.withColumn("layout", F.lit(0).cast("long"))).where(F.col("total") >= MIN_PAGES))
     chosen = F.slice(F.array_distinct(F.array("first.html", "last.html")), 1, references)
     of_hosts = ranked.groupBy("host").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("host", chosen.alias("references"))
-    of_layouts = ranked.where(F.col("n") >= MIN_PAGES).select("host", "layout", chosen.alias("own_references"))
+    of_layouts = ranked.join(totals.where("layout != 0"), ["host", "layout"]).select("host", "layout", chosen.alias("own_references"))
+    of_hosts = of_hosts.join(totals.where("layout = 0").select("host"), "host")
     of_hosts, of_layouts = stage(of_hosts), stage(of_layouts)
-    joined = source.select("host", "layout", "html").join(_bounded(of_hosts, "references"), "host")
+    joined = source.select("host", "layout", "mark", "html").join(_bounded(of_hosts, "references"), "host")
     joined = joined.join(_bounded(of_layouts, "own_references"), ["host", "layout"], "left")
     equal = map_texts(joined, _equal_batches, EQUAL)
-    counts = stage(equal.groupBy("host", "layout", "which", "place").agg(F.approx_count_distinct("page", 0.02).alias("n")))
-    totals = counts.where("which < 0").select("host", "layout", F.col("n").alias("total"))
-    constant = counts.where("which >= 0").join(totals, ["host", "layout"])
-    constant = constant.where((F.col("total") >= MIN_PAGES) & (F.col("n") + 1 >= CONSTANT_SHARE * F.col("total")))
+    # copies of an article have one voice: the one of theirs that comes first
+    voices = equal.groupBy("host", "layout", "which", "mark").agg(F.min("places").alias("places"))
+    counts = voices.select("host", "layout", "which", F.explode("places").alias("place")).groupBy("host", "layout", "which", "place")
+    counts = stage(counts.agg(F.count("*").alias("n")))
+    constant = counts.join(totals, ["host", "layout"]).where(F.col("n") + 1 >= CONSTANT_SHARE * F.col("total"))
     constant = constant.groupBy("host", "layout").agg(F.collect_list(F.struct("which", "place")).alias("constants"))
     own = of_layouts.join(constant.withColumnRenamed("constants", "own_constants"), ["host", "layout"])
     whole = of_hosts.join(constant.where("layout = 0").drop("layout"), "host")
