@@ -21,7 +21,8 @@ from ampwise.session import small, stage
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 SHARDS = 8
-BLOCK_WORDS = 1 << 16
+BLOCK_WORDS = 1 << 16  # at most
+SHARD_BLOCKS = 64  # of a source in a shard, on average, as far as it has words
 BUCKET_ROWS = 1024
 
 
@@ -70,7 +71,7 @@ def draw_mix(
 
     ``docs`` needs doc_id and source; ``size`` counts a row's words. ``copies`` has one (copy, words, shard) for each
     time the row is taken; only the row that meets its source's target may be taken in part, so a source gives its
-    target rounded to whole words. The order is a hash of doc_id and size, so reruns agree; rows that are equal in both
+    target rounded to whole words, laid in blocks over the shards. The order is a hash of doc_id and size, so reruns agree; rows that are equal in both
     may trade places. A null source is a source of its own, the last; rows without words are taken zero times. Columns
     of ``docs`` stay inside ``row``, so no name can clash. The table of sources is assumed to fit one task.
     """
@@ -82,7 +83,10 @@ def draw_mix(
     totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     targets = source_targets(totals)
     targets = targets.withColumn("quota", F.round("target").cast("long"))
-    targets = targets.withColumn("blocks", F.ceil(F.col("quota") / block_words).cast("long"))
+    # Blocks are as fine as every shard needs to get its part of every source.
+    fine = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("quota") / (shards * SHARD_BLOCKS))))
+    targets = targets.withColumn("block", fine.cast("long"))
+    targets = targets.withColumn("blocks", F.ceil(F.col("quota") / F.col("block")).cast("long"))
     targets = targets.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     matrix = targets.groupBy().agg(F.collect_list(F.struct("number", "blocks")).alias("sources"))
     matrix = matrix.mapInPandas(_block_draws(shards, seed), "number int, until array<long>")
@@ -92,6 +96,7 @@ def draw_mix(
         F.col("words").alias("source_size"),
         "target",
         "quota",
+        "block",
         "until",
         F.ceil(F.col("n") / bucket_rows).cast("int").alias("buckets"),
     )
@@ -110,7 +115,7 @@ def draw_mix(
     def copy(k: int) -> Column:
         at = F.col("start") + F.col("source_size") * k
         words = F.least(F.col("size"), F.col("quota") - at)
-        block = F.floor(at / block_words)
+        block = F.floor(at / F.col("block"))
         shard = F.size(F.filter("until", lambda u: u <= block))
         return F.when(words > 0, F.struct(F.lit(k).alias("copy"), words.alias("words"), shard.alias("shard")))
 
@@ -119,23 +124,14 @@ def draw_mix(
     return rows.select("row", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
-def first_words(text: Column, words: Column) -> Column:
-    """The first words of a text, one space between them."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), 1, words.cast("int")), " ")
-
-
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """(row, shard, order): a row for each copy, its text cut where only a part is taken and ``n_chars`` with it.
+    """(row, shard, order): a row for each copy, whole documents only.
 
-    Written with ``repartition(shards, "shard").sortWithinPartitions("shard", "order")`` each shard comes out shuffled.
+    The document that meets its source's target goes in if at least half of it is taken, so a source gives its target to
+    within half a document. Written with ``repartition(shards, "shard").sortWithinPartitions("shard", "order")`` each shard
+    comes out shuffled.
     """
-    text = F.col("row.text")
     drawn = draw_mix(docs, word_count(F.col("text")), shards, seed).withColumn("c", F.explode("copies"))
-    cut = F.when(F.col("c.words") < F.col("size"), first_words(text, F.col("c.words"))).otherwise(text)
-    drawn = drawn.withColumn("cut", cut)
-    row = F.col("row").withField("text", F.col("cut"))
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("c.words") < F.col("size"), F.length("cut")).otherwise(F.col("row.n_chars"))
-        row = row.withField("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    whole = drawn.where(2 * F.col("c.words") >= F.col("size"))
     order = F.xxhash64(F.lit(seed), "row.doc_id", "c.copy", "size")
-    return drawn.select(row.alias("row"), F.col("c.shard").alias("shard"), order.alias("order"))
+    return whole.select("row", F.col("c.shard").alias("shard"), order.alias("order"))
