@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampwise.operators.ordering import earlier_pieces, with_piece
+from ampwise.operators.ordering import dealt_in_pieces, earlier_pieces
 from ampwise.operators.segment import candidates, headers, months
 from ampwise.schema import EPISODE, MONTH, Params
 
@@ -49,7 +49,7 @@ def episode_rows(
         along = Window.partitionBy(*EPISODE).orderBy("us", "seq")
         numbered = inside.withColumn("pos", F.row_number().over(along) - 1)
     else:
-        split = with_piece(inside, MONTH, "us", hot)
+        split = dealt_in_pieces(inside, MONTH, ["us", "seq"], hot)
         along = Window.partitionBy(*EPISODE, "_piece").orderBy("us", "seq")
         carried = earlier_pieces(split, EPISODE, {"_earlier": F.count(F.lit(1))})
         numbered = (

@@ -43,7 +43,7 @@ def fold_map(
     """
     order = seeded_order(seed) if order is None else order
     things = stage(sizes.select("thing", "n", order.alias("order"), F.lit(0).alias("_all")))
-    hot = find_hot(things, ["_all"], "order", max_rows)
+    hot = find_hot(things, ["_all"], max_rows)
     filled = stage(running(things, ["_all"], "order", ["thing"], {"upto": F.col("n")}, hot).drop("_all"))
     place = F.struct("order", "thing")
     first = F.min(F.struct(place.alias("place"), (F.col("upto") - F.col("n")).alias("before"))).alias("next")

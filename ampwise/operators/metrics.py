@@ -252,7 +252,7 @@ def running_curve(
     right, wrong, missed = ("tp", "fp", "fn") if positive else ("tn", "fn", "fp")
     relevant = small(flags.groupBy("model").agg((F.sum(right) + F.sum(missed)).alias("relevant")))
     chosen = flags.where((F.col(right) == 1) | (F.col(wrong) == 1))
-    hot = measured(chosen, ["model"], "mae", hot, max_rows)
+    hot = measured(chosen, ["model"], hot, max_rows)
     sums = {"hits": F.col(right), "misses": F.col(wrong)}
     curve = running(chosen, ["model"], "mae", ["sample_id"], sums, hot, descending=positive)
     return curve.join(relevant, "model").select(
@@ -298,7 +298,7 @@ def map_report(
     The scores are measured once; the bounds serve the threshold and both curves. Flags are staged, as five branches
     read them.
     """
-    hot = find_hot(scores, ["model"], "mae", max_rows)
+    hot = find_hot(scores, ["model"], max_rows)
     limit = percentile_threshold(scores, percent, hot)
     flags = stage(flagged(mixed_population(scores, MAP_POPULATION, draw), limit))
     positive, negative = running_curve(flags, True, hot), running_curve(flags, False, hot)

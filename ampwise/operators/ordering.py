@@ -5,8 +5,9 @@ groups are measured first. Groups beyond ``max_rows`` are *hot*: they are cut in
 piece is windowed on its own, and totals of the earlier pieces (one row per piece) are added back. Results are the
 same either way.
 
-Every group beyond the limit is hot, and a hot group is cut into ceil(rows / max_rows) pieces, so the tables that are
-broadcast here hold at most 2 * (all rows) / max_rows bounds.
+Every group beyond the limit is hot, and is cut into ceil(rows / max_rows) pieces. Where the cuts lie is Spark's business: rows
+of hot groups are dealt by ranges of the whole order. Tables with a row per piece or per hot group are broadcast while
+``session.small`` finds them small.
 """
 
 from __future__ import annotations
@@ -15,70 +16,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ampwise.functions.numeric import with_rank
-from ampwise.session import stage
+from ampwise.session import SMALL_ROWS, small, stage
 
 MAX_GROUP_ROWS = 2_000_000
 MEASURE = "measure"
 
 
 def find_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str | Column,
-    max_rows: int = MAX_GROUP_ROWS,
-    pieces: int | None = None,
+    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS, pieces: int | None = None
 ) -> DataFrame | None:
-    """The hot groups of ``df`` with their piece bounds, or None when no group exceeds ``max_rows``.
+    """The hot groups of ``df`` with the number of their ``_pieces``, or None when no group exceeds ``max_rows``.
 
-    One map-side combined count decides; only hot groups pay for percentiles. A group gets as many pieces as its rows
-    need, or ``pieces`` if given. The bounds are few: they are computed once and handed on as a small table.
+    One map-side combined count decides. A group gets as many pieces as its rows need, or ``pieces`` if given. A short list
+    is held as it is, a longer one is staged.
     """
     keys = list(keys)
-    position = F.col(position) if isinstance(position, str) else position
-    counted = df.select(*keys, position.alias("_position"))
     wanted = F.ceil(F.col("_rows") / max_rows).cast("int") if pieces is None else F.lit(pieces)
-    largest = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows)
-    rows = largest.select(*keys, wanted.alias("_pieces")).collect()
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows)
+    largest = largest.select(*keys, wanted.alias("_pieces"))
+    rows = largest.limit(SMALL_ROWS + 1).collect()
     if not rows:
         return None
-    spark = df.sparkSession
-    key_fields = [counted.schema[key] for key in keys]
-    hot = spark.createDataFrame(rows, T.StructType([*key_fields, T.StructField("_pieces", T.IntegerType())]))
-    finest = max(row["_pieces"] for row in rows)
-    steps = [i / finest for i in range(1, finest)]
-    places = F.sequence(F.lit(1), F.col("_pieces") - 1)
-    chosen = F.transform(places, lambda i: F.get("_finest", F.floor(i * finest / F.col("_pieces")).cast("int") - 1))
-    bounds = (
-        counted.join(F.broadcast(hot), keys)
-        .groupBy(*keys, "_pieces")
-        .agg(F.percentile_approx("_position", steps, max(10_000, 20 * finest)).alias("_finest"))
-        .select(*keys, "_pieces", F.array_distinct(chosen).alias("_bounds"))
-        .collect()
-    )
-    position_type = counted.schema["_position"].dataType
-    found = [T.StructField("_pieces", T.IntegerType()), T.StructField("_bounds", T.ArrayType(position_type))]
-    schema = T.StructType(key_fields + found)
-    return spark.createDataFrame([tuple(row) for row in bounds], schema)
-
-
-def measured(df: DataFrame, keys: Sequence[str], position: str, hot, max_rows: int) -> DataFrame | None:
+    return stage(largest) if len(rows) > SMALL_ROWS else df.sparkSession.createDataFrame(rows, largest.schema)
+
+
+def measured(df: DataFrame, keys: Sequence[str], hot, max_rows: int) -> DataFrame | None:
     """``hot`` as given, or measured on ``df`` when it is MEASURE.
 
-    Bounds found on a table also split any subset of its rows, so callers measure once and pass the result on.
+    Groups found on a table are hot for any subset of its rows, so callers measure once and pass the result on.
     """
-    return find_hot(df, keys, position, max_rows) if isinstance(hot, str) and hot == MEASURE else hot
+    return find_hot(df, keys, max_rows) if isinstance(hot, str) and hot == MEASURE else hot
 
 
-def with_piece(df: DataFrame, keys: Sequence[str], position: str | Column, hot: DataFrame) -> DataFrame:
-    """Add ``_hot`` and ``_piece``: 0 for ordinary groups, the rank along ``position`` for hot ones."""
-    position = F.col(position) if isinstance(position, str) else position
-    bounded = df.join(F.broadcast(hot.drop("_pieces")), list(keys), "left")
-    longest = hot.agg(F.max(F.size("_bounds"))).first()[0]
-    placed = with_rank(bounded, "_bounds", position, "_piece", longest)
-    return placed.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
+def dealt_in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Add ``_hot`` and ``_piece``: 0 for ordinary groups; rows of hot ones are dealt by ranges of (keys, order), staged, and
+    numbered by their range, so that equal values of the order may be split too. A group's pieces are consecutive numbers."""
+    keys = list(keys)
+    named = small(hot.select(*keys))
+    ordinary = df.join(named, keys, "left_anti").select(*df.columns, F.lit(0).alias("_piece"), F.lit(False).alias("_hot"))
+    count = hot.agg(F.sum("_pieces")).first()[0]
+    ranged = df.join(named, keys, "left_semi").select(*df.columns).repartitionByRange(count, *keys, *order)
+    split = stage(ranged.select("*", F.spark_partition_id().alias("_piece"), F.lit(True).alias("_hot")))
+    return ordinary.unionByName(split)
 
 
 def earlier_pieces(
@@ -122,13 +102,13 @@ def running(
 
     if hot is None:
         return summed(df, *keys)
-    named = F.broadcast(hot.select(*keys))
+    named = small(hot.select(*keys))
     ordinary = summed(df.join(named, keys, "left_anti").select(*df.columns), *keys)
     pieces = hot.agg(F.sum("_pieces")).first()[0]
     ranged = df.join(named, keys, "left_semi").select(*df.columns).repartitionByRange(pieces, *keys, *order)
     split = stage(ranged.select("*", F.spark_partition_id().alias("_piece"), F.lit(True).alias("_hot")))
     carried = earlier_pieces(split, keys, {f"_before_{name}": F.sum(c) for name, c in sums.items()})
-    joined = summed(split, *keys, "_piece").join(F.broadcast(carried), [*keys, "_piece"], "left")
+    joined = summed(split, *keys, "_piece").join(small(carried), [*keys, "_piece"], "left")
     totals = [
         (F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).alias(name) for name in sums
     ]

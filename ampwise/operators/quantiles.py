@@ -31,7 +31,7 @@ def percentiles(
     if not keys:
         keys = ["_all"]
         present = present.withColumn("_all", F.lit(0))
-    hot = measured(present, keys, "_value", hot, max_rows)
+    hot = measured(present, keys, hot, max_rows)
     if hot is None:
         out = present.groupBy(*keys).agg(F.percentile("_value", fractions).alias("values"))
     else:

@@ -20,9 +20,9 @@ from ampwise.functions.signal import (
     past_discharge,
     whole_seconds,
 )
-from ampwise.operators.ordering import MAX_GROUP_ROWS, earlier_pieces, find_hot, with_piece
+from ampwise.operators.ordering import MAX_GROUP_ROWS, dealt_in_pieces, earlier_pieces, find_hot
 from ampwise.schema import MONTH, Params
-from ampwise.session import stage
+from ampwise.session import small, stage
 
 log = logging.getLogger(__name__)
 
@@ -166,11 +166,11 @@ def _neighbours(rows: DataFrame, p: Params) -> DataFrame:
         return addressed.withColumn("_near", nearest).where(F.col("_near") <= reach).drop("_near")
 
     present = hot.select(*inside).distinct()
-    return border(True).unionByName(border(False)).join(F.broadcast(present), inside, "left_semi")
+    return border(True).unionByName(border(False)).join(small(present), inside, "left_semi")
 
 
 def _marks_in_pieces(rows: DataFrame, p: Params, mode: str, hot: DataFrame) -> DataFrame:
-    split = with_piece(rows, MONTH, "us", hot)
+    split = dealt_in_pieces(rows, MONTH, ["us", "seq"], hot)
     own = split.withColumn("_own", F.lit(True))
     borders = _neighbours(split, p).withColumn("_own", F.lit(False))
     framed = _frames(own.unionByName(borders), p, mode, [*MONTH, "_piece"])
@@ -191,7 +191,7 @@ def _marks_in_pieces(rows: DataFrame, p: Params, mode: str, hot: DataFrame) -> D
         split, MONTH, {"_dis": F.max(F.when(is_discharge(p), F.col("us")))}, fold="max"
     )
     inside = [*MONTH, "_piece"]
-    framed = framed.join(F.broadcast(counts), inside, "left").join(F.broadcast(latest), inside, "left")
+    framed = framed.join(small(counts), inside, "left").join(small(latest), inside, "left")
     framed = framed.withColumn("rn", F.col("rn") + F.coalesce("_rows", F.lit(0)))
     framed = framed.withColumn("prev_dis", F.greatest("prev_dis", "_dis"))
     if mode == SWAB_TO_SWAB:
@@ -207,7 +207,7 @@ def _owners(marks: DataFrame, in_pieces: bool) -> DataFrame:
     owned = marks.withColumn("owner", F.max(started).over(before))
     if in_pieces:
         carried = earlier_pieces(marks, MONTH, {"_owner": F.max(started)}, fold="max")
-        owned = owned.join(F.broadcast(carried), keys, "left")
+        owned = owned.join(small(carried), keys, "left")
         owned = owned.withColumn("owner", F.coalesce("owner", "_owner")).drop("_owner")
     return owned
 
@@ -249,7 +249,7 @@ def _with_next(segments: DataFrame, in_pieces: bool) -> DataFrame:
     nexted = segments.withColumn("next", F.lead(following).over(along))
     if in_pieces:
         carried = earlier_pieces(segments, MONTH, {"_next": F.min(following)}, fold="min", later=True)
-        nexted = nexted.join(F.broadcast(carried), keys, "left")
+        nexted = nexted.join(small(carried), keys, "left")
         nexted = nexted.withColumn("next", F.coalesce("next", "_next")).drop("_next")
     return nexted.where(F.col("next").isNotNull())
 
@@ -289,7 +289,7 @@ def _judge(candidates: DataFrame, p: Params, mode: str) -> DataFrame:
 
 
 def find_hot_months(telemetry: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
-    return find_hot(dated(telemetry), MONTH, "us", max_rows)
+    return find_hot(dated(telemetry), MONTH, max_rows)
 
 
 def candidates(
@@ -322,7 +322,7 @@ def headers(found: DataFrame, month_table: DataFrame, in_pieces: bool = False) -
     numbered = valid.withColumn("ep_idx", number)
     if in_pieces:
         carried = earlier_pieces(valid, MONTH, {"_earlier": F.count(F.lit(1))})
-        numbered = numbered.join(F.broadcast(carried), inside, "left")
+        numbered = numbered.join(small(carried), inside, "left")
         numbered = numbered.withColumn("ep_idx", F.col("ep_idx") + F.coalesce("_earlier", F.lit(0))).drop(
             "_earlier", "_piece", "_hot"
         )

@@ -113,16 +113,26 @@ def fit_bounds(steps: DataFrame) -> DataFrame:
     return steps.agg(*wanted)
 
 
-def blow_mae(steps: DataFrame, bounds: DataFrame, full: int = 100) -> DataFrame:
-    """Scaled mean absolute error of each blow against the same blow at full health.
+def health_pairs(blows: DataFrame, values: str = "steps", full: int = 100) -> DataFrame:
+    """Each blow of a health level beside the same blow at full health: ``soc, thing, month_idx, ep_idx, <values>, full``.
 
-    The levels of an episode, a handful of rows, meet in one aggregate; steps are paired in place.
+    The levels of an episode, a handful of rows, meet in one aggregate. Blows with a null key pair with nothing.
     """
-    samples = sample_arrays(steps, bounds).dropna(subset=EPISODE)
-    held = samples.groupBy(*EPISODE).agg(F.collect_list(F.struct("soc", "x")).alias("levels"))
-    whole = F.get(F.filter("levels", lambda level: level["soc"] == full), F.lit(0))["x"].alias("whole")
+    held = blows.dropna(subset=EPISODE).groupBy(*EPISODE).agg(F.collect_list(F.struct("soc", values)).alias("levels"))
+    whole = F.get(F.filter("levels", lambda level: level["soc"] == full), F.lit(0))[values].alias("full")
     lower = F.explode(F.filter("levels", lambda level: level["soc"] != full)).alias("level")
-    paired = held.select(*EPISODE, whole, lower).where(F.col("whole").isNotNull())
-    gaps = F.zip_with("level.x", "whole", lambda a, b: F.abs(a - b))
-    total = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g)
-    return paired.select(*EPISODE, "level.soc", (total / F.size("whole")).alias("mae"))
+    paired = held.select(*EPISODE, whole, lower).where(F.col("full").isNotNull())
+    return paired.select("level.soc", *EPISODE, f"level.{values}", "full")
+
+
+def voltage_differences(blows: DataFrame) -> DataFrame:
+    """Voltage at full health minus voltage at each lower level, step by step: ``soc, thing, month_idx, ep_idx, difference``."""
+    paired = health_pairs(blows.select(*SAMPLE, F.col("steps")["voltage"].alias("voltage")), "voltage")
+    return paired.select(*SAMPLE, F.explode(F.zip_with("full", "voltage", lambda f, v: f - v)).alias("difference"))
+
+
+def blow_mae(steps: DataFrame, bounds: DataFrame, full: int = 100) -> DataFrame:
+    """Scaled mean absolute error of each blow against the same blow at full health, steps paired in place."""
+    paired = health_pairs(sample_arrays(steps, bounds), "x", full)
+    total = F.aggregate(F.zip_with("x", "full", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, g: s + g)
+    return paired.select(*EPISODE, "soc", (total / F.size("full")).alias("mae"))

@@ -264,7 +264,7 @@ MAP_CHAIN = (o.SCORES, MAP_POPULATION, FLAGS, CURVES)
 def _flags(spark, folder):
     """Flags of the mixed population, and the measured bounds of its models."""
     scores = order_scores(spark, folder)
-    hot = find_hot(scores, ["model"], "mae")
+    hot = find_hot(scores, ["model"])
     limit = metrics.percentile_threshold(scores, MAP_PERCENT, hot).withColumn("threshold", F.round("threshold", 9))
     return metrics.flagged(metrics.mixed_population(scores, metrics.MAP_POPULATION), limit), hot
 

@@ -140,10 +140,8 @@ def synthetic_blows(spark, folder):
     GROUP BY a.thing, a.soc, a.month_idx, a.ep_idx""",
 )
 def health_pairs(spark, folder):
-    paired = align.health_pairs(synthetic(spark, folder), align.BLOW, ["voltage"])
-    return paired.groupBy("soc", *EPISODE).agg(
-        F.round(F.sum(F.col("full_voltage") - F.col("voltage")), 5).alias("lost"), F.count(F.lit(1)).alias("rows")
-    )
+    gaps = steps.voltage_differences(synthetic_steps(spark, folder))
+    return gaps.groupBy("soc", *EPISODE).agg(F.round(F.sum("difference"), 5).alias("lost"), F.count(F.lit(1)).alias("rows"))
 
 
 DIFFERENCES = f"""
@@ -170,7 +168,7 @@ q AS (
     FROM q JOIN dif ON q.soc = dif.soc GROUP BY q.soc, q1, q2, q3""",
 )
 def voltage_difference_boxes(spark, folder):
-    gaps = stage(align.voltage_differences(synthetic(spark, folder, tuple(WORK_LEVELS))))
+    gaps = stage(steps.voltage_differences(synthetic_steps(spark, folder, tuple(WORK_LEVELS))))
     gaps = gaps.withColumn("difference", F.round("difference", 9))
     boxes = metrics.box_stats(gaps, ["soc"], "difference", fences=True)
     return boxes.select("soc", *[r6(c) for c in ("low", "q1", "q2", "q3", "high")])

@@ -47,7 +47,7 @@ def line_ticks(spark: SparkSession, folder: str, **limit) -> tuple[DataFrame, Da
         "l_quantity",
         "l_discount",
     )
-    hot = find_hot(lines, ["thing"], "l_orderkey", **limit)
+    hot = find_hot(lines, ["thing"], **limit)
     ties = ["l_linenumber", "l_partkey", "l_extendedprice"]
     return ordinal(lines, ["thing"], "l_orderkey", ties, "tick", hot, start=1), hot
 

@@ -20,7 +20,7 @@ def skewed(spark, rows=900):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums_agree_when_split(spark, descending):
     df = skewed(spark)
-    hot = find_hot(df, ["k"], "v", max_rows=100, pieces=16)
+    hot = find_hot(df, ["k"], max_rows=100, pieces=16)
     assert [r.k for r in hot.collect()] == ["hot"]
     sums = {"a": F.col("one"), "b": F.lit(1)}
     whole = running(df, ["k"], "v", ["id"], sums, None, descending)
@@ -30,7 +30,7 @@ def test_running_sums_agree_when_split(spark, descending):
 
 def test_ordinals_agree_when_split(spark):
     df = skewed(spark)
-    hot = find_hot(df, ["k"], "v", max_rows=100, pieces=16)
+    hot = find_hot(df, ["k"], max_rows=100, pieces=16)
     whole = ordinal(df, ["k"], "v", ["id"], "n", None, start=1)
     split = ordinal(df, ["k"], "v", ["id"], "n", hot, start=1)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.select(*whole.columns).collect()))
@@ -38,21 +38,20 @@ def test_ordinals_agree_when_split(spark):
 
 def test_every_large_group_is_split_by_its_size(spark):
     df = spark.range(2000).select((F.col("id") % 400).alias("k"), F.col("id").alias("v"))
-    hot = find_hot(df, ["k"], "v", max_rows=4)
-    assert hot.count() == 400 and hot.where(F.size("_bounds") == 1).count() == 400
-    assert find_hot(df, ["k"], "v", max_rows=5) is None
+    hot = find_hot(df, ["k"], max_rows=4)
+    assert hot.count() == 400 and hot.where("_pieces = 2").count() == 400
+    assert find_hot(df, ["k"], max_rows=5) is None
     whole = ordinal(df, ["k"], "v", [], "n", None)
     assert sorted(map(tuple, ordinal(df, ["k"], "v", [], "n", hot).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
     huge = spark.range(6000).select(F.when(F.col("id") < 5000, 0).otherwise(1).alias("k"), F.col("id").alias("v"))
-    bounds = {r.k: len(r._bounds) for r in find_hot(huge, ["k"], "v", max_rows=10).collect()}
-    assert bounds == {0: 499, 1: 99}
+    assert {r.k: r._pieces for r in find_hot(huge, ["k"], max_rows=10).collect()} == {0: 500, 1: 100}
 
 
 def test_a_dominant_value_is_split_by_the_tie_break(spark):
     df = spark.range(6000).select(
         (F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id") % 7 * 1.0).alias("v"), F.format_string("s%05d", "id").alias("id")
     )
-    hot = find_hot(df, ["k"], "v", max_rows=500)
+    hot = find_hot(df, ["k"], max_rows=500)
     sums = {"total": F.lit(1)}
     for descending in (False, True):
         whole = running(df, ["k"], "v", ["id"], sums, None, descending)
@@ -68,7 +67,7 @@ def test_a_dominant_value_is_split_by_the_tie_break(spark):
 
 def test_one_dominant_value(spark):
     df = spark.range(3000).select(F.lit("m").alias("k"), F.when(F.col("id") % 5 > 0, 7.0).otherwise(F.col("id") * 1.0).alias("v"), "id")
-    hot = find_hot(df, ["k"], "v", max_rows=100)
+    hot = find_hot(df, ["k"], max_rows=100)
     whole = ordinal(df, ["k"], "v", ["id"], "n", None)
     assert sorted(map(tuple, ordinal(df, ["k"], "v", ["id"], "n", hot).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
 

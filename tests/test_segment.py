@@ -121,11 +121,30 @@ def test_pieces_smaller_than_the_frames(spark):
     p = Params(6, 6, 5, 2)
     signals = {"a": [(i, (0.0, -20.0, 20.0, 1.0)[(i // 12) % 4]) for i in range(400)]}
     df = telemetry(spark, signals)
-    hot = find_hot(segment.dated(df), MONTH, "us", max_rows=100, pieces=200)
+    hot = find_hot(segment.dated(df), MONTH, max_rows=100, pieces=200)
     assert found(segment.candidates(df, p, hot=hot)) == found(segment.candidates(df, p))
     assert found(segment.candidates(df, p))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_dominant_timestamp_is_split(spark, seed):
+    """Most rows of the month have one time, in the order of ``seq``; pieces cut through them."""
+    rng = random.Random(seed)
+    states = [rng.choice([0.0, 0.0, -20.0, 20.0]) for _ in range(900)]
+    rows = [("a", T0 + dt.timedelta(seconds=i if i < 150 else 150 if i < 750 else i), i, c, 24.0) for i, c in enumerate(states)]
+    rows += [("b", T0 + dt.timedelta(seconds=i), i, c, 24.0) for i, c in enumerate(states[:90])]
+    df = spark.createDataFrame(rows, "thing string, ts timestamp, seq long, current double, voltage double").repartition(4)
+    p = Params(1, 1, 1, 1)
+    hot = segment.find_hot_months(df, max_rows=100)
+    assert [(r.thing, r._pieces) for r in hot.collect()] == [("a", 9)]
+    whole, pieces = segment.candidates(df, p), segment.candidates(df, p, hot=hot)
+    assert found(pieces) == found(whole) and found(whole)
+    months = segment.months(df)
+    heads, split_heads = segment.headers(whole, months), segment.headers(pieces, months, in_pieces=True)
+    rows, split = episodes.episode_rows(df, heads, p), episodes.episode_rows(df, split_heads, p, hot)
+    assert sorted(map(tuple, split.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_valid_episodes_do_not_overlap(spark):
     p = Params(1, 1, 1, 1)
     df = telemetry(spark, {t: [(i, c) for i, (_, c) in enumerate(s)] for t, s in random_signals(3).items()})

@@ -95,6 +95,10 @@ def test_blows_equal_the_row_form(rows, traces, stores):
     errors = {tuple(r)[:4]: r.mae for r in steps.blow_mae(found, bounds).select(*EPISODE, "soc", "mae").collect()}
     plain = {tuple(r)[:4]: r.mae for r in align.blow_mae(want, bounds).select(*EPISODE, "soc", "mae").collect()}
     assert errors.keys() == plain.keys() and all(errors[k] == pytest.approx(plain[k]) for k in plain)
+    columns = ["soc", *EPISODE]
+    gaps = steps.voltage_differences(found).groupBy(*columns).agg(F.round(F.sum("difference"), 9).alias("d"), F.count("*").alias("n"))
+    plain = align.voltage_differences(want, (90,)).groupBy(*columns).agg(F.round(F.sum("difference"), 9).alias("d"), F.count("*").alias("n"))
+    assert bag(gaps) == bag(plain)
 
 
 def test_length_errors_equal_the_row_form(rows, traces, stores, tmp_path):
