@@ -29,6 +29,7 @@ SIMILARITY = 80  # percent
 BANDS, ROWS = 30, 5  # a pair at 0.8 shares no band with probability 7e-6
 SKETCH = BANDS * ROWS
 RARE = 8
+ORDERS = 6  # of centres; more of them link graded groups in fewer searches, fewer move less
 FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -133,8 +134,13 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def possible(n: Column, other: Column, percent: int) -> Column:
+    """Whether sets of so many elements can have 100 * intersection >= percent * union."""
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; sizes are known to allow it."""
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
     small, large = F.least(F.size("of_a"), F.size("of_b")), F.greatest(F.size("of_a"), F.size("of_b"))
@@ -142,7 +148,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (
         pairs.join(one, "a")
         .join(two, "b")
-        .where(100 * small >= percent * large)
         .where(100 * shared >= percent * (small + large - shared))
         .select("a", "b")
     )
@@ -194,31 +199,32 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
     Buckets of two are left out: their only pair has been compared.
     """
-    held = stage(members.join(labels, F.col("node") == F.col("l_node")).select("band", "node", "label"))
-    counts = held.groupBy("band", "label").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    counts = stage(counts.where("labels > 1 and n > 2").select("band", F.col("most.label").alias("most")))
+    held = stage(members.join(labels, F.col("node") == F.col("l_node")).select("band", "node", "n", "label"))
+    counts = held.groupBy("band", "label").agg(F.count("*").alias("times"))
+    counts = counts.groupBy("band").agg(
+        F.count("*").alias("labels"), F.sum("times").alias("times"), F.max(F.struct("times", "label")).alias("most")
+    )
+    counts = stage(counts.where("labels > 1 and times > 2").select("band", F.col("most.label").alias("most")))
     return stage(held.join(counts, "band"))
 
 
-def _rare_elements(sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u_node, n, common) and (a, b), for nodes (node, label).
+def _rare_elements(sets: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(u_node, common) and (a, b), for nodes (node, n, label).
 
-    An element is rare if at most ``RARE`` of the nodes have it. The pairs are all those of different labels that share a
-    rare element. Other pairs share no more than the smaller of their numbers of ``common`` elements, so many of them
-    need no comparison.
+    An element is rare if at most ``RARE`` of the nodes have it. The pairs are all those of different labels, and of sizes
+    that allow a link, that share a rare element. Other pairs share no more than the smaller of their numbers of
+    ``common`` elements, so many of them need no comparison.
     """
-    held = sets.join(nodes, "node").select("node", "label", F.explode("elements").alias("element"))
+    held = sets.join(nodes, "node").select("node", "n", "label", F.explode("elements").alias("element"))
     rare = stage(held.groupBy("element").agg(F.count("*").alias("times")).where(f"times <= {RARE}").select("element"))
     rare = stage(held.join(rare, "element"))
-    other = rare.select("element", F.col("node").alias("o_node"), F.col("label").alias("o_label"))
-    alike = rare.join(other, "element").where("node < o_node and label != o_label")
+    other = rare.select("element", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
+    alike = rare.join(other, "element").where("node < o_node and label != o_label").where(possible(F.col("n"), F.col("o_n"), percent))
     alike = alike.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     alone = rare.groupBy(F.col("node").alias("r_node")).agg(F.count("*").alias("alone"))
-    sizes = sets.join(nodes, "node", "left_semi").groupBy(F.col("node").alias("u_node"), F.size("elements").alias("n"))
-    sizes = sizes.agg(F.count("*").alias("copies"))  # repeated rows give a node's set, and each of its rare elements, several times
-    common = F.col("n") - F.coalesce(F.expr("alone div copies"), F.lit(0))
-    return sizes.join(alone, F.col("u_node") == F.col("r_node"), "left").select("u_node", "n", common.alias("common")), alike
+    common = F.col("n") - F.coalesce(F.col("alone"), F.lit(0))
+    counted = nodes.join(alone, F.col("node") == F.col("r_node"), "left")
+    return counted.select(F.col("node").alias("u_node"), common.alias("common")), alike
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -233,21 +239,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     schema = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"
     rows = stage(map_texts(source, _sketch_batches(words), schema))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_key")).alias("at"))
+    nodes = rows.where("node is not null").groupBy("node").agg(
+        F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("at")
+    )
     nodes = stage(nodes)
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("place", "band"))
+    shared = stage(banded.groupBy("band").agg(F.count("*").alias("times")).where("times > 1").select("band"))
     members = stage(banded.join(shared, "band"))
-    centre = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("c"))
-    centre = stage(centre.select("band", F.col("c.node").alias("centre")))
-    pairs = members.join(centre, "band").where("node != centre").select(*_pair(F.col("node"), F.col("centre"))).distinct()
-    pairs = stage(pairs)
+    # A few orders of centres for all bands: a group that shares many buckets has few centres, so its sets move few times.
+    drawn = F.struct(F.xxhash64("node", F.col("place") % ORDERS).alias("h"), "node", "n")
+    centre = members.groupBy("band").agg(F.min(drawn).alias("c"))
+    centre = stage(centre.select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
+    pairs = members.join(centre, "band").where("node != centre").where(possible(F.col("n"), F.col("centre_n"), percent))
+    pairs = stage(pairs.select(*_pair(F.col("node"), F.col("centre"))).distinct())
 
     wanted = members.select("node").distinct().join(nodes.select("node", "at"), "node")
     wanted = wanted.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.text_key").alias("at_key"))
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key"))
     texts = source.join(wanted, same).select("node", "text")
     sets = stage(map_texts(texts, _set_batches(words), "node binary, elements array<long>"))
+    if sets.count() > sets.select("node").distinct().count():  # rows repeated in id and text
+        sets = stage(sets.dropDuplicates(["node"]))
 
     links = stage(verified(pairs, sets, percent))
     start = members.select(F.col("node").alias("l_node"), F.col("node").alias("label")).distinct()
@@ -258,24 +270,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     linked = links.select(F.col("a").alias("d_node")).unionByName(links.select(F.col("b").alias("d_node")))
     linked = linked.groupBy("d_node").agg(F.count("*").alias("degree"))
     ranked = apart.join(linked, F.col("node") == F.col("d_node"), "left")
-    second = ranked.groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "node", "label")).alias("c"))
-    second = stage(second.select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("c_label")))
-    tried = apart.join(second, "band").where("label != c_label").select(*_pair(F.col("node"), F.col("centre"))).distinct()
+    second = ranked.groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "node", "label", "n")).alias("c"))
+    second = second.select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("c_label"), F.col("c.n").alias("centre_n"))
+    tried = apart.join(stage(second), "band").where("label != c_label").where(possible(F.col("n"), F.col("centre_n"), percent))
+    tried = tried.select(*_pair(F.col("node"), F.col("centre"))).distinct()
     tried = stage(tried.join(pairs, ["a", "b"], "left_anti"))
     labels = _relabelled(labels, stage(verified(tried, sets, percent)))
 
     # the rest: members of other components, unless their common elements are too few
     apart = _apart(members, labels)
-    sizes, alike = _rare_elements(sets, apart.select("node", "label").distinct())
+    sizes, alike = _rare_elements(sets, apart.select("node", "n", "label").distinct(), percent)
     apart = apart.join(sizes, F.col("node") == F.col("u_node")).drop("u_node").join(nodes.select("node", "bands"), "node")
     apart = stage(apart)
     asking = apart.where("label != most").select("band", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", "common", "bands")))
     most_shared = F.least("common", "a_common")
-    possible = 100 * most_shared >= percent * (F.col("n") + F.col("a_n") - most_shared)
+    open_still = 100 * most_shared >= percent * (F.col("n") + F.col("a_n") - most_shared)
     first_band = F.array_min(F.array_intersect("bands", "a_bands")) == F.col("band")  # a pair comes up in one bucket only
     late = (
         asking.join(apart, "band")
-        .where((F.col("a_label") != F.col("label")) & possible & first_band)
+        .where((F.col("a_label") != F.col("label")) & open_still & first_band)
         .select(*_pair(F.col("a_node"), F.col("node")))
         .unionByName(alike)
         .distinct()
