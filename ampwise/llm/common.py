@@ -9,16 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BATCH_ROWS = 1000
 SLICE_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers of the two span hashes
 
 
 def map_texts(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` for rows with texts: at most ``BATCH_ROWS`` rows travel at once, as whole documents are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, BATCH_ROWS)
+    """``mapInArrow`` for rows with texts. Spark bounds its batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``,
+    64 MB unless set), so whole documents of any size travel in bounded batches, but for one that is larger by itself;
+    functions go through them in ``slices``."""
     return df.mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampwise.llm.common import map_texts
+from ampwise.llm.common import map_texts, slices
 from ampwise.llm.url_rules import host_of
 from ampwise.session import stage
 
@@ -438,10 +438,14 @@ PAGES = "page_id long, url string, html string, host string, layout long, mark l
 
 
 def _layout_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        roots = [parse(page) for page in batch.column("html").to_pylist()]
-        found = [pa.array([f(root) for root in roots], pa.int64()) for f in (layout, content_mark)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *found], [c.split()[0] for c in PAGES.split(", ")])
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            found = []
+            for page in batch.column("html").to_pylist():
+                root = parse(page)
+                found.append((layout(root), content_mark(root)))
+            columns = [pa.array(column, pa.int64()) for column in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [c.split()[0] for c in PAGES.split(", ")])
 
 
 EQUAL = "host string, layout long, which int, mark long, places array<int>"
@@ -450,7 +454,7 @@ EQUAL = "host string, layout long, which int, mark long, places array<int>"
 def _equal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every page the places in each reference where it says the same; layout 0 stands for the whole host."""
     parses = Parses()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "html")):
         out = []
         columns = ("host", "layout", "mark", "html", "references", "own_references")
         for host, own, mark, page, *kinds in zip(*(batch.column(c).to_pylist() for c in columns)):
@@ -475,7 +479,7 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parses = Parses()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "html")):
         texts = []
         for page, references, constants in zip(*(batch.column(c).to_pylist() for c in ("html", "references", "constants"))):
             root = parse(page)

@@ -1,5 +1,8 @@
 """The operators against plain versions: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import base64
+import gzip
+import hashlib
 import random
 from collections import Counter, defaultdict
 from pydoc_data.topics import topics
@@ -61,6 +64,23 @@ def test_suffix_dedup(docs, rows, none, group_rows):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words of 1024 and 2048 letters that agree under any polynomial over 2^64; a very long word; odd bytes."""
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    long = "x" * 70_000
+    texts = [one, two, thue_morse(2048, "ab"), thue_morse(2048, "ba"), long, long + "y", long]
+    table = spark.createDataFrame([(k, t, "s", 1, *("x",) * CLASH.count(" string")) for k, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(table).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 4}
+    line = " ".join([one, "p", "q", two, "p", "q"])
+    counted = quality.judge(spark.createDataFrame([(1, line, "s", 1, *("x",) * CLASH.count(" string"))], DOCS)).first()
+    assert counted.n_words == 6 and counted.n_repeat_words == 0
+
+
 def test_suffix_arrays_and_fragments():
     r = random.Random(8)
     for trial in range(20):
@@ -100,13 +120,43 @@ def test_source_targets_and_mix(docs, rows, none):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 0.5
     assert as_bag((r.doc_id, r["size"], r.taken) for r in run(7)) == as_bag((r.doc_id, r["size"], r.taken) for r in found)
+    mixed = mixing.mix(docs, shards=4).select("row.doc_id", "row.source", "row.text", "shard").collect()
+    drawn = mixing.draw_mix(docs, mixing.word_count(docs["text"]), shards=4)
+    copies = drawn.select("row.doc_id", "row.text", "size", "copies").collect()
+    assert as_bag((r.doc_id, r.text, r.shard) for r in mixed) == as_bag(
+        (r.doc_id, r.text, c.shard) for r in copies for c in r.copies if 2 * c.words >= r["size"]
+    )
     words = Counter()
-    for row in mixing.mix(docs, shards=4).select("row.source", "row.text", "shard").collect():
+    for row in mixed:
         words[row.source] += len(brute.SPACED.findall(row.text))
-    assert words == +taken
+    longest = max(len(brute.SPACED.findall(t or "")) for _, t, _ in rows)
+    assert all(abs(words[s] - taken[s]) <= longest / 2 for s in sizes)
     assert mixing.draw_mix(none, mixing.word_count(none["text"])).count() == 0
 
 
+def test_every_shard_gets_its_part_of_every_source(spark):
+    """Sources of very different sizes, documents of about ten words: each shard's words of a source stay near an eighth."""
+    r = random.Random(7)
+    data = [(k, prose(r, r.randint(5, 15)), "big" if k % 10 else "small") for k in range(20_000)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    drawn = mixing.draw_mix(frame, mixing.word_count(frame["text"]))
+    words = defaultdict(Counter)
+    for row in drawn.select("row.source", "copies").collect():
+        for c in row.copies:
+            words[row.source][c.shard] += c.words
+    for source, shards in words.items():
+        assert len(shards) == mixing.SHARDS
+        assert all(0.6 < 8 * n / sum(shards.values()) < 1.4 for n in shards.values())
+
+
+def test_draws_beyond_numpys_limit_follow_the_law():
+    rng = np.random.default_rng(3)
+    got = np.array([draws.hypergeometric(rng, 2 * 10**9, 10**9, 3 * 10**6) for _ in range(200)])
+    spread = (3 * 10**6 * 2 / 9) ** 0.5
+    assert abs(got.mean() - 2 * 10**6) < 5 * spread / 200**0.5 and 0.8 < got.std() / spread < 1.2
+    assert draws.hypergeometric(rng, 10**9, 5, 10**9 + 5 - 2) >= 10**9 - 2
+
+
 def test_draws_are_exact():
     for seed in range(30):
         r = random.Random(seed)
@@ -271,6 +321,47 @@ def test_warc_payloads_come_back(spark, tmp_path):
     assert {bytes(r.payload).decode() for r in records.where("record_type = 'response'").collect()} == {"x\r\n\r\ny", "é" * 5000}
 
 
+def test_warc_foreign_archives(spark, tmp_path):
+    """One member per record, two versions, headers without a blank, folded headers, other records, zeros at the end."""
+    end = b"\r\n\r\n"
+    payload = "é" * 200_000
+    sha = base64.b32encode(hashlib.sha1(payload.encode()).digest())
+
+    def record(version, headers, block):
+        lines = [version, *headers, b"content-length:%d" % len(block)]
+        return b"\r\n".join(lines) + end + block + end
+
+    records = [
+        record(b"WARC/1.0", [b"WARC-Type: warcinfo", b"WARC-Record-ID:<urn:0>", b"Content-Type: application/warc-fields"], b"software: x\r\n"),
+        record(
+            b"WARC/1.0",
+            [b"warc-type:response", b"WARC-Record-ID: <urn:1>", b"WARC-Target-URI: <http://a/>", b"WARC-Payload-Digest:", b" sha1:" + sha],
+            b"HTTP/1.1 200 OK\r\nX: y" + end + payload.encode(),
+        ),
+        record(b"WARC/1.1", [b"WARC-Type: request", b"WARC-Record-ID: <urn:2>", b"WARC-Concurrent-To: <urn:1>"], b"GET / HTTP/1.1" + end),
+        record(b"WARC/1.1", [b"WARC-Type: response", b"WARC-Record-ID: <urn:3>", b"WARC-Payload-Digest: md5:00"], b"HTTP/1.1 200" + end + b"x"),
+        record(b"WARC/1.0", [b"WARC-Type: response", b"WARC-Record-ID: <urn:4>", b"Content-Type: text/dns"], b"a. 1 IN A 1.2.3.4"),
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records) + b"\0" * 600)
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "w" / "c.warc").write_bytes(b"".join(records))
+    found = warc.read_records(spark, str(tmp_path / "w"))
+    rows = Counter((r.record_type, r.record_id, r.target_uri, r.payload_bytes, r.digest_ok) for r in found.collect())
+    assert rows == {
+        ("warcinfo", "<urn:0>", None, None, None): 3,
+        ("response", "<urn:1>", "http://a/", 400_000, True): 3,
+        ("request", "<urn:2>", None, None, None): 3,
+        ("response", "<urn:3>", None, 1, None): 3,
+        ("response", "<urn:4>", None, 17, None): 3,
+    }
+    held = warc.captures(found.where("record_type in ('response', 'request')").distinct()).collect()
+    assert {r.capture.record_id: r.request and r.request.record_id for r in held} == {"<urn:1>": "<urn:2>", "<urn:3>": None, "<urn:4>": None}
+    for broken in (gzip.compress(records[1])[:-30], records[1][:90], b"hello" + end):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(warc.unpacked(broken)))
+
+
 def test_quality(docs, rows, none):
     found = quality.judge(docs).collect()
     got = as_bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found)
@@ -381,6 +472,41 @@ def test_tree_matching_of_long_lists_and_deep_trees():
     assert wrappers.matched(deep[0], other[0], []) == 3002
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    """Mirrors of one article, with other scripts, counts and links, give its whole text, beside a host with a template."""
+    r = random.Random(8)
+    paragraphs = [prose(r, 25) for _ in range(3)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    copies = [f"<html><script>track({k})</script><article><h1>News</h1>{body}<p>{k} readers</p></article></html>" for k in range(7)]
+    alone = [f"<html><article><h1>News</h1>{body}</article></html>"]
+    others = [f"<html><article><h1>T{k}</h1><p>Follow us every day</p><p>{prose(r, 30)}</p></article></html>" for k in range(6)]
+    pages = [(k, "http://mirror/a", p) for k, p in enumerate(copies)] + [(20, "http://alone/a", alone[0])]
+    pages += [(30 + k, "http://mixed/a", p) for k, p in enumerate(copies + others)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    whole = " ".join(["News", *paragraphs])
+    assert got[20] == whole
+    assert all(got[k] == f"{whole} {k} readers" and got[30 + k] == f"{whole} {k} readers" for k in range(7))
+    assert all("Follow us" not in got[37 + k] and got[37 + k].startswith(f"T{k} ") for k in range(6))
+
+
+def test_templates_alone_find_the_text(spark):
+    """No element, role or class tells anything here: what all pages of a host say is template, what varies is content."""
+    r = random.Random(9)
+    want, pages = {}, []
+    for host in range(3):
+        menu = "".join(f"<li>{prose(r, 2)}</li>" for _ in range(5))
+        foot = prose(r, 40)
+        for k in range(9):
+            text = [prose(r, r.randint(5, 60)) for _ in range(r.randint(1, 5))]
+            page = f"<div><ul>{menu}</ul><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div><p>{foot}</p></div></div>"
+            pages.append((10 * host + k, f"http://h{host}.org/{k}", page))
+            want[10 * host + k] = " ".join(text)
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in wrappers.extract(frame).collect()} == want
+    plain = {k: wrappers.main_text(wrappers.parse(page), set()) for k, _, page in pages}
+    assert all(len(plain[k]) > len(want[k]) for k in want)
+
+
 def test_class_names_do_not_drop_the_main_text():
     def text(page):
         tree = wrappers.parse(page)
@@ -423,19 +549,20 @@ def test_graded_copies_are_linked_through_others(spark):
         for _ in range(r.randint(0, 9)):
             words[r.randrange(len(words))] = r.choice(["the", "new", f"u{k}"])
         out.append((k, " ".join(words)))
-    frame = spark.createDataFrame(out, "doc_id long, text string")
+    rows = out + out[::3] * 2  # rows repeated in id and text count once
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, 4).collect()}
     assert got == {d: c for d, _, c in brute.components(out, 4)}
 
 
-def test_rare_elements_of_repeated_rows(spark):
-    """A node of three repeated rows counts its rare elements once in the last search."""
+def test_rare_elements(spark):
     shared = list(range(90))
-    sets = [(b"a", shared + list(range(1000, 1010)))] * 3 + [(bytes([k]), shared + list(range(100 * k + 2000, 100 * k + 2010))) for k in range(9)]
+    sets = [(bytes([k + 1]), shared + list(range(100 * k + 2000, 100 * k + 2010))) for k in range(10)]
+    sets.append((b"z", list(range(2000, 2010))))  # shares rare elements, but is too small for a link
     frame = spark.createDataFrame(sets, "node binary, elements array<long>")
-    nodes = spark.createDataFrame([(n, n) for n in {n for n, _ in sets}], "node binary, label binary")
-    sizes, alike = minhash._rare_elements(frame, nodes)
-    assert as_bag(sizes.collect()) == as_bag((n, 100, 90) for n in {n for n, _ in sets})
+    nodes = spark.createDataFrame([(n, len(e), n) for n, e in sets], "node binary, n long, label binary")
+    common, alike = minhash._rare_elements(frame, nodes, 80)
+    assert as_bag(common.collect()) == as_bag([(n, 90) for n, _ in sets[:-1]] + [(b"z", 0)])
     assert alike.count() == 0
 
 
