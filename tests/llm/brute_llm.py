@@ -121,3 +121,65 @@ def verdict(url, rules, default="allow"):
 
 def payload_digest(page):
     return base64.b32encode(hashlib.sha1((page or "").encode()).digest()).decode()
+
+
+def licence_ids(text, sentences, sentence_end, cue):
+    """Identifiers of the known sentences that begin and end at line or sentence ends, the longest first."""
+    text = text or ""
+    if not re.search(cue, text):
+        return []
+    words = []  # word, whether a line begins with it, whether one ends with it
+    for line in re.sub(sentence_end, "\n", text).split("\n"):
+        plain, own = line.lower(), []
+        for k, c in enumerate(plain):
+            digits = 0 < k < len(plain) - 1 and plain[k - 1].isnumeric() and plain[k + 1].isnumeric()
+            own.append(c if c.isalpha() or c.isnumeric() or (c == "." and digits) else " ")
+        own = "".join(own).split()
+        words += [(w, k == 0, k == len(own) - 1) for k, w in enumerate(own)]
+    known = sorted(((s.split(" "), i) for s, i in sentences.items()), key=lambda x: -len(" ".join(x[0])))
+    out, at = [], 0
+    while at < len(words):
+        for sentence, name in known if words[at][1] else ():
+            part = words[at : at + len(sentence)]
+            if [w for w, _, _ in part] == sentence and part[-1][2]:
+                out.append(name)
+                at += len(sentence)
+                break
+        else:
+            at += 1
+    return out
+
+
+def licence_rules(ids, rules):
+    left, found = list(ids), []
+    for name, sequence in rules:
+        k, hit = 0, False
+        while k + len(sequence) <= len(left):
+            if left[k : k + len(sequence)] == sequence:
+                left[k : k + len(sequence)] = [None]
+                hit = True
+            k += 1
+        if hit and name not in found:
+            found.append(name)
+    return found
+
+
+def in_bands(text, bands, laden, chunk, bad_share, level):
+    """Ratio of the whole text, and whether it and its chunks stay inside the bands."""
+    import zstandard
+
+    def fits(raw):
+        ratio = len(raw) / len(zstandard.ZstdCompressor(level=level, write_content_size=True).compress(raw))
+        for below, least, few, most in bands:
+            if len(raw) < below:
+                symbols = sum(raw.count(c) for c in b"#*$%&|<>")
+                limit = few if symbols >= laden * len(raw.split()) else most
+                return least <= ratio <= limit, ratio
+
+    raw = (text or "").encode()
+    if not raw:
+        return 0.0, True
+    whole, ratio = fits(raw)
+    parts = [raw[k : k + chunk] for k in range(0, len(raw), chunk)] if len(raw) > chunk else []
+    bad = sum(len(p) for p in parts if not fits(p)[0])
+    return ratio, whole and bad <= bad_share * len(raw)

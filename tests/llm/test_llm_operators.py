@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 from pydoc_data.topics import topics
 
@@ -286,6 +287,28 @@ def test_decontamination(spark, docs, rows, none, limit, monkeypatch):
     assert decontam.scan(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_license_scan_equals_a_plain_walk(spark, small_folder):
+    """Known sentences in random company, wrapped, run together and cut, and the texts of the given table."""
+    r = random.Random(12)
+    known, texts = list(licenses.SENTENCES), []
+    for _ in range(300):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            words = r.choice(known).split(" ") if r.random() < 0.7 else r.choices(["the", "licence", "copyright", "2.0", "free"], k=r.randint(1, 5))
+            words = words[: r.randint(1, len(words))] if r.random() < 0.1 else words
+            parts.append("".join(w + r.choice([" ", " ", " ", "\n", ", ", " - "]) for w in words[:-1]) + words[-1])
+        text = "".join(p + r.choice([". ", "\n", ".\n", "; ", ": ", " ", "\n\n"]) for p in parts)
+        texts.append(text if r.random() < 0.5 else text.title())
+    rows = list(enumerate([*texts, None, ""]))
+    rows += [(x.doc_id + 10_000, x.text) for x in spark.read.parquet(f"{small_folder}/documents.parquet").collect()]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    plain = {d: brute.licence_ids(t, licenses.SENTENCES, licenses.SENTENCE_END, licenses.CUE) for d, t in rows}
+    assert sum(map(bool, plain.values())) > 200
+    for row in found:
+        assert row.sentences == plain[row.doc_id], rows[row.doc_id]
+        assert row.licenses == brute.licence_rules(row.sentences, licenses.RULES)
+
+
 def test_warc_round_trip(spark):
     html = ["<p>one</p>", "<p>two</p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "<p>one</p>", "", None, "<p>é</p>", "<p>one</p>"]
     pages = [(k, f"http://h{k % 2}.org/a?b=1#c", h) for k, h in enumerate(html)]
@@ -367,6 +390,13 @@ def test_quality(docs, rows, none):
     got = as_bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found)
     assert got == as_bag((d, *brute.counts(t)) for d, t, _ in rows)
     assert all(not (r.kept and r.base_failed) for r in found)
+    verdicts = Counter()
+    for d, t, _ in rows:
+        ratio, fits = brute.in_bands(t, quality.BANDS, quality.LADEN, quality.CHUNK_BYTES, quality.BAD_SHARE, quality.LEVEL)
+        verdicts[d, fits, round(ratio, 9)] += 1
+    judged = Counter((r.doc_id, r.kept, r.base_failed, round(r.ratio, 9)) for r in found)
+    for (d, kept, failed, ratio), n in judged.items():
+        assert verdicts[d, True, ratio] >= n if kept else failed or verdicts[d, False, ratio] >= n
     kept = quality.keep(docs)
     assert kept.columns == docs.columns
     assert as_bag((r.doc_id,) for r in kept.collect()) == as_bag((r.doc_id,) for r in found if r.kept)
@@ -606,6 +636,7 @@ def test_sharding(docs, rows, none, bucket_rows):
     for r in found:
         slots[r.shard].append(r.slot)
         assert r["size"] == len((r.row.text or "").encode()) + 1 and r.row["size"] == "x"
+        assert r.text_crc32 == zlib.crc32((r.row.text or "").encode()) and r.law == "rows"
     assert sorted(slots) == list(range(5)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sharding.shard(none).count() == 0
