@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 from math import isqrt
 from operator import add
@@ -111,6 +112,13 @@ def _marks(token: str, tag: str) -> tuple[bool, bool, bool]:
     return noise, main and not noise, named and not content
 
 
+@lru_cache(maxsize=1 << 14)
+def _read(token: str) -> tuple[str, tuple[bool, bool, bool]]:
+    """Name and marks of a tag; pages of a host repeat most of theirs."""
+    tag = NAME.match(token)[1].lower()
+    return tag, (False, False, False) if token[1] == "/" else _marks(token, tag)
+
+
 def settle_names(root: Node) -> None:
     """Elements named like noise become noise, but for those of the main text and the elements round them.
 
@@ -174,7 +182,7 @@ def parse(page: str) -> Node:
         token, at = found[0], found.end()
         if token[1] in "!?":
             continue
-        tag = NAME.match(token)[1].lower()
+        tag, (noise, main, named) = _read(token)
         if token[1] == "/":
             for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
@@ -197,7 +205,6 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in SAME_CLOSES[tag]:
                     break
-        noise, main, named = _marks(token, tag)
         if tag in PAGE_HEADS and not any(n.main for n in stack):
             noise = True
         node = Node(tag, noise, main, named, token)
@@ -340,8 +347,11 @@ def equal_places(nodes: list[Node], reference: list[Node]) -> list[tuple[int, in
     return [(a.place, b.place) for a, b in pairs if a.text and a.text == b.text]
 
 
-def main_blocks(root: Node, template: set[int]) -> list[str]:
-    """The texts of blocks outside noise and template, inside article or main elements where the page has them."""
+def main_blocks(root: Node, template: set[int], seen: set[int] | None = None) -> list[str]:
+    """The texts of blocks outside noise and template, inside article or main elements where the page has them.
+
+    ``seen`` gathers the places of the elements whose text may be among them.
+    """
 
     blocks, current = [], []
 
@@ -369,6 +379,8 @@ def main_blocks(root: Node, template: set[int]) -> list[str]:
             inside = inside or node.main
             if node.tag in BLOCKS:
                 dropped = node.place in template and node.tag != "h1"
+                if inside and seen is not None:
+                    seen.add(node.place)
                 flush()
                 walk.append((None, inside, dropped))
             walk.extend((kid, inside, dropped) for kid in reversed(node.kids))
@@ -393,16 +405,17 @@ def content_mark(root: Node) -> int:
 
 
 class Parses:
-    """Numbered trees and content marks of the references met last."""
+    """Numbered trees, content marks and the places that matter of the references met last."""
 
     def __init__(self):
-        self.held: dict[str, tuple[list[Node], int]] = {}
+        self.held: dict[str, tuple[list[Node], int, set[int]]] = {}
 
-    def of(self, page: str) -> tuple[list[Node], int]:
+    def of(self, page: str) -> tuple[list[Node], int, set[int]]:
         found = self.held.pop(page, None)
         if found is None:
-            nodes = number(parse(page))
-            found = nodes, content_mark(nodes[0])
+            nodes, seen = number(parse(page)), set()
+            main_blocks(nodes[0], set(), seen)
+            found = nodes, content_mark(nodes[0]), seen
         self.held[page] = found
         if len(self.held) > KEPT_PARSES:
             del self.held[next(iter(self.held))]
@@ -461,12 +474,12 @@ def _equal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             nodes, places = None, {}
             for key, references in zip((0, own), kinds):
                 for which, reference in enumerate(references or []):
-                    other, other_mark = parses.of(reference)
+                    other, other_mark, seen = parses.of(reference)
                     if other_mark == mark:
                         continue
                     if reference not in places:
                         nodes = nodes or number(parse(page))
-                        places[reference] = sorted({place for _, place in equal_places(nodes, other)})
+                        places[reference] = sorted({place for _, place in equal_places(nodes, other) if place in seen})
                     out.append((host, key, which, mark, places[reference]))
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
@@ -482,11 +495,11 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in (part for whole in batches for part in slices(whole, "html")):
         texts = []
         for page, references, constants in zip(*(batch.column(c).to_pylist() for c in ("html", "references", "constants"))):
-            root = parse(page)
-            nodes, template = number(root), set()
+            root, nodes, template = parse(page), None, set()
             for which, reference in enumerate(references or []):
                 known = {c["place"] for c in constants or [] if c["which"] == which}
                 if known:
+                    nodes = nodes or number(root)
                     template.update(place for place, other in equal_places(nodes, parses.of(reference)[0]) if other in known)
             texts.append(main_text(root, template))
         yield pa.RecordBatch.from_arrays(
