@@ -125,7 +125,7 @@ def trace_length_errors(spark, folder):
 )
 def synthetic_blows(spark, folder):
     keys = ["soc", *EPISODE, "part", "blow_pos"]
-    found = synthetic(spark, folder)
+    found = steps.blow_rows(steps.blow_steps(*stored_series(spark, folder), FIVES))
     return found.select(*keys, F.unix_micros("ts").alias("us"), r6("current"), r6("voltage"))
 
 
