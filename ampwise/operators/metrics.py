@@ -208,13 +208,17 @@ def stream_population(
     scores: DataFrame, cuts: Sequence[tuple[float, int]] = tuple(SWEEP_POPULATION), seed: int = POPULATION_SEED
 ) -> DataFrame:
     """``mixed_population`` with the draws of a sequential run: each model's samples, in the order of their ids, take the
-    draws of the seeded generator from its first on."""
+    draws of the seeded generator from its first on.
+
+    Both joins are merges: scores may be far more than the size of their file suggests, and that of a table of draws or
+    picks grows with the samples, so neither must be sent to the driver whole.
+    """
     spark = scores.sparkSession
     samples = numbered(scores.select("model", "sample_id").distinct(), "model", ["sample_id"], total="_n", index="draw")
     most = samples.agg(F.max("draw")).first()[0]
-    drawn = samples.join(twister.draws(spark, 0 if most is None else most + 1, seed), "draw")
+    drawn = samples.join(twister.draws(spark, 0 if most is None else most + 1, seed).hint("merge"), "draw")
     picked = drawn.select("model", "sample_id", bind(F.col("u"), _population_level(cuts)).alias("soc"))
-    return scores.join(picked, ["model", "sample_id", "soc"]).select(*scores.columns)
+    return scores.join(picked.hint("merge"), ["model", "sample_id", "soc"]).select(*scores.columns)
 
 
 def flagged(population: DataFrame, threshold_rows: DataFrame) -> DataFrame:
