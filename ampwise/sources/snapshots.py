@@ -10,7 +10,7 @@ reader needs any more.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,19 +69,31 @@ def _commit(path: str, number: int, table: DataFrame) -> None:
     table.write.mode("errorifexists").parquet(f"{path}/{MANIFESTS}/{number:08d}")
 
 
-def commit(path: str, keys: Sequence[str], stored: DataFrame, tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> None:
+def commit(
+    path: str,
+    keys: Sequence[str],
+    stored: DataFrame | Callable[[dict[str, DataFrame]], DataFrame],
+    tables: dict[str, tuple[DataFrame, Sequence[str]]],
+) -> None:
     """Store ``tables``, name to (rows, columns to partition by), for the keys that ``stored`` lists.
 
+    ``stored`` may be a function of the tables as they were written, so that they need not be computed again for it.
+
     What was stored for these keys is replaced, keys without rows included; other keys stay. A build must be the only one
     of its store: one that finds, at its end, a manifest that was not there when it began fails.
     """
-    spark, keys = stored.sparkSession, list(keys)
+    of_written = None if isinstance(stored, DataFrame) else stored
+    spark = stored.sparkSession if of_written is None else next(iter(tables.values()))[0].sparkSession
+    keys, written = list(keys), {}
     number = _following(spark, path)  # taken before the manifest is read
     before = manifest(spark, path)
     version = f"v{uuid.uuid4().hex}"
     for name, (rows, parts) in tables.items():
         writer = rows.write.mode("errorifexists")
-        (writer.partitionBy(*parts) if parts else writer).parquet(f"{path}/{name}/version={version}")
+        folder = f"{path}/{name}/version={version}"
+        (writer.partitionBy(*parts) if parts else writer).parquet(folder)
+        written[name] = spark.read.schema(rows.schema).parquet(folder)
+    stored = stored if of_written is None else of_written(written)
     fresh = stored.distinct().withColumns({"version": F.lit(version), "live": F.lit(True)})
     if before is not None:
         replaced = before.join(fresh.select(*keys, F.lit(False).alias("_kept")), keys, "left")

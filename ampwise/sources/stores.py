@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampwise.session import small, stage
@@ -15,26 +15,37 @@ from ampwise.sources.telemetry_csv import is_folder
 log = logging.getLogger(__name__)
 
 EPISODES_PER_FILE = 4096
+# Things are dealt over so many folders: a folder per thing would cost more than its rows where things are many.
+SHARD, SHARDS = "thing_shard", 128
 MIXED_AGE_MAX_THINGS = 31
 # Last listing rank (from 1) at each health level of the mixed-age set.
 MIXED_AGE_RANKS = [(15, 100), (23, 95), (27, 90), (29, 85), (30, 80), (31, 75)]
 
 
+def _shard(thing: Column) -> Column:
+    return F.pmod(F.xxhash64(thing), F.lit(SHARDS)).cast("int")
+
+
 def save_episodes(rows: DataFrame, months: DataFrame, path: str, with_episodes: DataFrame | None = None) -> None:
-    """Store episode rows by thing. The months also record things without any episode.
+    """Store episode rows by shards of things, sorted by thing. The months also record things without any episode.
 
-    A thing's rows are spread by month and episode range, so a large thing becomes several files, not one task. Rows and
+    A shard's rows are spread by month and episode range, so a large thing becomes several files, not one task. Rows and
     months appear together or not at all, in place of what was stored for the same things. ``with_episodes`` names the
-    things that have rows, where that is cheaper to know than from the rows.
+    things that have rows, where that is cheaper to know than from the stored rows.
     """
-    filled = (rows if with_episodes is None else with_episodes).select("thing").distinct()
-    stored = months.select("thing").distinct().join(filled.withColumn("has_episodes", F.lit(True)), "thing", "left")
+
+    def stored(written: dict[str, DataFrame]) -> DataFrame:
+        filled = (written["rows"] if with_episodes is None else with_episodes).select("thing").distinct()
+        things = written["months"].select("thing").distinct()
+        marked = things.join(filled.withColumn("has_episodes", F.lit(True)), "thing", "left")
+        return marked.fillna(False, ["has_episodes"])
+
     spread = F.floor(F.col("ep_idx") / EPISODES_PER_FILE)
-    sorted_rows = rows.repartition("thing", "month_idx", spread).sortWithinPartitions(
-        "thing", "month_idx", "ep_idx", "pos"
+    sharded = rows.withColumn(SHARD, _shard(F.col("thing")))
+    sorted_rows = sharded.repartition(SHARD, "month_idx", spread).sortWithinPartitions(
+        SHARD, "thing", "month_idx", "ep_idx", "pos"
     )
-    tables = {"rows": (sorted_rows, ["thing"]), "months": (months, [])}
-    snapshots.commit(path, ["thing"], stored.fillna(False, ["has_episodes"]), tables)
+    snapshots.commit(path, ["thing"], stored, {"rows": (sorted_rows, [SHARD]), "months": (months, [])})
 
 
 def stored_things(spark: SparkSession, path: str) -> DataFrame | None:
@@ -44,17 +55,17 @@ def stored_things(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load_episodes(spark: SparkSession, path: str, thing: str | None = None) -> DataFrame | None:
-    """All episodes, or those of one thing by partition pruning. A missing store or thing gives None and a warning."""
+    """All episodes, or those of one thing from its shard alone. A missing store or thing gives None and a warning."""
     rows = snapshots.read(spark, path, "rows", ["thing"])
     if rows is None:
         log.warning("no episodes at %s, build the data set first", path)
         return None
     if thing is not None:
-        rows = rows.where(F.col("thing") == thing)
+        rows = rows.where((F.col(SHARD) == _shard(F.lit(thing))) & (F.col("thing") == thing))
         if rows.select(F.lit(1)).limit(1).isEmpty():
             log.warning("no episodes of %s at %s", thing, path)
             return None
-    return rows
+    return rows.drop(SHARD)
 
 
 def load_months(spark: SparkSession, path: str) -> DataFrame:
@@ -64,20 +75,21 @@ def load_months(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_blows(blows: DataFrame, path: str) -> None:
-    """Store synthetic blows by health level and thing, in place of what was stored for the same levels and things."""
-    blows = stage(blows)
+    """Store synthetic blows by health level and shard of things, in place of what was stored for the same levels and things."""
     spread = F.floor(F.col("ep_idx") / EPISODES_PER_FILE)
-    sorted_rows = blows.repartition("soc", "thing", "month_idx", spread).sortWithinPartitions(
-        "soc", "thing", "month_idx", "ep_idx", "blow_pos"
+    sharded = blows.withColumn(SHARD, _shard(F.col("thing")))
+    sorted_rows = sharded.repartition("soc", SHARD, "month_idx", spread).sortWithinPartitions(
+        "soc", SHARD, "thing", "month_idx", "ep_idx", "blow_pos"
     )
-    snapshots.commit(path, ["soc", "thing"], blows.select("soc", "thing"), {"blows": (sorted_rows, ["soc", "thing"])})
+    stored = lambda written: written["blows"].select("soc", "thing").distinct()
+    snapshots.commit(path, ["soc", "thing"], stored, {"blows": (sorted_rows, ["soc", SHARD])})
 
 
 def load_blows(spark: SparkSession, path: str, soc: int | None = None) -> DataFrame:
     rows = snapshots.read(spark, path, "blows", ["thing"])
     if rows is None:
         raise ValueError(f"no synthetic blows at {path}, import them first")
-    return rows if soc is None else rows.where(F.col("soc") == soc)
+    return (rows if soc is None else rows.where(F.col("soc") == soc)).drop(SHARD)
 
 
 def mixed_age(blows: DataFrame, beyond: int | None = None) -> DataFrame:
