@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampwise.functions.labels import episode_file, folder_soc, folder_thing
 from ampwise.schema import CURRENT_FIELD, EPISODE, VOLTAGE_FIELD
 from ampwise.session import small, stage
-from ampwise.sources.named_files import write_named
+from ampwise.sources.named_files import qualified, write_named
+
+# The Python functions of this module travel with their tasks, so executors need pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Files up to this size are read whole by the task that lists their folder; longer ones by Spark, in its blocks.
+SHORT_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+LISTED = "path string, short boolean, lines array<binary>"
 HEADER = f"{CURRENT_FIELD},{VOLTAGE_FIELD}"
 
 
@@ -41,15 +55,92 @@ def _ordinal(file: Column, group: int) -> Column:
     return F.regexp_extract(file, r"^(\d+)_(\d+)", group).cast("int")
 
 
+def _hidden(name: str) -> bool:
+    """What Spark's readers skip."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _children(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            if batch.num_rows:
+                names = [i.base_name for i in system.get_file_info(fs.FileSelector(root)) if not _hidden(i.base_name)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return run
+
+
+def _short_files(uri: str, limit: int):
+    """Files below the named children of a folder; short ones with their lines, blank ones at the end left out."""
+
+    def below(system: fs.FileSystem, info: fs.FileInfo) -> Iterator[fs.FileInfo]:
+        if info.type != fs.FileType.Directory:
+            yield info
+            return
+        for child in system.get_file_info(fs.FileSelector(info.path)):
+            if not _hidden(child.base_name):
+                yield from below(system, child)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        shown, found, held = quote(uri, safe="/:"), [], 0
+
+        def packed() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.bool_(), pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["path", "short", "lines"])
+
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                for info in below(system, system.get_file_info(f"{root}/{name}")):
+                    path = f"{shown}/{quote(info.path[len(root) + 1 :])}"
+                    # Other endings may be packed, which Spark unpacks.
+                    if info.size > limit or info.extension != "csv":
+                        found.append((path, False, None))
+                        continue
+                    with system.open_input_stream(info.path, compression=None) as stream:
+                        lines = stream.read().removeprefix(b"\xef\xbb\xbf").splitlines()
+                    while lines and not lines[-1]:
+                        lines.pop()
+                    found.append((path, True, lines))
+                    held += info.size + len(path)
+                    if held > BATCH_BYTES:
+                        yield packed()
+                        found, held = [], 0
+        if found:
+            yield packed()
+
+    return run
+
+
 def _numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines ``(path, pos, current, voltage, kind)`` of all files below ``folder``, numbered from 0 in each.
+    """Lines ``(path, pos, filled, kind, current, voltage)`` of all files below ``folder``, numbered from 0 in each.
 
-    Spark reads files in blocks, long ones in several tasks, and hands out ids that rise along a block. The parsed lines
-    are staged with those; the lines of the earlier blocks of a file, one count per block, are added to the place in the
-    own block. So no file is held in one row or read by one task only. Blank lines at the end of a file don't count. ``kind``
-    marks header lines and lines with a cell that is no number.
+    Exchange folders hold very many short files, which Spark's reader lists and opens at a cost far above their content. So
+    tasks list the folders in it and read short files as they find them; long ones are left to Spark's reader, as is the
+    whole folder where pyarrow doesn't open it. Blank lines at the end of a file don't count. ``kind`` marks header lines and
+    lines with a cell that is no number.
     """
-    lines = spark.read.text(folder, recursiveFileLookup=True)
+    uri = qualified(spark, folder)
+    try:
+        system, root = fs.FileSystem.from_uri(uri)
+        listable = system.get_file_info(root).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        listable = False
+    if not listable:
+        return _lines_in_blocks(spark, folder)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
+    children = spark.range(0, 1, 1, 1).mapInArrow(_children(uri), "name string").repartition(tasks, "name")
+    listed = stage(children.mapInArrow(_short_files(uri, min(split, SHORT_BYTES)), LISTED))
+    lines = listed.where("short").select("path", F.posexplode("lines").alias("pos", "value"))
+    short = lines.withColumn("value", F.col("value").cast("string")).select("path", "pos", *_parsed())
+    long = [F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")]
+    paths = sorted(r.path for r in listed.where(~F.col("short")).select(*long).collect())
+    return short.unionByName(_lines_in_blocks(spark, paths)) if paths else short
+
+
+def _parsed() -> list[Column]:
     cells = F.split("value", ",")
 
     def cell(i: int) -> Column:
@@ -59,15 +150,26 @@ def _numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
         return cell(i).try_cast("float").cast("double")
 
     odd = [cell(i).isNotNull() & number(i).isNull() for i in (0, 1)]
+    return [
+        (F.col("value") != "").alias("filled"),
+        F.when(F.col("value") == HEADER, "header").when(odd[0] | odd[1], "odd").alias("kind"),
+        number(0).alias("current"),
+        number(1).alias("voltage"),
+    ]
+
+
+def _lines_in_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Spark reads files in blocks, long ones in several tasks, and hands out ids that rise along a block. The parsed lines
+    are staged with those; the lines of the earlier blocks of a file, one count per block, are added to the place in the
+    own block. So no file is held in one row or read by one task only.
+    """
+    lines = spark.read.text(paths, recursiveFileLookup=True)
     parsed = stage(
         lines.select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
-            (F.col("value") != "").alias("filled"),
-            F.when(F.col("value") == HEADER, "header").when(odd[0] | odd[1], "odd").alias("kind"),
-            number(0).alias("current"),
-            number(1).alias("voltage"),
+            *_parsed(),
         )
     )
     blocks = parsed.groupBy("path", "block").agg(
@@ -81,7 +183,7 @@ def _numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     offsets = offsets.select("path", "block", "offset", F.max(F.col("last") + F.col("offset")).over(whole).alias("end"))
     placed = parsed.join(small(offsets), ["path", "block"]).withColumn("pos", F.col("seq") + F.col("offset"))
     kept = placed.where(F.col("pos") <= F.col("end"))
-    return kept.select("path", F.col("pos").cast("int").alias("pos"), "current", "voltage", "kind")
+    return kept.select("path", F.col("pos").cast("int").alias("pos"), "filled", "kind", "current", "voltage")
 
 
 def _located(lines: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
@@ -119,11 +221,9 @@ def voltages(trace: DataFrame) -> DataFrame:
 
 def read_simulator_input(spark: SparkSession, folder: str) -> DataFrame:
     """Currents of exported episodes, header skipped; the simulator reads nothing else."""
-    rows = spark.read.schema(f"{CURRENT_FIELD} float, {VOLTAGE_FIELD} float")
-    rows = rows.option("header", True).option("recursiveFileLookup", True).csv(folder)
-    located = rows.select(F.col(CURRENT_FIELD).alias("current"), _path_parts().alias("parts"))
-    thing, file = F.element_at("parts", -2), F.element_at("parts", -1)
-    return located.select(thing.alias("thing"), _ordinal(file, 1).alias("month_no"), _ordinal(file, 2).alias("ep_no"), "current")
+    located, name, ordinals = _located(_numbered_lines(spark, folder))
+    body = located.where((F.col("pos") > 0) & F.col("filled"))
+    return body.select(name.alias("thing"), *ordinals, F.col("current").cast("float").alias("current"))
 
 
 def stop_times(simulator_input: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ class _AttemptWriter(DataSourceArrowWriter):
         system, root = fs.FileSystem.from_uri(self.pending)
         task = TaskContext.get()
         name = f"{task.partitionId() if task else 0}-{uuid.uuid4().hex}"
-        index, out = [], None
+        index, out, made = [], None, None
         try:
             for batch in iterator:
                 files, lines = batch.column("file").to_pylist(), batch.column("line").to_pylist()
@@ -77,7 +77,9 @@ class _AttemptWriter(DataSourceArrowWriter):
                         if out is not None:
                             out.close()
                         path = f"{root}/{name}/{files[first]}"
-                        system.create_dir(path.rpartition("/")[0], recursive=True)
+                        if (parent := path.rpartition("/")[0]) != made:
+                            system.create_dir(parent, recursive=True)
+                            made = parent
                         index.append([files[first], 0])
                         out = system.open_output_stream(path)
                         if self.header is not None:
@@ -146,6 +148,20 @@ def _publisher(pending: str, target: str):
     return run
 
 
+def _sweeper(pending: str):
+    """Delete the folders of attempts, emptied by then; one that is gone already is no error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, hidden = fs.FileSystem.from_uri(pending)
+        for batch in batches:
+            for attempt in batch.column("attempt").to_pylist():
+                if system.get_file_info(f"{hidden}/{attempt}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{hidden}/{attempt}")
+            yield batch
+
+    return run
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with its scheme, as the session's file system names it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -156,8 +172,10 @@ def qualified(spark: SparkSession, folder: str) -> str:
 def _publish(spark: SparkSession, pending: str, target: str) -> DataFrame:
     """Publish a committed job and drop its hidden folder."""
     attempts = spark.read.schema("attempt string").text(f"{pending}/{COMMITTED}").where(F.col("attempt") != "")
-    spread = attempts.repartition(max(1, spark.sparkContext.defaultParallelism), "attempt")
+    spread = attempts.repartition(max(1, spark.sparkContext.defaultParallelism))
     published = stage(spread.mapInArrow(_publisher(pending, target), PUBLISHED))
+    # An attempt has about as many folders as files, too many to delete one by one here.
+    spread.mapInArrow(_sweeper(pending), "attempt string").count()
     _delete(pending)
     return published
 
