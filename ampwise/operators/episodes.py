@@ -20,8 +20,9 @@ def episode_rows(
     """All columns of the rows of each episode, with their 0-based position.
 
     A range join on the row order, made an equi-join by cutting time into blocks of BLOCK_ROWS nominal rows. Keys are
-    (thing, month, block), so no thing is hot, and a header meets only rows of the blocks it spans. Spark broadcasts
-    the headers when it measures them to be small.
+    (thing, month, block), so no thing is hot, and a header meets only rows of the blocks it spans. The headers of a
+    partition are hashed and the rows stream past them, neither sorted nor sent to the driver: files of rows are far smaller
+    than the rows, so Spark's estimate of them must not decide on a broadcast.
     """
     block_us = BLOCK_ROWS * p.period_s * 1_000_000
     block = F.floor(F.col("us") / F.lit(block_us))
@@ -43,7 +44,7 @@ def episode_rows(
     us, seq = F.col("us"), F.col("seq")
     begun = (us > F.col("from_us")) | ((us == F.col("from_us")) & (seq >= F.col("from_seq")))
     ended = (us > F.col("to_us")) | ((us == F.col("to_us")) & (seq >= F.col("to_seq")))
-    inside = rows.join(spans, [*MONTH, "block"]).where(begun & ~ended)
+    inside = rows.join(spans.hint("shuffle_hash"), [*MONTH, "block"]).where(begun & ~ended)
     inside = inside.drop("from_us", "from_seq", "to_us", "to_seq", "block")
     if hot is None:
         along = Window.partitionBy(*EPISODE).orderBy("us", "seq")
