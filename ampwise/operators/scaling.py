@@ -45,7 +45,7 @@ def scale(rows: DataFrame, bounds: DataFrame, columns: Sequence[str] = ("current
 def to_samples(rows: DataFrame, keys: Sequence[str], name: str = "x") -> DataFrame:
     """One array per blow: current and voltage of each position in turn. A blow has a fixed, small width."""
     step = F.struct("blow_pos", "current", "voltage")
-    ordered = F.array_sort(F.collect_list(step))
+    ordered = F.sort_array(F.collect_list(step))
     pairs = F.transform(ordered, lambda s: F.array(s["current"], s["voltage"]))
     return rows.groupBy(*keys).agg(F.flatten(pairs).alias(name))
 

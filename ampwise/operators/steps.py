@@ -58,6 +58,13 @@ def _steps_in_chunk() -> Column:
     return F.concat(part("discharge", "d_lo", "d_hi", F.lit(0)), part("charge", "c_lo", "c_hi", width))
 
 
+def _in_chunk() -> Column:
+    """Whether the chunk holds a step of either part, told from positions alone."""
+    after = F.col("first_pos") + F.size("ts")
+    parts = [F.greatest(F.col(low), F.col("first_pos")) < F.least(F.col(high), after) for low, high in (("d_lo", "d_hi"), ("c_lo", "c_hi"))]
+    return parts[0] | parts[1]
+
+
 def blow_steps(real: DataFrame, traces: DataFrame, p: Params) -> DataFrame:
     """Synthetic blows ``(soc, thing, month_idx, ep_idx, steps)`` of full width, steps in order.
 
@@ -66,9 +73,10 @@ def blow_steps(real: DataFrame, traces: DataFrame, p: Params) -> DataFrame:
     of their things, as repeated times add rows and so drop the blow.
     """
     again = small(repeated_episodes(real))
-    plain = overlay(with_windows(real.join(again, EPISODE, "left_anti"), p), traces)
-    pieces = plain.select(*SAMPLE, _steps_in_chunk().alias("steps")).where(F.size("steps") > 0)
-    found = pieces.groupBy(*SAMPLE).agg(F.array_sort(F.flatten(F.collect_list("steps"))).alias("steps"))
+    # Chunks without a step go by their positions: a filter on the steps would be pushed down and cut them a second time.
+    plain = overlay(with_windows(real.join(again, EPISODE, "left_anti"), p).where(_in_chunk()), traces)
+    pieces = plain.select(*SAMPLE, _steps_in_chunk().alias("steps"))
+    found = pieces.groupBy(*SAMPLE).agg(F.sort_array(F.flatten(F.collect_list("steps"))).alias("steps"))
     found = found.where(F.size("steps") == p.blow_rows)
     if again.isEmpty():
         return found
@@ -77,13 +85,13 @@ def blow_steps(real: DataFrame, traces: DataFrame, p: Params) -> DataFrame:
     rows = rows_of(real.join(again, EPISODE, "left_semi").drop(*STATS), ["ts", *VALUES])
     looked_up = synthetic_blows(extract_blows(rows, p, one_pass=False), pooled, p.blow_rows)
     step = F.struct("blow_pos", "part", "ts", *VALUES)
-    return found.unionByName(looked_up.groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(step)).cast(STEP).alias("steps")))
+    return found.unionByName(looked_up.groupBy(*SAMPLE).agg(F.sort_array(F.collect_list(step)).cast(STEP).alias("steps")))
 
 
 def gather(rows: DataFrame) -> DataFrame:
     """Blow rows ``(soc, thing, month_idx, ep_idx, part, blow_pos, ts, current, voltage)`` as one row per blow."""
     step = F.struct("blow_pos", "part", "ts", *VALUES)
-    return rows.groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return rows.groupBy(*SAMPLE).agg(F.sort_array(F.collect_list(step)).alias("steps"))
 
 
 def blow_rows(steps: DataFrame) -> DataFrame:

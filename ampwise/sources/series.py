@@ -30,7 +30,7 @@ STATS = ["ep_rows", "first_dis", "first_chg"]
 def chunked(rows: DataFrame, values: Sequence[str], keys: Sequence[str] = EPISODE) -> DataFrame:
     """Rows with a ``pos`` as chunks: ``chunk``, ``first_pos`` and an array of each value, in the order of ``pos``."""
     chunk = F.floor(F.col("pos") / CHUNK_ROWS).cast("int").alias("chunk")
-    steps = F.array_sort(F.collect_list(F.struct("pos", *values)))
+    steps = F.sort_array(F.collect_list(F.struct("pos", *values)))  # array_sort compares by an interpreted lambda
     packed = rows.groupBy(*keys, chunk).agg(steps.alias("_steps"))
     arrays = [F.col("_steps")[v].alias(v) for v in values]  # a field of all entries
     return packed.select(*keys, "chunk", F.get("_steps", F.lit(0))["pos"].alias("first_pos"), *arrays)

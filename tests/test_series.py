@@ -101,6 +101,15 @@ def test_blows_equal_the_row_form(rows, traces, stores):
     assert bag(gaps) == bag(plain)
 
 
+def test_steps_are_cut_once(stores):
+    """No filter repeats the cutting of steps, and chunks without a step are left out before they meet traces."""
+    real, laid, _ = stores
+    plan = steps.blow_steps(real, laid, P)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert "lambdafunction" in plan and not any("lambdafunction" in line for line in filters)
+    assert any("d_lo" in line or "first_pos" in line for line in filters)
+
+
 def test_length_errors_equal_the_row_form(rows, traces, stores, tmp_path):
     real, _, _ = stores
     damaged = traces.where(~((F.col("ep_no") == 2) & (F.col("soc") == 90)) & ~((F.col("ep_no") == 1) & (F.col("pos") > 600)))
