@@ -65,6 +65,28 @@ def test_suffix_dedup(docs, rows, none, group_rows):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_shared_passages_go_from_400_bytes_on(spark):
+    """Passages of over 50 words in two documents: 399 bytes stay, 400 go; ``n_bytes`` is the text's length either way."""
+    r = random.Random(3)
+    sizes, texts = (330, 399, 400, 450), []
+    for size in sizes:
+        passage = " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(80))[:size]
+        assert len(passage.split()) > 50
+        for left, right in ("KL", "MN"):
+            before, after = ("".join(r.choices("klmnopqrst ", k=300)) for _ in range(2))
+            texts.append((before + left, passage, right + after))
+    table = spark.createDataFrame(
+        [(k, "".join(t), "s", 1, *("x",) * CLASH.count(" string")) for k, t in enumerate(texts)], DOCS
+    )
+    want = []
+    for k, (before, passage, after) in enumerate(texts):
+        gone = len(passage) if len(passage) >= 400 else 0
+        kept = before + after if gone else before + passage + after
+        digest = hashlib.sha256(kept.encode()).hexdigest()
+        want.append((k, len(before + passage + after), gone, int(gone > 0), digest))
+    assert as_bag(suffix_dedup.remove_repeats(table).collect()) == as_bag(want)
+
+
 def thue_morse(n, letters):
     return "".join(letters[bin(k).count("1") % 2] for k in range(n))
 
