@@ -211,10 +211,17 @@ def simulator_voltages(spark, folder):
     return shown.withColumn("voltage", F.round("voltage", 3))
 
 
-def _trace_files(spark, folder, levels):
+def _traces(spark, folder, levels):
+    """Rows of an episode are together before levels multiply them. Where they are by then, as in months not cut, Spark leaves
+    the shuffle out.
+    """
     _, rows, _ = shaped_episodes(spark, folder)
+    return simulated(rows.repartition(*EPISODE), levels)
+
+
+def _trace_files(spark, folder, levels):
     path = fresh_path(spark, "traces")
-    exchange_csv.export_traces(simulated(rows, levels), F.concat(F.lit("E"), "thing"), path)
+    exchange_csv.export_traces(_traces(spark, folder, levels), F.concat(F.lit("E"), "thing"), path, together=True)
     return exchange_csv.read_traces(spark, path)
 
 

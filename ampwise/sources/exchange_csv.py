@@ -27,23 +27,27 @@ LISTED = "path string, short boolean, lines array<binary>"
 HEADER = f"{CURRENT_FIELD},{VOLTAGE_FIELD}"
 
 
-def _write_pairs(rows: DataFrame, file: Column, folder: str, header: str | None) -> DataFrame:
-    """Current and voltage of each file's rows."""
+def _pairs(rows: DataFrame, file: Column) -> DataFrame:
+    """Current and voltage of each file's rows, as lines."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("current", "voltage")]
-    return write_named(rows.select(file.alias("file"), "pos", F.concat_ws(",", *cells).alias("line")), folder, header)
+    return rows.select(file.alias("file"), "pos", F.concat_ws(",", *cells).alias("line"))
 
 
 def export_episodes(rows: DataFrame, folder: str) -> DataFrame:
     """One headered file per episode, ``<thing>/<month>_<episode>.csv`` with both ordinals from 1."""
     file = episode_file(F.col("month_idx") + 1, F.col("ep_idx") + 1)
-    return _write_pairs(rows, F.concat_ws("/", "thing", file), folder, HEADER)
+    return write_named(_pairs(rows, F.concat_ws("/", "thing", file)), folder, HEADER)
 
 
-def export_traces(traces: DataFrame, name: Column, folder: str) -> DataFrame:
-    """Traces in the simulator's layout, ``<name>_<soc>/<month>_<episode>.csv`` without a header."""
+def trace_lines(traces: DataFrame, name: Column) -> DataFrame:
+    """Lines of traces under their files in the simulator's layout, ``<name>_<soc>/<month>_<episode>.csv``."""
     soc = F.col("soc").cast("string")
-    file = F.concat(name, F.lit("_"), soc, F.lit("/"), episode_file(F.col("month_no"), F.col("ep_no")))
-    return _write_pairs(traces, file, folder, None)
+    return _pairs(traces, F.concat(name, F.lit("_"), soc, F.lit("/"), episode_file(F.col("month_no"), F.col("ep_no"))))
+
+
+def export_traces(traces: DataFrame, name: Column, folder: str, together: bool = False) -> DataFrame:
+    """Traces in the simulator's layout without a header. ``together``: all rows of a trace lie in one partition."""
+    return write_named(trace_lines(traces, name), folder, together=together)
 
 
 def _path_parts(path: str = "_metadata.file_path") -> Column:

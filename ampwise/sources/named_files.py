@@ -4,7 +4,8 @@ Spark's own writers choose the names of their files, but an exchange needs one f
 The sink is a Python data source with a commit in three steps:
 
 1. Every task attempt writes complete files into a hidden folder of its own, with an index of them, and reports that folder
-   in its commit message. A lost or repeated attempt leaves nothing that anybody reads.
+   in its commit message. A lost or repeated attempt leaves nothing that anybody reads. Hidden files are numbered: under
+   their own folders, each attempt would make nearly every folder, as many as files and as much disk.
 2. When all tasks are done, the commit writes one list of the reported folders and moves it into place. That move is the
    point from which the job counts; a job that fails before it is aborted and its hidden folder deleted.
 3. The listed files are moved to their names by Spark tasks. Moves can be repeated, so a driver lost halfway leaves a
@@ -16,6 +17,7 @@ The driver sees one line per task, never one per file.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
@@ -37,6 +39,9 @@ FORMAT = "named_text_files"
 PENDING = ".pending-"
 COMMITTED, INDEX = "committed.txt", "index.json"
 PUBLISHED = "file string, rows long"
+# Names that every file system takes are not tried out: such files are hidden under numbers, so many to a folder.
+PLAIN = re.compile(r"([A-Za-z0-9][A-Za-z0-9._-]{0,99}/)*[A-Za-z0-9][A-Za-z0-9._-]{0,99}")
+FOLDER_FILES = 1000
 
 
 def _write_whole(system: fs.FileSystem, path: str, text: str) -> None:
@@ -47,6 +52,11 @@ def _write_whole(system: fs.FileSystem, path: str, text: str) -> None:
     system.move(hidden, path)
 
 
+def _hidden_name(file: str, number: int) -> str:
+    """Where an attempt keeps its ``number``-th file. Odd names are used as they are, so that a bad one fails in the writer."""
+    return f"{number // FOLDER_FILES}/{number}" if PLAIN.fullmatch(file) else f"named/{file}"
+
+
 @dataclass
 class Attempt(WriterCommitMessage):
     """The folder of a task attempt that wrote all its files."""
@@ -64,7 +74,7 @@ class _AttemptWriter(DataSourceArrowWriter):
         system, root = fs.FileSystem.from_uri(self.pending)
         task = TaskContext.get()
         name = f"{task.partitionId() if task else 0}-{uuid.uuid4().hex}"
-        index, out, made = [], None, None
+        index, out, made = [], None, None  # files, their rows and where they are hidden
         try:
             for batch in iterator:
                 files, lines = batch.column("file").to_pylist(), batch.column("line").to_pylist()
@@ -76,11 +86,12 @@ class _AttemptWriter(DataSourceArrowWriter):
                     if not index or index[-1][0] != files[first]:
                         if out is not None:
                             out.close()
-                        path = f"{root}/{name}/{files[first]}"
+                        hidden = _hidden_name(str(files[first]), len(index))
+                        path = f"{root}/{name}/{hidden}"
                         if (parent := path.rpartition("/")[0]) != made:
                             system.create_dir(parent, recursive=True)
                             made = parent
-                        index.append([files[first], 0])
+                        index.append([files[first], 0, hidden])
                         out = system.open_output_stream(path)
                         if self.header is not None:
                             out.write(f"{self.header}\n".encode())
@@ -132,8 +143,8 @@ def _publisher(pending: str, target: str):
                 with system.open_input_stream(f"{hidden}/{attempt}/{INDEX}") as stream:
                     index = json.loads(stream.read())
                 made = set()
-                for file, _ in index:
-                    source, path = f"{hidden}/{attempt}/{file}", f"{root}/{file}"
+                for file, _, name in index:
+                    source, path = f"{hidden}/{attempt}/{name}", f"{root}/{file}"
                     parent = path.rpartition("/")[0]
                     if parent not in made:
                         system.create_dir(parent, recursive=True)
@@ -141,7 +152,7 @@ def _publisher(pending: str, target: str):
                     if system.get_file_info(source).type == fs.FileType.File:
                         system.move(source, path)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f for f, _ in index], pa.string()), pa.array([n for _, n in index], pa.int64())],
+                    [pa.array([f for f, *_ in index], pa.string()), pa.array([n for _, n, _ in index], pa.int64())],
                     names=["file", "rows"],
                 )
 
@@ -174,24 +185,28 @@ def _publish(spark: SparkSession, pending: str, target: str) -> DataFrame:
     attempts = spark.read.schema("attempt string").text(f"{pending}/{COMMITTED}").where(F.col("attempt") != "")
     spread = attempts.repartition(max(1, spark.sparkContext.defaultParallelism))
     published = stage(spread.mapInArrow(_publisher(pending, target), PUBLISHED))
-    # An attempt has about as many folders as files, too many to delete one by one here.
+    # All attempts together can have very many folders, too many to delete one by one here.
     spread.mapInArrow(_sweeper(pending), "attempt string").count()
     _delete(pending)
     return published
 
 
-def write_named(lines: DataFrame, folder: str, header: str | None = None) -> DataFrame:
+def _ordered(lines: DataFrame, together: bool) -> DataFrame:
+    dealt = lines.select("file", "pos", "line")
+    return (dealt if together else dealt.repartition("file")).sortWithinPartitions("file", "pos").select("file", "line")
+
+
+def write_named(lines: DataFrame, folder: str, header: str | None = None, together: bool = False) -> DataFrame:
     """Write the ``line`` of each row to its ``file`` below ``folder``, in the order of ``pos``; return ``(file, rows)``.
 
     All files appear, or, if the job fails, none; files of the same name are replaced. ``folder`` is a URI that pyarrow
-    opens on the executors.
+    opens on the executors. ``together`` says that all rows of a file lie in one partition, so that they need no shuffle.
     """
     spark = lines.sparkSession
     spark.dataSource.register(NamedTextFiles)
     target = qualified(spark, folder)
     pending = f"{target}/{PENDING}{uuid.uuid4().hex}"
-    ordered = lines.select("file", "pos", "line").repartition("file").sortWithinPartitions("file", "pos")
-    writer = ordered.select("file", "line").write.format(FORMAT).mode("append")
+    writer = _ordered(lines, together).write.format(FORMAT).mode("append")
     (writer if header is None else writer.option("header", header)).save(pending)
     return _publish(spark, pending, target)
 

@@ -8,6 +8,10 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
+from ampwise.operators import episodes, segment
+from ampwise.plans import store_queries
+from ampwise.schema import FIVES
+from ampwise.session import stage
 from ampwise.sources import exchange_csv, named_files
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -94,6 +98,56 @@ def test_a_lost_driver_is_recovered(spark, tmp_path, monkeypatch):
     assert named_files.recover(spark, target) == [] and named_files.recover(spark, str(tmp_path / "none")) == []
 
 
+def test_hidden_files_do_not_take_a_folder_each(spark, tmp_path, monkeypatch):
+    """Nearly every attempt gets a file of every thing; were it hidden under the thing's folder, folders would outnumber files."""
+    target, things, long = str(tmp_path / "out"), 60, "n" * 240
+    names = [f"E{t}_90/1_{e}.csv" for t in range(things) for e in range(5)] + [f"E{t} +%_80/{long}{t}.csv" for t in range(2)] + [".e/_1.csv"]
+    rows = [(name, pos, f"{name}-{pos}") for name in names for pos in (1, 0)]
+    monkeypatch.setattr(named_files, "_publish", lambda *_: None)
+    monkeypatch.setattr(named_files, "FOLDER_FILES", 40)
+    named_files.write_named(spark.createDataFrame(rows, "file string, pos int, line string").repartition(4), target)
+    monkeypatch.undo()
+    folders = sum(len(below) for _, below, _ in os.walk(target))
+    assert 4 <= folders <= 40
+    assert len(named_files.recover(spark, target)) == 1
+    assert tree(target) == sorted(names)
+    assert all((tmp_path / "out" / name).read_text() == f"{name}-0\n{name}-1\n" for name in names)
+
+
+def cycles(spark, things=3, ticks=400):
+    """Things in a cycle of 40 seconds, ten each of rest, discharge, charge and rest."""
+    phase = F.floor(F.col("seq") % 40 / 10)
+    made = spark.range(things * ticks).select(F.concat(F.lit("t"), F.col("id") % things).alias("thing"), F.floor(F.col("id") / things).alias("seq"))
+    level = F.when(phase == 0, 0.0).when(phase == 1, -20.0).when(phase == 2, 20.0).otherwise(1.0)
+    return made.select("thing", F.timestamp_seconds("seq").alias("ts"), "seq", level.alias("current"), (F.col("seq") / 4).alias("voltage"))
+
+
+def test_traces_are_written_where_their_episodes_lie(spark, tmp_path, monkeypatch):
+    def shaped(limit):
+        telemetry = stage(cycles(spark))
+        hot = segment.find_hot_months(telemetry, limit)
+        assert (hot is None) == (limit > 400)
+        return (*episodes.find_episodes(telemetry, FIVES, hot=hot), hot is None)
+
+    got = {}
+    for limit in (1000, 90):  # whole months, and months cut into pieces
+        monkeypatch.setattr(store_queries, "shaped_episodes", lambda *_, n=limit: shaped(n))
+        traces = store_queries._traces(spark, None, (90, 80))
+        lines = exchange_csv.trace_lines(traces, F.concat(F.lit("E"), "thing"))
+        moved = [named_files._ordered(lines, together)._jdf.queryExecution().executedPlan().toString() for together in (True, False)]
+        if limit == 1000:
+            rows = shaped(limit)[1]._jdf.queryExecution().executedPlan().toString()
+            assert moved[0].count("Exchange hashpartitioning") == rows.count("Exchange hashpartitioning") < moved[1].count("Exchange hashpartitioning")
+        target = str(tmp_path / str(limit))
+        files = {r.file: r.rows for r in exchange_csv.export_traces(traces, F.concat(F.lit("E"), "thing"), target, together=True).collect()}
+        back = exchange_csv.read_traces(spark, target)
+        want = {(r.thing, r.soc, r.month_no, r.ep_no, r.pos): (r.current, round(r.voltage, 3)) for r in traces.collect()}
+        got[limit] = {(r.thing, r.soc, r.month_no, r.ep_no, r.pos): (r.current, round(r.voltage, 3)) for r in back.collect()}
+        assert got[limit] == want and back.count() == len(want) == sum(files.values())
+        assert sorted(files) == sorted({f"E{t}_{s}/{m}_{e}.csv" for t, s, m, e, _ in want}) == tree(target)
+    assert got[1000] == got[90] and len(got[90]) > 500
+
+
 def test_a_long_trace_is_read_in_blocks_with_its_positions(spark, tmp_path):
     folder = tmp_path / "E7_90"
     folder.mkdir()
